@@ -86,6 +86,11 @@ def _overwriting_tags(base: Column, rule: Column, rule_is_list: Column, rules: C
             .when(F.size(rule) > 0, listed).otherwise(base))
 
 
+def _tag_rule_is_list() -> Column:
+    """``Tag_rule`` may be a lone text; loaders store it as a list of one and mark it."""
+    return ~F.coalesce(F.col("rule.Tag_rule_text"), F.lit(False))
+
+
 def _repositories(shorten: bool, valid_only: bool) -> Column:
     kept = F.filter("rule.RepositoryName", (lambda r: is_valid(r)) if valid_only else (lambda r: r != ""))
     return empty_to_null(F.transform(kept, last_two_parts)) if shorten else empty_to_null(kept)
@@ -102,7 +107,7 @@ def component_multi_rules(rows: DataFrame, shorten: bool = False) -> tuple[DataF
     networks come before a single one; a filter without members is rejected.
     """
     tags = _overwriting_tags(F.when(F.size("rule.Tags") > 0, rule_tags("rule.Tags", "values")),
-                             F.col("rule.Tag_rule"), F.size("rule.Tag_rule") > 1, F.col("rule.Tags_rule"))
+                             F.col("rule.Tag_rule"), _tag_rule_is_list(), F.col("rule.Tags_rule"))
     some = lambda name: F.when(F.col(f"rule.{name}") != "", F.col(f"rule.{name}"))
     members = {
         "keyLike": some("SearchName"), "repository": _repositories(shorten, False), "tags": tags,
@@ -127,7 +132,7 @@ def service_multi_rules(rows: DataFrame, shorten: bool = False) -> tuple[DataFra
     valid = lambda name: valid_or_null(f"rule.{name}")
     lone = rule_tags(F.array("rule.Tag"), "single")
     listed = rule_tags("rule.Tags", "first_colon")
-    rule_list = F.size("rule.Tag_rule") > 1
+    rule_list = _tag_rule_is_list()
     base = F.when(F.size("rule.Tags") > 0, listed).when(valid("Tag").isNotNull(), lone)
     tags = _overwriting_tags(base, F.filter("rule.Tag_rule", is_valid), rule_list, F.col("rule.Tags_rule"))
     accounts = empty_to_null(F.filter("rule.ProviderAccountId", is_valid))

@@ -47,7 +47,7 @@ RULE = """struct<RepositoryName:array<string>,SearchName:string,Tags:array<strin
  Tag_rule:array<string>,Tags_rule:array<string>,Tag_label:array<string>,Tags_label:array<string>,
  Cidr:string,Cidrs:array<string>,Fqdn:array<string>,Netbios:array<string>,OsNames:array<string>,
  Hostnames:array<string>,ProviderAccountId:array<string>,AccountId:array<string>,
- ProviderAccountName:array<string>,ResourceGroup:array<string>,AssetType:string>""".replace("\n", "")
+ ProviderAccountName:array<string>,ResourceGroup:array<string>,AssetType:string,Tag_rule_text:boolean>""".replace("\n", "")
 
 USER = "email string, name string, role string"
 TEAM = "id string, name string"
