@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.similarity import may_reach, similarity
+from ..functions.similarity import may_reach, near_enough, similarity
 from ..session import cut_lineage
 from .common import first_by_pos, top_per_group
 
@@ -149,27 +149,57 @@ def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget())
     Each name joins the earliest leader with ratio >= threshold, or becomes one.
     """
     todo = cut_lineage(first_by_pos(names.select("name", "pos"), ["name"]))
+    left = todo.count()
+    if left <= budget.first_names:
+        return _settle_small(todo, threshold)
     order = TokenOrder(todo, threshold, budget)
-    settled: DataFrame | None = None
+    parts: list[DataFrame] = []
     size = budget.first_names
-    while True:
-        chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget)
-        if chunk is None:
-            break
-        leaders = _leaders_of(chunk, edges)
+    while left > budget.first_names:
+        if size <= budget.first_names:
+            chunk = todo.orderBy("pos").limit(budget.first_names)
+            leaders = cut_lineage(_settle_small(chunk, threshold).filter("pos = leader_pos").select("name", "pos"))
+        else:
+            chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget)
+            leaders = _leaders_of(chunk, edges)
         others = todo.join(leaders, "name", "left_anti")
         matches = similar_pairs(others, leaders, threshold, order=order)
+        # At most ``most_names`` leaders a round.
         placed = (matches.join(F.broadcast(leaders.withColumnsRenamed({"name": "other", "pos": "leader_pos"})), "other")
                   .groupBy("name").agg(F.min_by("other", "leader_pos").alias("leader"),
                                        F.min("leader_pos").alias("leader_pos")))
         own = leaders.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
-        result = own.unionByName(todo.join(placed, "name").select("name", "pos", "leader", "leader_pos"))
-        result = cut_lineage(result)
-        settled = result if settled is None else settled.unionByName(result)
+        result = cut_lineage(own.unionByName(todo.join(placed, "name").select("name", "pos", "leader", "leader_pos")))
+        parts.append(result)
         todo = cut_lineage(todo.join(result, "name", "left_anti"))
+        left = todo.count()
         size = min(size * 2, budget.most_names)
-    return settled if settled is not None else todo.select(
-        "name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
+    if left:
+        parts.append(cut_lineage(_settle_small(todo, threshold)))
+    settled = parts[0]
+    for part in parts[1:]:
+        settled = settled.unionByName(part)
+    return settled
+
+
+def _settle_small(names: DataFrame, threshold: float) -> DataFrame:
+    """The grouping itself for at most ``first_names`` names, in one task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        if not frames:
+            return
+        rows = pd.concat(frames).sort_values("pos")
+        leaders: list[tuple[str, int]] = []
+        out = []
+        for name, pos in zip(rows["name"], rows["pos"]):
+            own = next((lead for lead in leaders if near_enough(name, lead[0], threshold)), None)
+            if own is None:
+                own = (name, pos)
+                leaders.append(own)
+            out.append((name, pos, *own))
+        yield pd.DataFrame(out, columns=["name", "pos", "leader", "leader_pos"])
+    return names.select("name", "pos").coalesce(1).mapInPandas(
+        run, "name string, pos bigint, leader string, leader_pos bigint")
 
 
 def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size: int, budget: Budget):

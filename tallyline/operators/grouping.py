@@ -191,7 +191,7 @@ def assign(assets: DataFrame, options: GroupingOptions) -> DataFrame:
             .withColumn("phase", F.when(tagged, 0).otherwise(1)).withColumn("step", step))
 
 
-def name_decided(assigned: DataFrame, options: GroupingOptions) -> DataFrame | None:
+def name_decided(assigned: DataFrame, options: GroupingOptions) -> DataFrame:
     """Groups by name similarity among assigned assets, in the shape ``all_groups`` uses."""
     hosts = assigned.filter(F.col("method") == "hostname")
     images = assigned.filter(F.col("method") == "image_name")
@@ -209,10 +209,7 @@ def name_decided(assigned: DataFrame, options: GroupingOptions) -> DataFrame | N
         parts[1].withColumn("method", F.lit("image_name")).withColumn("step", F.lit(0)))
 
 
-def all_groups(assets: DataFrame, options: GroupingOptions) -> DataFrame:
-    """One row per group over all paths.  Of groups with one key the later made replaces the earlier:
-    fallbacks replace tag groups, and among fallbacks the type that appeared later wins."""
-    assigned = assign(assets, options)
+def _keyed_instances(assigned: DataFrame) -> DataFrame:
     by_key = assigned.filter(F.col("group_key").isNotNull())
     last = F.struct("primary_value", "secondary_value")
     instances = by_key.groupBy("group_key", "method", "phase", "step",
@@ -220,15 +217,27 @@ def all_groups(assets: DataFrame, options: GroupingOptions) -> DataFrame:
         F.count(F.lit(1)).alias("asset_count"), F.min("pos").alias("first_pos"),
         F.min_by(asset_type(), "pos").alias("first_type"),
         F.max_by(F.when(F.col("phase") == 0, last), "pos").alias("m"),
-        F.min_by(F.struct("network", "repository", F.coalesce("account", F.lit("no-account")).alias("account")), "pos").alias("f"))
-    instances = instances.select(
+        F.min_by(F.struct("network", F.coalesce("account", F.lit("no-account")).alias("account")), "pos").alias("f"))
+    return instances.select(
         "group_key", "method", "phase", "step", "fallback_type", "asset_count", "first_pos", "first_type",
         "m.primary_value", "m.secondary_value", F.col("f.network").alias("cidr"),
         F.when(F.col("method") == "cloud_provider", F.col("f.account")).alias("account"),
         F.lit(None).cast("bigint").alias("leader_pos"), F.lit(None).cast("string").alias("name_pattern"),
         F.lit(None).cast("array<string>").alias("sample_names"))
+
+
+def keyed_groups(assets: DataFrame, options: GroupingOptions) -> DataFrame:
+    """Groups of every path but name similarity: one shuffle of partial aggregates, nothing runs early."""
+    assigned = assign(assets, options)
+    return keep_later(_keyed_instances(assigned), assigned)
+
+
+def all_groups(assets: DataFrame, options: GroupingOptions) -> DataFrame:
+    """One row per group over all paths.  Of groups with one key the later made replaces the earlier:
+    fallbacks replace tag groups, and among fallbacks the type that appeared later wins."""
+    assigned = assign(assets, options)
     named = name_decided(assigned, options)
-    instances = instances.unionByName(named.select(
+    instances = _keyed_instances(assigned).unionByName(named.select(
         "group_key", "method", F.lit(1).alias("phase"), "step", F.col("first_type").alias("fallback_type"),
         "asset_count", "first_pos", "first_type", "leader_pos", "name_pattern", "sample_names"),
         allowMissingColumns=True)

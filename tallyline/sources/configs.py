@@ -47,11 +47,11 @@ def section(*names: str) -> Column:
     return first_present("m", *names)
 
 
-def entries(rows: DataFrame, value: Column, *keep: str) -> DataFrame:
+def entries(rows: DataFrame, value: Column, *keep: Column | str) -> DataFrame:
     """One row per dict of a variant list: kept columns, ``pos`` inside the list, map ``d``."""
     items = F.try_variant_get(value, "$", "array<variant>")
     spread = rows.select(*keep, F.posexplode(items).alias("pos", "v"))
-    return spread.select(*keep, "pos", F.try_variant_get("v", "$", "map<string,variant>").alias("d"))
+    return spread.select(*spread.columns[:len(keep)], "pos", F.try_variant_get("v", "$", "map<string,variant>").alias("d"))
 
 
 def _text(key: str, d: str = "d") -> Column:
