@@ -55,13 +55,26 @@ def item_map(raw: Column | str) -> Column:
     return F.from_json(col(raw), "map<string,variant>")
 
 
-def variant_class(v: Column) -> Column:
-    t = F.schema_of_variant(v)
-    return (F.when(t == "STRING", "string").when(t == "BIGINT", "integer").when(t == "BOOLEAN", "boolean")
-            .when(F.startswith(t, F.lit("ARRAY")), "list").when(F.startswith(t, F.lit("OBJECT")), "dict")
+def class_of_type(t: Column) -> Column:
+    """Class of a variant from its schema text: string, integer, boolean, list, dict, null or number."""
+    return (F.when(t.isNull(), None).when(t == "STRING", "string").when(F.startswith(t, F.lit("ARRAY")), "list")
+            .when(F.startswith(t, F.lit("OBJECT")), "dict").when(t == "BIGINT", "integer").when(t == "BOOLEAN", "boolean")
             .when(t == "VOID", "null").otherwise("number"))
 
 
+def variant_class(v: Column) -> Column:
+    # Evaluated once through a one-element array; the chain of tests would repeat the schema otherwise.
+    return F.get(F.transform(F.array(F.schema_of_variant(v)), class_of_type), F.lit(0))
+
+
+def typed_entries(m: Column) -> Column:
+    """Entries of an item with the schema and class of each value."""
+    typed = F.transform(F.map_entries(m), lambda e: F.struct(
+        e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("t")))
+    return F.transform(typed, lambda e: F.struct(
+        e["key"].alias("key"), e["value"].alias("value"), e["t"].alias("t"), class_of_type(e["t"]).alias("found")))
+
+
 def _error(field: Column, text: Column | str) -> Column:
     text = F.lit(text) if isinstance(text, str) else text
     return F.struct(field.cast("string").alias("field"), text.cast("string").alias("error"))
@@ -72,7 +85,11 @@ def no_errors() -> Column:
 
 
 def _map_literal(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in table.items()) + ")")
+
+
+def _list_literal(values: list[str]) -> Column:
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
 
 
 def table_errors(m: Column, kind: str) -> Column:
@@ -83,30 +100,38 @@ def table_errors(m: Column, kind: str) -> Column:
     required = [f for f, spec in table.items() if spec.endswith("*")]
 
     def judge(e: Column) -> Column:
-        wanted, found = F.try_element_at(classes, e["key"]), variant_class(e["value"])
-        items = F.schema_of_variant(e["value"])
-        bad_items = e["key"].isin(texts) & (found == "list") & ~items.isin("ARRAY<STRING>", "ARRAY<VOID>")
-        unlisted = (e["key"] == "AssetType") & (found == "string") & ~F.coalesce(
+        wanted, found = e["wanted"], e["found"]
+        bad_items = F.array_contains(_list_literal(texts), e["key"]) & ~e["t"].isin("ARRAY<STRING>", "ARRAY<VOID>") if texts else F.lit(False)
+        unlisted = (e["key"] == "AssetType") & ~F.coalesce(
             F.try_variant_get(e["value"], "$", "string").isin(ASSET_TYPES), F.lit(False))
         return _error(e["key"], F.when(wanted.isNull(), "unknown field").when(found == "null", "null value not allowed")
                       .when(~F.array_contains(F.split(wanted, r"\|"), found), F.concat(F.lit("must be "), wanted))
                       .when(bad_items, "list items must be text").when(unlisted, "unallowed value"))
 
-    judged = F.filter(F.transform(F.map_entries(m), judge), lambda x: x["error"].isNotNull())
+    wanting = F.transform(typed_entries(m), lambda e: F.struct(
+        e["key"].alias("key"), e["value"].alias("value"), e["t"].alias("t"), e["found"].alias("found"),
+        F.try_element_at(classes, e["key"]).alias("wanted")))
+    judged = F.filter(F.transform(wanting, judge), lambda x: x["error"].isNotNull())
     if not required:
         return judged
-    lost = F.filter(F.array(*[F.lit(f) for f in required]), lambda f: ~F.map_contains_key(m, f))
+    lost = F.filter(_list_literal(required), lambda f: ~F.map_contains_key(m, f))
     return F.concat(judged, F.transform(lost, lambda f: _error(f, "required field")))
 
 
 def nested_maps(m: Column, key: str) -> Column:
     """The dicts under a key: one dict or a list of them."""
     v = F.try_element_at(m, F.lit(key))
-    kind = variant_class(v)
-    one = F.array(F.try_variant_get(v, "$", "map<string,variant>"))
-    many = F.try_variant_get(v, "$", "array<map<string,variant>>")
-    none = F.array().cast("array<map<string,variant>>")
-    return F.coalesce(F.filter(F.when(kind == "dict", one).when(kind == "list", many), lambda x: x.isNotNull()), none)
+    one = F.filter(F.array(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: x.isNotNull())
+    many = F.filter(F.try_variant_get(v, "$", "array<map<string,variant>>"), lambda x: x.isNotNull())
+    return F.coalesce(many, one)
+
+
+def _table_check(kind: str):
+    return lambda d: table_errors(d, kind)
+
+
+def _prefixed(field: str, errors: Column) -> Column:
+    return F.transform(errors, lambda e: _error(F.concat(F.lit(field + "."), e["field"]), e["error"]))
 
 
 def _nested_table_errors(m: Column, kind: str) -> Column:
@@ -114,21 +139,21 @@ def _nested_table_errors(m: Column, kind: str) -> Column:
     for field, spec in TABLES[kind].items():
         table = {"rule": "rule", "rules": "rule", "ticketing": "ticketing", "messaging": "messaging"}.get(spec)
         if table:
-            found = F.flatten(F.transform(nested_maps(m, field), lambda d, t=table: table_errors(d, t)))
-            out.append(F.transform(found, lambda e, f=field: _error(F.concat(F.lit(f + "."), e["field"]), e["error"])))
+            out.append(_prefixed(field, F.flatten(F.transform(nested_maps(m, field), _table_check(table)))))
     return F.concat(*out) if out else no_errors()
 
 
+def _own_list_errors(m: Column) -> Column:
+    listed = F.filter(typed_entries(m), lambda e: F.array_contains(_list_literal(LIST_FIELDS), e["key"])
+                      & e["found"].isin("string", "null"))
+    return F.transform(listed, lambda e: _error(e["key"], F.when(e["found"] == "string", "must be a list, not text")
+                                                .otherwise("is null, must be a list or left out")))
+
+
 def list_field_errors(m: Column) -> Column:
     """Fields that must be lists but hold a text or null, also inside the item's rules."""
-    def check(d: Column, path: str) -> Column:
-        def judge(f: Column) -> Column:
-            kind = variant_class(F.try_element_at(d, f))
-            return _error(F.concat(F.lit(path), f), F.when(kind == "string", "must be a list, not text").when(
-                kind == "null", "is null, must be a list or left out"))
-        return F.filter(F.transform(F.array(*[F.lit(f) for f in LIST_FIELDS]), judge), lambda e: e["error"].isNotNull())
-    nested = [F.flatten(F.transform(nested_maps(m, key), lambda d, k=key: check(d, k + "."))) for key in RULE_KEYS]
-    return F.concat(check(m, ""), *nested)
+    nested = [_prefixed(key, F.flatten(F.transform(nested_maps(m, key), _own_list_errors))) for key in RULE_KEYS]
+    return F.concat(_own_list_errors(m), *nested)
 
 
 def _given(m: Column, key: str) -> Column:
@@ -167,10 +192,9 @@ def item_errors(m: Column | str, kind: str) -> Column:
         stages.append(("structure", repository_structure_errors(m)))
     if kind == "environment":
         stages.append(("owner", owner_errors(m)))
-    out = F.struct(F.lit("valid").alias("stage"), no_errors().alias("errors"))
-    for name, errors in reversed(stages):
-        out = F.when(F.size(errors) > 0, F.struct(F.lit(name).alias("stage"), errors.alias("errors"))).otherwise(out)
-    return out
+    tried = F.filter(F.array(*[F.struct(F.lit(name).alias("stage"), errors.alias("errors")) for name, errors in stages]),
+                     lambda s: F.size(s["errors"]) > 0)
+    return F.coalesce(F.get(tried, F.lit(0)), F.struct(F.lit("valid").alias("stage"), no_errors().alias("errors")))
 
 
 def validate(items: DataFrame, kind: str, raw: str = "raw") -> DataFrame:

@@ -26,14 +26,14 @@ def _(v):
 @query("list_field_errors", """
 select item_id, case defect when 0 then 'Hostnames' when 1 then 'Fqdn' else 'MultiConditionRule.Tags' end as field from @component_item where defect in (0, 1, 8)""")
 def _(v):
-    e = v.component_item.select("item_id", F.explode(quality.list_field_errors(quality.item_map(F.col("raw")))).alias("e"))
+    e = v.component_item.withColumn("m", quality.item_map("raw")).select("item_id", F.explode(quality.list_field_errors(F.col("m"))).alias("e"))
     return e.select("item_id", "e.field")
 
 
 @query("repository_structure_errors", """
 select item_id, case when defect = 6 then 'repository and asset type beside rules' else 'several repositories without asset type' end as error from @component_item where defect in (6, 9)""")
 def _(v):
-    e = v.component_item.select("item_id", F.explode(quality.repository_structure_errors(quality.item_map(F.col("raw")))).alias("e"))
+    e = v.component_item.withColumn("m", quality.item_map("raw")).select("item_id", F.explode(quality.repository_structure_errors(F.col("m"))).alias("e"))
     return e.select("item_id", "e.error")
 
 

@@ -8,6 +8,7 @@ from tallyline.functions import tags
 from tallyline.functions.repositories import last_two_parts
 from tallyline.operators import actions, placement, rules
 
+from .function_queries import _COMPONENT_TAGS
 from .registry import query
 
 # The usable filter values of a component, one row per field.
@@ -209,15 +210,15 @@ def _(v):
     return a.select("name", "scope_id", "criticality", "owner", F.array_join("business_units", "|").alias("units"), _parts("ticketing")[1])
 
 
-@query("component_action_rows", """
-select component_id, """ + _CRIT.format(t="Tier") + """ as criticality, len(TeamNames) > 0 and component_id % 3 = 0 as has_blank_team from @declared_component""")
+@query("component_action_rows", _COMPONENT_TAGS + """
+select c.component_id, """ + _CRIT.format(t="any_value(Tier)") + """ as criticality, coalesce(string_agg(x, '|' order by s, i), '') as create_tags,
+  coalesce(string_agg(x, '|' order by s, i) filter (where creating is null), '') as patch_tags
+from @declared_component c left join t on c.component_id = t.component_id group by c.component_id""")
 def _(v):
-    c = actions.create_components(v.declared_component.withColumn("component", F.col("component_id").cast("string")))
-    u = actions.patch_components(v.declared_component.withColumn("component", F.col("component_id").cast("string")))
-    both = c.join(u.select("component", F.col("criticality").alias("c2")), "component")
-    rows = both.filter("criticality = c2").select(F.col("component").cast("bigint").alias("component_id"), "criticality")
-    blank = v.declared_component.select("component_id", F.coalesce(F.exists("TeamNames", lambda t: t == ""), F.lit(False)).alias("b"))
-    return rows.join(blank, "component_id").select("component_id", "criticality", F.when(F.col("b") | (F.col("component_id") % 3 == 1), F.col("b")).alias("has_blank_team"))
+    rows = v.declared_component.withColumn("component", F.col("component_id").cast("string"))
+    c = actions.create_components(rows).select("component", "criticality", tags.tags_text("tags").alias("create_tags"))
+    u = actions.patch_components(rows).select("component", tags.tags_text("tags").alias("patch_tags"))
+    return c.join(u, "component").select(F.col("component").cast("bigint").alias("component_id"), "criticality", "create_tags", "patch_tags")
 
 
 @query("service_create_rows", """
