@@ -36,7 +36,7 @@ class Budget:
     first_names: int = 512
     most_names: int = 65_536
     candidate_pairs: int = 2_000_000
-    common_tokens: int = 4_096
+    common_tokens: int = 128
 
 
 def _bigram_floor(threshold: float) -> int:
@@ -112,10 +112,12 @@ def _json(table: dict[str, int]) -> str:
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict: bool = False,
-                  scope: str | None = None, order: TokenOrder | None = None,
+                  scope: str | None = None, order: TokenOrder | None = None, half: bool = False,
                   budget: Budget = Budget()) -> DataFrame:
     """Pairs (name, other, ratio) with ratio >= threshold (> when strict), both sides distinct names.
 
+    ``half`` gives each unordered pair of different names once (name < other), for a table met with itself.
+
     ``scope`` names a column both sides have; pairs must agree on it.  A pair that
     shares several tokens is kept once, at the first of them, without a shuffle.
     """
@@ -132,8 +134,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict
         lk, rk = lk.join(l, "name"), rk.join(r, "name")
         cond = ["token", "kind", scope]
     rk = rk.withColumnsRenamed({"name": "other", "prefix": "other_prefix"})
-    met = lk.join(rk, cond).filter(
-        F.element_at(F.array_intersect("prefix", "other_prefix"), 1) == F.col("token"))
+    met = lk.join(rk, cond)
+    if half:
+        met = met.filter(F.col("name") < F.col("other"))
+    met = met.filter(F.element_at(F.array_intersect("prefix", "other_prefix"), 1) == F.col("token"))
     # Two names that both carry bigrams are sure to meet there; single characters serve the short ones.
     shorter = F.least(F.length("name"), F.length("other"))
     met = met.filter((F.col("kind") == "2") | (shorter < _bigram_floor(threshold)))
@@ -156,12 +160,13 @@ def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget())
     parts: list[DataFrame] = []
     size = budget.first_names
     while left > budget.first_names:
-        if size <= budget.first_names:
-            chunk = todo.orderBy("pos").limit(budget.first_names)
-            leaders = cut_lineage(_settle_small(chunk, threshold).filter("pos = leader_pos").select("name", "pos"))
-        else:
+        if size > budget.first_names:
             chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget)
+        if size > budget.first_names:
             leaders = _leaders_of(chunk, edges)
+        else:
+            chunk = todo.orderBy("pos").limit(size)
+            leaders = cut_lineage(_settle_small(chunk, threshold).filter("pos = leader_pos").select("name", "pos"))
         others = todo.join(leaders, "name", "left_anti")
         matches = similar_pairs(others, leaders, threshold, order=order)
         # At most ``most_names`` leaders a round.
@@ -173,7 +178,9 @@ def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget())
         parts.append(result)
         todo = cut_lineage(todo.join(result, "name", "left_anti"))
         left = todo.count()
-        size = min(size * 2, budget.most_names)
+        # Few leaders: the names are alike and the next few leaders take most of the rest.  Many: look at more at once.
+        sparse = leaders.count() * 2 >= min(size, left)
+        size = min(size * 2, budget.most_names) if sparse else budget.first_names
     if left:
         parts.append(cut_lineage(_settle_small(todo, threshold)))
     settled = parts[0]
@@ -214,11 +221,11 @@ def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size:
         if load <= budget.candidate_pairs or n <= budget.first_names:
             break
         size = max(budget.first_names, n // 2)
-    pairs = similar_pairs(chunk, chunk, threshold, order=order)
+    pairs = similar_pairs(chunk, chunk, threshold, order=order, half=True)
     place = chunk.select("name", "pos")
-    edges = (pairs.join(place, "name")
-             .join(place.withColumnsRenamed({"name": "other", "pos": "other_pos"}), "other")
-             .filter("pos < other_pos").select("pos", "other_pos"))
+    edges = (pairs.join(place.withColumnRenamed("pos", "p"), "name")
+             .join(place.withColumnsRenamed({"name": "other", "pos": "q"}), "other")
+             .select(F.least("p", "q").alias("pos"), F.greatest("p", "q").alias("other_pos")))
     return chunk, edges, size
 
 

@@ -118,31 +118,38 @@ def table_errors(m: Column, kind: str) -> Column:
     return F.concat(judged, F.transform(lost, lambda f: _error(f, "required field")))
 
 
-def nested_maps(m: Column, key: str) -> Column:
-    """The dicts under a key: one dict or a list of them."""
-    v = F.try_element_at(m, F.lit(key))
-    one = F.filter(F.array(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: x.isNotNull())
-    many = F.filter(F.try_variant_get(v, "$", "array<map<string,variant>>"), lambda x: x.isNotNull())
-    return F.coalesce(many, one)
+def _dicts_of(v: Column) -> Column:
+    """The dicts a value holds: itself or the entries of a list; nulls for other values."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<map<string,variant>>"),
+                      F.array(F.try_variant_get(v, "$", "map<string,variant>")))
 
 
-def _table_check(kind: str):
-    return lambda d: table_errors(d, kind)
+def nested_maps(m: Column, key: str) -> Column:
+    """The dicts under one key."""
+    return F.filter(_dicts_of(F.try_element_at(m, F.lit(key))), lambda x: x.isNotNull())
 
 
-def _prefixed(field: str, errors: Column) -> Column:
-    return F.transform(errors, lambda e: _error(F.concat(F.lit(field + "."), e["field"]), e["error"]))
+def _nested_errors(m: Column, keys: list[str], check) -> Column:
+    """``check`` applied to every dict under any of the keys, fields prefixed by their key."""
+    held = F.filter(F.map_entries(m), lambda e: F.array_contains(_list_literal(keys), e["key"]))
+    return F.flatten(F.transform(held, lambda e: F.transform(
+        F.flatten(F.transform(F.filter(_dicts_of(e["value"]), lambda d: d.isNotNull()), check)),
+        lambda x: _error(F.concat(e["key"], F.lit("."), x["field"]), x["error"]))))
 
 
 def _nested_table_errors(m: Column, kind: str) -> Column:
     out = []
-    for field, spec in TABLES[kind].items():
-        table = {"rule": "rule", "rules": "rule", "ticketing": "ticketing", "messaging": "messaging"}.get(spec)
-        if table:
-            out.append(_prefixed(field, F.flatten(F.transform(nested_maps(m, field), _table_check(table)))))
+    for table in ("rule", "ticketing", "messaging"):
+        keys = [f for f, spec in TABLES[kind].items() if spec.rstrip("s") == table]
+        if keys:
+            out.append(_nested_errors(m, keys, _table_check(table)))
     return F.concat(*out) if out else no_errors()
 
 
+def _table_check(kind: str):
+    return lambda d: table_errors(d, kind)
+
+
 def _own_list_errors(m: Column) -> Column:
     listed = F.filter(typed_entries(m), lambda e: F.array_contains(_list_literal(LIST_FIELDS), e["key"])
                       & e["found"].isin("string", "null"))
@@ -152,8 +159,7 @@ def _own_list_errors(m: Column) -> Column:
 
 def list_field_errors(m: Column) -> Column:
     """Fields that must be lists but hold a text or null, also inside the item's rules."""
-    nested = [_prefixed(key, F.flatten(F.transform(nested_maps(m, key), _own_list_errors))) for key in RULE_KEYS]
-    return F.concat(_own_list_errors(m), *nested)
+    return F.concat(_own_list_errors(m), _nested_errors(m, RULE_KEYS, _own_list_errors))
 
 
 def _given(m: Column, key: str) -> Column:
