@@ -147,6 +147,15 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict
     return scored.filter(hit)
 
 
+def long_enough(name: Column | str, threshold: float) -> Column:
+    """Whether a name can have a ratio above the threshold with any *different* name.
+
+    Different names are at least one step apart, so ratio > t needs la + lb > 1/(1-t), and the
+    length bound allows la + lb <= 2*la/t.  Names that fail need no similarity join.
+    """
+    return F.length(name) > threshold / (2 * (1 - threshold)) - EPS
+
+
 def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget()) -> DataFrame:
     """Greedy leader grouping of (name, pos): name, pos, leader, leader_pos.
 
@@ -209,7 +218,8 @@ def _settle_small(names: DataFrame, threshold: float) -> DataFrame:
         run, "name string, pos bigint, leader string, leader_pos bigint")
 
 
-def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size: int, budget: Budget):
+def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size: int, budget: Budget,
+                    scope: str | None = None):
     """The earliest names, as many (up to ``size``) as keep their candidate pairs in the budget."""
     while True:
         chunk = cut_lineage(todo.orderBy("pos").limit(size))
@@ -221,10 +231,11 @@ def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size:
         if load <= budget.candidate_pairs or n <= budget.first_names:
             break
         size = max(budget.first_names, n // 2)
-    pairs = similar_pairs(chunk, chunk, threshold, order=order, half=True)
-    place = chunk.select("name", "pos")
-    edges = (pairs.join(place.withColumnRenamed("pos", "p"), "name")
-             .join(place.withColumnsRenamed({"name": "other", "pos": "q"}), "other")
+    pairs = similar_pairs(chunk, chunk, threshold, scope=scope, order=order, half=True)
+    keys = [scope] if scope else []
+    place = chunk.select(*keys, "name", "pos")
+    edges = (pairs.join(place.withColumnRenamed("pos", "p"), [*keys, "name"])
+             .join(place.withColumnsRenamed({"name": "other", "pos": "q"}), [*keys, "other"])
              .select(F.least("p", "q").alias("pos"), F.greatest("p", "q").alias("other_pos")))
     return chunk, edges, size
 
@@ -248,25 +259,27 @@ def _leaders_of(chunk: DataFrame, edges: DataFrame) -> DataFrame:
     return cut_lineage(chunk.join(followers, "pos", "left_anti").select("name", "pos"))
 
 
-def complete_link_groups(names: DataFrame, threshold: float = 1.0, budget: Budget = Budget()) -> DataFrame:
+def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str | None = None,
+                         budget: Budget = Budget()) -> DataFrame:
     """Greedy complete-link grouping of (name, pos): name, pos, group_no (the position of its first name).
 
-    A name joins the first group all of whose members reach the threshold.  At the
-    default threshold only equal names do, which is a plain aggregate.  Below it, chunks
-    are placed in order: a group is open to a name when the name matches as many members
-    as the group has, which is counted with joins; only the order inside one bounded
-    chunk is settled in a single task.
+    A name joins the first group all of whose members reach the threshold; with ``scope``
+    only groups of its own scope.  At the default threshold only equal names do, which is a
+    plain aggregate.  Below it, chunks are placed in order: a group is open to a name when
+    the name matches as many members as the group has, which is counted with joins; only
+    the order inside one bounded chunk is settled in a single task.
     """
-    todo = first_by_pos(names.select("name", "pos"), ["name"])
+    keys = [scope, "name"] if scope else ["name"]
+    todo = first_by_pos(names.select(*keys, "pos"), keys)
     if threshold >= 1.0:
-        return todo.select("name", "pos", F.col("pos").alias("group_no"))
+        return todo.select(*keys, "pos", F.col("pos").alias("group_no"))
     todo = cut_lineage(todo)
-    order = TokenOrder(todo, threshold, budget)
+    order = TokenOrder(todo.select("name").distinct(), threshold, budget)
     placed: DataFrame | None = None
     most = max(budget.first_names, min(budget.most_names, math.isqrt(budget.candidate_pairs)))
     size = budget.first_names
     while True:
-        chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget)
+        chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget, scope)
         if chunk is None:
             break
         rows = chunk.select(F.col("pos"), F.lit(None).cast("bigint").alias("other_pos"), F.lit(0).alias("kind"))
@@ -274,20 +287,21 @@ def complete_link_groups(names: DataFrame, threshold: float = 1.0, budget: Budge
                                              F.lit(1).alias("kind")))
         if placed is not None:
             full = placed.groupBy("group_no").agg(F.count(F.lit(1)).alias("members"))
-            met = (similar_pairs(chunk, placed, threshold, order=order)
-                   .join(placed.select(F.col("name").alias("other"), "group_no"), "other")
-                   .groupBy("name", "group_no").agg(F.count(F.lit(1)).alias("hits")).join(full, "group_no")
-                   .filter("hits = members").join(chunk, "name"))
+            held = placed.select(*keys, "group_no").withColumnRenamed("name", "other")
+            met = (similar_pairs(chunk, placed, threshold, scope=scope, order=order)
+                   .join(held, [*keys[:-1], "other"])
+                   .groupBy(*keys, "group_no").agg(F.count(F.lit(1)).alias("hits")).join(full, "group_no")
+                   .filter("hits = members").join(chunk, keys).select("pos", "group_no"))
             # Each earlier name of the chunk can close one group, so the i-th needs only its first i open ones.
             met = top_per_group(met, ["pos"], [F.asc("group_no")], most).join(
                 number_in_chunk(chunk), "pos").filter("rank <= place")
             rows = rows.unionByName(met.select("pos", F.col("group_no").alias("other_pos"), F.lit(2).alias("kind")))
         chosen = rows.coalesce(1).mapInPandas(_place_chunk, "pos bigint, group_no bigint")
-        result = cut_lineage(chunk.join(chosen, "pos").select("name", "pos", "group_no"))
+        result = cut_lineage(chunk.join(chosen, "pos").select(*keys, "pos", "group_no"))
         placed = result if placed is None else cut_lineage(placed.unionByName(result))
-        todo = cut_lineage(todo.join(result, "name", "left_anti"))
+        todo = cut_lineage(todo.join(result, keys, "left_anti"))
         size = min(size * 2, most)
-    return placed if placed is not None else todo.select("name", "pos", F.col("pos").alias("group_no"))
+    return placed if placed is not None else todo.select(*keys, "pos", F.col("pos").alias("group_no"))
 
 
 def number_in_chunk(chunk: DataFrame) -> DataFrame:

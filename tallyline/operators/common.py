@@ -60,20 +60,23 @@ def missing_from(wanted: DataFrame, present: DataFrame, on: list[tuple[Column, C
     return left.join(right, cond, "left_anti").drop(*[f"_w{i}" for i in range(len(on))])
 
 
-def number_rows(df: DataFrame, pos: str, name: str = "row_no", parts: int = 200) -> DataFrame:
+def number_rows(df: DataFrame, pos: str, name: str = "row_no", rows_per_range: int = 250_000,
+                most_ranges: int = 10_000) -> DataFrame:
     """1-based row number in ``pos`` order without a one-task sort.
 
     Rows are cut into ranges at approximate quantiles of ``pos`` (fixed once, so a
     recomputed task sees the same cut), numbered inside their range, and shifted by the
-    number of rows in earlier ranges.  Rows sharing one ``pos`` stay in one range.
+    number of rows in earlier ranges.  Rows sharing one ``pos`` stay in one range.  The
+    number of ranges grows with the table.
     """
-    cuts = df.select(F.percentile_approx(pos, F.lit([i / parts for i in range(1, parts)]), F.lit(10_000)).alias("c"))
-    cuts = sorted(set((cuts.first() or [None])[0] or []))
-    if not cuts:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(pos)).cast("bigint"))
+    ranges = max(1, min(most_ranges, df.count() // rows_per_range + 1))
+    cuts = []
+    if ranges > 1:
+        points = [i / ranges for i in range(1, ranges)]
+        cuts = sorted(set(df.select(F.percentile_approx(pos, points, 5 * most_ranges).alias("c")).first()["c"] or []))
     ranged = df.withColumn("_range", _range_of(F.col(pos), cuts))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    # At most ``parts`` rows, so the running total over all of them is small.
+    # At most ``most_ranges`` rows, so the running total over all of them is small.
     before = sizes.select(
         F.col("_range").alias("_r"),
         (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
@@ -85,10 +88,17 @@ def number_rows(df: DataFrame, pos: str, name: str = "row_no", parts: int = 200)
 
 
 def _range_of(value: Column, cuts: list) -> Column:
-    """Number of cuts not greater than the value, by a balanced chain of comparisons."""
-    def descend(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value >= F.lit(cuts[mid]), descend(mid + 1, hi)).otherwise(descend(lo, mid))
-    return descend(0, len(cuts))
+    """Number of cuts not greater than the value, by halving over one array literal."""
+    if not cuts:
+        return F.lit(0)
+    table = F.lit(cuts)
+    def halve(state: Column, _step: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        above = value >= F.get(table, mid)
+        open_ = lo < hi
+        return F.struct(F.when(open_ & above, mid + 1).otherwise(lo).alias("lo"),
+                        F.when(open_ & ~above, mid).otherwise(hi).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])

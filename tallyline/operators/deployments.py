@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.similarity import similarity
 from ..functions.text import blank_to_null
-from .clustering import similar_pairs
+from .clustering import long_enough, similar_pairs
 
 
 def _folded(name: str) -> Column:
@@ -104,7 +103,8 @@ def auto_links(applications: DataFrame, services: DataFrame, threshold: float =
         services.select("service", "env_name"), F.lower("app_name") == F.lower("service"))
     if threshold >= 1.0:
         return same
-    near = similar_pairs(applications.select(F.col("app_name").alias("name")), services.select(F.col("service").alias("name")),
+    near = similar_pairs(applications.filter(long_enough("app_name", threshold)).select(F.col("app_name").alias("name")),
+                         services.filter(long_enough("service", threshold)).select(F.col("service").alias("name")),
                          threshold, strict=True).filter(F.lower("name") != F.lower("other"))
     more = (near.select(F.col("name").alias("app_name"), F.col("other").alias("service"))
             .join(applications.select("app_name"), "app_name").join(services.select("service", "env_name"), "service"))

@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scales import location_class, percent
-from ..functions.similarity import similarity
-from ..functions.text import is_valid
-from .clustering import similar_pairs
+from .clustering import long_enough, similar_pairs
 from .common import missing_from
 
 
@@ -95,9 +93,10 @@ def find_service(declared: DataFrame, actual: DataFrame, threshold: float = 0.99
         "_suffixed", F.lower(F.concat("name", F.lit("-"), "env_name")))
     exact = by_name.select(F.col("_name").alias("_dn"), F.col("_scope").alias("target"), F.col("_id").alias("_exact"))
     rows = rows.join(exact, ["_dn", "target"], "left")
-    open_rows = rows.filter(F.col("_exact").isNull()).select("_dn", "target").distinct()
+    # Equal names are settled above, so only names long enough for a near miss are compared.
+    open_rows = rows.filter(F.col("_exact").isNull() & long_enough("_dn", threshold)).select("_dn", "target").distinct()
     near = similar_pairs(open_rows.select(F.col("_dn").alias("name"), F.col("target").alias("scope")),
-                         by_name.select(F.col("_name").alias("name"), F.col("_scope").alias("scope")),
+                         by_name.filter(long_enough("_name", threshold)).select(F.col("_name").alias("name"), F.col("_scope").alias("scope")),
                          threshold, strict=True, scope="scope")
     best = (near.join(by_name, (near["other"] == by_name["_name"]) & (near["scope"] == by_name["_scope"]))
             .groupBy(F.col("name").alias("_dn"), F.col("scope").alias("target"))

@@ -15,37 +15,37 @@ BOOKKEEPING_KEYS = ["scanner_name", "import_date", "import_type", "lastScanDateT
 
 
 def tag_rows(assets: DataFrame) -> DataFrame:
-    """One row per tag with both sides non-empty after stripping, with its place of appearance."""
-    spread = assets.select("pos", F.posexplode("tags").alias("idx", "tag"))
-    return (spread.select("pos", "idx", strip(F.col("tag.key")).alias("key"), strip(F.col("tag.value")).alias("value"))
-            .filter((F.col("key") != "") & (F.col("value") != "")))
+    """One row per tag with both sides non-empty after stripping, with its place of appearance.
+
+    ``opens`` marks the first tag of its key inside the asset.
+    """
+    stripped = F.transform("tags", lambda t, i: F.struct(
+        strip(t["key"]).alias("key"), strip(t["value"]).alias("value"), i.alias("idx")))
+    kept = assets.select("pos", F.filter(stripped, lambda t: (t["key"] != "") & (t["value"] != "")).alias("_t"))
+    spread = kept.select("pos", F.transform("_t", lambda t: t["key"]).alias("_keys"), F.posexplode("_t").alias("_j", "t"))
+    return spread.select("pos", "t.idx", "t.key", "t.value",
+                         (F.array_position("_keys", F.col("t.key")) == F.col("_j") + 1).alias("opens"))
 
 
 def _value_counts(assets: DataFrame) -> DataFrame:
     return tag_rows(assets).groupBy("key", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "idx")).alias("first_seen"))
+        F.count(F.lit(1)).alias("n"), F.count_if("opens").alias("opened"), F.min(F.struct("pos", "idx")).alias("first_seen"))
 
 
 def tag_profile(assets: DataFrame) -> DataFrame:
     """Per key: occurrences, coverage over all assets, distinct values, first appearance.
 
     A key repeated inside one asset counts each time, so coverage can pass 100 %;
-    ``distinct_coverage_percent`` counts each asset once.  Values are counted in two
-    levels, (key, value) then key, so one frequent key is spread over its values.
+    ``distinct_coverage_percent`` counts each asset once.  One pass over the tags, counted in
+    two levels, (key, value) then key, so one frequent key is spread over its values.
     """
     total = assets.agg(F.count(F.lit(1))).scalar()
     by_key = _value_counts(assets).groupBy("key").agg(
-        F.sum("n").alias("asset_count"), F.count(F.lit(1)).alias("unique_values"),
-        F.min("first_seen").alias("first_seen"))
-    distinct_keys = assets.select(F.explode(F.array_distinct(F.filter(
-        F.transform("tags", lambda t: F.when(strip(t["value"]) != "", strip(t["key"]))),
-        lambda k: k != ""))).alias("key"))
-    holders = distinct_keys.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_assets"))
-    return (by_key.join(holders, "key")
-            .select("key", "asset_count",
-                    percent(F.col("asset_count"), total).alias("coverage_percent"),
-                    percent(F.col("distinct_assets"), total).alias("distinct_coverage_percent"),
-                    "unique_values", "first_seen"))
+        F.sum("n").alias("asset_count"), F.sum("opened").alias("distinct_assets"),
+        F.count(F.lit(1)).alias("unique_values"), F.min("first_seen").alias("first_seen"))
+    return by_key.select(
+        "key", "asset_count", percent(F.col("asset_count"), total).alias("coverage_percent"),
+        percent(F.col("distinct_assets"), total).alias("distinct_coverage_percent"), "unique_values", "first_seen")
 
 
 def sort_by_coverage(profile: DataFrame) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.tags import tag_value
 from .clustering import complete_link_groups
-from .common import first_by_pos
 
 # Types suggestions are made for.
 SUGGESTED_TYPES = ["CONTAINER", "CLOUD"]
@@ -16,24 +15,18 @@ def name_group_sizes(assets: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Sizes of name groups per (applicationId, type): group name, size, first position.
 
     ``assets`` has applicationId, type, name, pos.  At threshold 1 a group is a name, so
-    one aggregate does it; below, each (scope, type) pair is grouped by complete link.
+    one aggregate does it; below, complete link inside each (scope, type) pair.
     """
     counted = assets.groupBy("applicationId", "type", "name").agg(
         F.count(F.lit(1)).alias("asset_count"), F.min("pos").alias("first_pos"))
     if threshold >= 1.0:
         return counted
-    parts = []
-    for scope, kind in [tuple(r) for r in counted.select("applicationId", "type").distinct().toLocalIterator()]:
-        mine = counted.filter((F.col("applicationId") == scope) & (F.col("type") == kind))
-        groups = complete_link_groups(mine.select("name", F.col("first_pos").alias("pos")), threshold)
-        joined = mine.join(groups.select("name", "group_no"), "name")
-        parts.append(joined.groupBy("applicationId", "type", "group_no").agg(
-            F.min_by("name", "first_pos").alias("name"), F.sum("asset_count").alias("asset_count"),
-            F.min("first_pos").alias("first_pos")).drop("group_no"))
-    out = parts[0] if parts else counted
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    keyed = counted.withColumn("scope", F.to_json(F.struct("applicationId", "type")))
+    groups = complete_link_groups(keyed.select("scope", "name", F.col("first_pos").alias("pos")), threshold, scope="scope")
+    return (keyed.join(groups.select("scope", "name", "group_no"), ["scope", "name"])
+            .groupBy("applicationId", "type", "group_no").agg(
+                F.min_by("name", "first_pos").alias("name"), F.sum("asset_count").alias("asset_count"),
+                F.min("first_pos").alias("first_pos")).drop("group_no"))
 
 
 def component_suggestions(groups: DataFrame, environments: DataFrame, components: DataFrame,

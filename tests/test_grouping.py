@@ -58,7 +58,7 @@ def test_leader_groups_equal_sequential(spark, threshold):
 def test_complete_link_equals_sequential(spark, threshold):
     names = random_names(int(threshold * 1000), 110)
     df = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, pos bigint")
-    got = {r["name"]: names[r["group_no"]] for r in complete_link_groups(df, threshold, SMALL).collect()}
+    got = {r["name"]: names[r["group_no"]] for r in complete_link_groups(df, threshold, budget=SMALL).collect()}
     assert got == complete(names, threshold)
 
 
@@ -129,5 +129,13 @@ def test_autogroup_end_to_end(spark, tmp_path):
 
 def test_number_rows_over_many_ranges(spark):
     df = spark.range(1000).select((F.col("id") * F.col("id")).alias("pos"))
-    got = [(r["pos"], r["row_no"]) for r in number_rows(df, "pos", parts=16).collect()]
+    got = [(r["pos"], r["row_no"]) for r in number_rows(df, "pos", rows_per_range=60).collect()]
     assert sorted(got) == [(i * i, i + 1) for i in range(1000)]
+
+
+def test_similar_suggestions_stay_inside_their_scope(spark):
+    from tallyline.operators.suggestions import name_group_sizes
+    data = [("e1", "CLOUD", "server-one", 0), ("e1", "CLOUD", "server-ona", 1), ("e2", "CLOUD", "server-onb", 2), ("e1", "CONTAINER", "server-onc", 3)]
+    df = spark.createDataFrame(data, "applicationId string, type string, name string, pos bigint")
+    got = {(r["applicationId"], r["type"], r["name"], r["asset_count"]) for r in name_group_sizes(df, 0.8).collect()}
+    assert got == {("e1", "CLOUD", "server-one", 2), ("e2", "CLOUD", "server-onb", 1), ("e1", "CONTAINER", "server-onc", 1)}
