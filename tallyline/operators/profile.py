@@ -19,12 +19,12 @@ def tag_rows(assets: DataFrame) -> DataFrame:
 
     ``opens`` marks the first tag of its key inside the asset.
     """
-    stripped = F.transform("tags", lambda t, i: F.struct(
-        strip(t["key"]).alias("key"), strip(t["value"]).alias("value"), i.alias("idx")))
-    kept = assets.select("pos", F.filter(stripped, lambda t: (t["key"] != "") & (t["value"] != "")).alias("_t"))
-    spread = kept.select("pos", F.transform("_t", lambda t: t["key"]).alias("_keys"), F.posexplode("_t").alias("_j", "t"))
-    return spread.select("pos", "t.idx", "t.key", "t.value",
-                         (F.array_position("_keys", F.col("t.key")) == F.col("_j") + 1).alias("opens"))
+    # The plain array is spread and the tests follow, so the array is not rewritten before it is spread.
+    keys = F.transform("tags", lambda t: F.when(strip(t["value"]) != "", strip(t["key"])))
+    spread = assets.select("pos", keys.alias("_keys"), F.posexplode("tags").alias("idx", "_t"))
+    named = spread.select("pos", "idx", "_keys", strip(F.col("_t.key")).alias("key"), strip(F.col("_t.value")).alias("value"))
+    return named.filter((F.col("key") != "") & (F.col("value") != "")).select(
+        "pos", "idx", "key", "value", (F.array_position("_keys", F.col("key")) == F.col("idx") + 1).alias("opens"))
 
 
 def _value_counts(assets: DataFrame) -> DataFrame:
