@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.naming import canonical_filter, list_literal, scalar_filter, service_rule_name
+from ..functions.naming import canonical_filter, list_literal, rule_name, scalar_filter, service_rule_name
 from ..functions.network import cidr_list
 from ..functions.repositories import clean_repositories, last_two_parts
 from ..functions.tags import rule_tags, short_tag_filter, tag, tags_text
@@ -40,27 +40,33 @@ def _values(field: str) -> Column:
     return empty_to_null(field)
 
 
-def _component_rule_array(fields: list[tuple[str, str]]) -> Column:
-    rules = [F.struct(F.lit(i).alias("rule_no"), F.lit(name).alias("filter"), _values(field).alias("values"),
-                      F.concat(F.lit(f"Rule for {name} for "), "component").alias("rule_name"))
-             for i, (field, name) in enumerate(fields)]
+def _component_rule_array(fields: list[tuple[str, str]], descriptive: bool) -> Column:
+    def name_of(name: str, values: Column) -> Column:
+        return rule_name("component", F.lit(name), values) if descriptive else F.concat(F.lit(f"Rule for {name} for "), "component")
+    rules = []
+    for i, (field, name) in enumerate(fields):
+        values = _values(field)
+        rules.append(F.struct(F.lit(i).alias("rule_no"), F.lit(name).alias("filter"), values.alias("values"),
+                              name_of(name, values).alias("rule_name")))
     return F.filter(F.array(*rules), lambda r: r["values"].isNotNull())
 
 
 def component_rules(components: DataFrame) -> DataFrame:
-    """One single-filter rule per usable field, in fixed order.  Needs app_name, component and the filter fields."""
-    return (components.select("app_name", "component", F.explode(_component_rule_array(SINGLE_RULE_FIELDS)).alias("r"))
+    """One single-filter rule per usable field, in fixed order, named after its values.
+
+    Needs app_name, component and the filter fields.
+    """
+    return (components.select("app_name", "component", F.explode(_component_rule_array(SINGLE_RULE_FIELDS, True)).alias("r"))
             .select("app_name", "component", "r.*"))
 
 
 def component_rule_batches(components: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per component with its array of rules, unusable fields as errors)."""
-    rules = _component_rule_array(BATCH_RULE_FIELDS)
-    batches = components.select("app_name", "component", F.filter(rules, lambda r: F.size(r["values"]) > 0).alias("rules")).filter(F.size("rules") > 0)
-    given = [F.struct(F.lit(name).alias("filter"), (
-        (is_valid(field) == False) & col(field).isNotNull() & (col(field) != "") if field in SCALAR_FIELDS  # noqa: E712
-        else (F.size(col(field)) > 0) & ~F.coalesce(F.size(_values(field)) > 0, F.lit(False))).alias("bad"))
-        for field, name in BATCH_RULE_FIELDS]
+    """(one row per component with its array of rules, given but unusable fields as errors)."""
+    rules = _component_rule_array(BATCH_RULE_FIELDS, False)
+    batches = components.select("app_name", "component", rules.alias("rules")).filter(F.size("rules") > 0)
+    given = [F.struct(F.lit(name).alias("filter"), F.coalesce(
+        (~is_valid(field)) & (col(field) != "") if field in SCALAR_FIELDS else (F.size(col(field)) > 0) & _values(field).isNull(),
+        F.lit(False)).alias("bad")) for field, name in BATCH_RULE_FIELDS]
     errors = components.select("app_name", "component", F.explode(F.filter(F.array(*given), lambda g: g["bad"])).alias("g")).select(
         "app_name", "component", F.concat(F.lit("Invalid rule: Rule for "), "g.filter", F.lit(" for "), "component").alias("error"))
     return batches, errors
@@ -188,25 +194,23 @@ def filter_text(names: tuple[str, ...] = ("keyLike", "repository", "tags", "cidr
 
 def service_rules(services: DataFrame) -> DataFrame:
     """Rules of services (env_name, service, Type and filter fields): one per network of ``Infra`` services,
-    one per ``key:value`` tag, one per other field."""
+    one per ``key:value`` tag, one per other field; all but the first named after their values."""
     base = services.select("env_name", "service", *[c for c in services.columns if c not in ("env_name", "service")])
     networks = (base.filter((F.col("Type") == "Infra") & (F.col("Cidr") != ""))
                 .select("env_name", "service", F.posexplode(cidr_list("Cidr")).alias("i", "value"))
                 .select("env_name", "service", F.concat(F.lit("CIDR rule for "), "service", F.lit(" - "), (F.col("i") + 1).cast("string")).alias("rule_name"),
                         F.lit("cidr").alias("filter"), F.concat(F.lit("INFRA "), "value").alias("value")))
-    by_tag = None
-    for field in ("Tag", "Tag_rule", "Tags_rule"):
-        texts = F.filter(field, lambda x: F.contains(x, F.lit(":")))
-        spread = base.select("env_name", "service", F.explode(texts).alias("text")).withColumn("parts", F.split("text", ":"))
-        key, value = F.get("parts", F.lit(0)), F.get("parts", F.lit(1))
-        part = spread.select("env_name", "service", F.concat(
-            F.lit(f"Rule for {field} "), key, F.lit(":"), value, F.lit(" for "), "service").alias("rule_name"),
-            F.lit("tags").alias("filter"), F.concat(strip(key), F.lit("="), strip(value)).alias("value"))
-        by_tag = part if by_tag is None else by_tag.unionByName(part)
-    others = [F.struct(F.concat(F.lit(f"Rule for {field} for "), "service").alias("rule_name"), F.lit(name).alias("filter"),
-                       (F.when(F.col(field) != "", F.col(field)) if field in SCALAR_FIELDS
-                        else F.when(F.size(field) > 0, F.array_join(field, ","))).alias("value"))
-              for field, name in SERVICE_FIELDS]
+    tag_fields = F.array(*[F.col(f) for f in ("Tag", "Tag_rule", "Tags_rule")])
+    texts = F.filter(F.flatten(F.filter(tag_fields, lambda a: a.isNotNull())), lambda x: F.contains(x, F.lit(":")))
+    spread = base.select("env_name", "service", F.explode(texts).alias("text")).withColumn("parts", F.split("text", ":"))
+    key, value = strip(F.get("parts", F.lit(0))), strip(F.get("parts", F.lit(1)))
+    by_tag = spread.select("env_name", "service", rule_name("service", F.lit("tags"), F.array(F.concat(key, F.lit(":"), value))).alias("rule_name"),
+                           F.lit("tags").alias("filter"), F.concat(key, F.lit("="), value).alias("value"))
+    others = []
+    for field, name in SERVICE_FIELDS:
+        values = F.when(F.col(field) != "", F.array(field)) if field in SCALAR_FIELDS else empty_to_null(field)
+        others.append(F.struct(rule_name("service", F.lit(name), values).alias("rule_name"), F.lit(name).alias("filter"),
+                               F.array_join(values, ",").alias("value")))
     single = (base.select("env_name", "service", F.explode(F.filter(F.array(*others), lambda r: r["value"].isNotNull())).alias("r"))
               .select("env_name", "service", "r.*"))
     return networks.unionByName(by_tag).unionByName(single)

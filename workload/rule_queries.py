@@ -35,8 +35,10 @@ def _with_id(v):
     return v.declared_component.withColumn("app_name", F.col("component_id").cast("string"))
 
 
-@query("component_rules", "with " + _FIELDS + """
-select cast(component_id as varchar) as component_id, rule_no, filter, vals, 'Rule for ' || filter || ' for ' || component as rule_name from f""")
+@query("component_rules", "with " + _FIELDS + """,
+n as (select *, string_split(vals, ',') as a, case filter when 'keyLike' then 'SEARCH' when 'tags' then 'TAG' when 'repository' then 'REPO' when 'cidr' then 'CIDR' when 'fqdn' then 'FQDN' when 'osNames' then 'OS'
+  when 'hostnames' then 'HOST' when 'providerAccountId' then 'ACCOUNT-ID' else 'ASSET-TYPE' end as code from f)
+select cast(component_id as varchar) as component_id, rule_no, filter, vals, 'R-' || code || ' for ' || component || ' (' || array_to_string(a[1:2], ', ') || case when len(a) > 2 then ' +' || (len(a) - 2) else '' end || ')' as rule_name from n""")
 def _(v):
     r = rules.component_rules(_with_id(v))
     return r.select(F.col("app_name").alias("component_id"), "rule_no", "filter", F.array_join("values", ",").alias("vals"), "rule_name")
@@ -120,16 +122,17 @@ def _(v):
 @query("service_rules", """
 with c as (select service_id, service, trim(unnest(string_split(Cidr, ','))) as x, generate_subscripts(string_split(Cidr, ','), 1) as i from @declared_service where Type = 'Infra'),
 k as (select *, row_number() over (partition by service_id order by i) as n from c where x <> ''),
-t as (select service, 'Tag' as f, unnest(Tag) as x from @declared_service union all select service, 'Tag_rule', unnest(Tag_rule) from @declared_service union all select service, 'Tags_rule', unnest(Tags_rule) from @declared_service)
+t as (select service, unnest(Tag) as x from @declared_service union all select service, unnest(Tag_rule) from @declared_service union all select service, unnest(Tags_rule) from @declared_service),
+o as (select service, 'SEARCH' as code, 'keyLike' as filter, [SearchName] as a from @declared_service where SearchName <> ''
+  union all select service, 'FQDN', 'fqdn', Fqdn from @declared_service where len(Fqdn) > 0
+  union all select service, 'OS', 'osNames', OsNames from @declared_service where len(OsNames) > 0
+  union all select service, 'HOST', 'hostnames', Hostnames from @declared_service where len(Hostnames) > 0
+  union all select service, 'ACCOUNT-ID', 'providerAccountId', ProviderAccountId from @declared_service where len(ProviderAccountId) > 0
+  union all select service, 'ACCOUNT-NAME', 'providerAccountName', ProviderAccountName from @declared_service where len(ProviderAccountName) > 0
+  union all select service, 'ASSET-TYPE', 'assetType', [AssetType] from @declared_service where AssetType <> '')
 select service, 'CIDR rule for ' || service || ' - ' || n as rule_name, 'cidr' as filter, 'INFRA ' || case when x like '%/%' then x else x || '/32' end as value from k
-union all select service, 'Rule for ' || f || ' ' || split_part(x, ':', 1) || ':' || split_part(x, ':', 2) || ' for ' || service, 'tags', trim(split_part(x, ':', 1)) || '=' || trim(split_part(x, ':', 2)) from t where x like '%:%'
-union all select service, 'Rule for SearchName for ' || service, 'keyLike', SearchName from @declared_service where SearchName <> ''
-union all select service, 'Rule for Fqdn for ' || service, 'fqdn', array_to_string(Fqdn, ',') from @declared_service where len(Fqdn) > 0
-union all select service, 'Rule for OsNames for ' || service, 'osNames', array_to_string(OsNames, ',') from @declared_service where len(OsNames) > 0
-union all select service, 'Rule for Hostnames for ' || service, 'hostnames', array_to_string(Hostnames, ',') from @declared_service where len(Hostnames) > 0
-union all select service, 'Rule for ProviderAccountId for ' || service, 'providerAccountId', array_to_string(ProviderAccountId, ',') from @declared_service where len(ProviderAccountId) > 0
-union all select service, 'Rule for ProviderAccountName for ' || service, 'providerAccountName', array_to_string(ProviderAccountName, ',') from @declared_service where len(ProviderAccountName) > 0
-union all select service, 'Rule for AssetType for ' || service, 'assetType', AssetType from @declared_service where AssetType <> ''""")
+union all select service, 'R-TAG for ' || service || ' (' || trim(split_part(x, ':', 1)) || ':' || trim(split_part(x, ':', 2)) || ')', 'tags', trim(split_part(x, ':', 1)) || '=' || trim(split_part(x, ':', 2)) from t where x like '%:%'
+union all select service, 'R-' || code || ' for ' || service || ' (' || array_to_string(a[1:2], ', ') || ')', filter, array_to_string(a, ',') from o""")
 def _(v):
     return rules.service_rules(v.declared_service).select("service", "rule_name", "filter", "value")
 
