@@ -37,6 +37,10 @@ class Budget:
     most_names: int = 65_536
     candidate_pairs: int = 2_000_000
     common_tokens: int = 128
+    task_names: int = 50_000
+    task_comparisons: int = 1_000_000
+    copied_names: int = 4_096
+    names_per_task: int = 50_000
 
 
 def _bigram_floor(threshold: float) -> int:
@@ -113,9 +117,10 @@ def _json(table: dict[str, int]) -> str:
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict: bool = False,
                   scope: str | None = None, order: TokenOrder | None = None, half: bool = False,
-                  budget: Budget = Budget()) -> DataFrame:
+                  copy_right: bool = False, budget: Budget = Budget()) -> DataFrame:
     """Pairs (name, other, ratio) with ratio >= threshold (> when strict), both sides distinct names.
 
+    ``copy_right`` sends the right side to every executor; only for a side of counted, small size.
     ``half`` gives each unordered pair of different names once (name < other), for a table met with itself.
 
     ``scope`` names a column both sides have; pairs must agree on it.  A pair that
@@ -134,7 +139,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict
         lk, rk = lk.join(l, "name"), rk.join(r, "name")
         cond = ["token", "kind", scope]
     rk = rk.withColumnsRenamed({"name": "other", "prefix": "other_prefix"})
-    met = lk.join(rk, cond)
+    met = lk.join(F.broadcast(rk) if copy_right else rk, cond)
     if half:
         met = met.filter(F.col("name") < F.col("other"))
     met = met.filter(F.element_at(F.array_intersect("prefix", "other_prefix"), 1) == F.col("token"))
@@ -163,56 +168,77 @@ def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget())
     """
     todo = cut_lineage(first_by_pos(names.select("name", "pos"), ["name"]))
     left = todo.count()
-    if left <= budget.first_names:
-        return _settle_small(todo, threshold)
-    order = TokenOrder(todo, threshold, budget)
+    order: TokenOrder | None = None
     parts: list[DataFrame] = []
     size = budget.first_names
-    while left > budget.first_names:
+    while left:
         if size > budget.first_names:
             chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget)
         if size > budget.first_names:
             leaders = _leaders_of(chunk, edges)
+            done = leaders.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
         else:
-            chunk = todo.orderBy("pos").limit(size)
-            leaders = cut_lineage(_settle_small(chunk, threshold).filter("pos = leader_pos").select("name", "pos"))
-        others = todo.join(leaders, "name", "left_anti")
-        matches = similar_pairs(others, leaders, threshold, order=order)
+            done = cut_lineage(_settle(todo.orderBy("pos").limit(budget.task_names), threshold, budget.task_comparisons))
+            leaders = done.filter("pos = leader_pos").select("name", "pos")
+        settled, made = done.count(), leaders.count()
+        if settled == left:
+            parts.append(done)
+            break
+        if order is None:
+            todo = cut_lineage(_spread(todo, left, budget))
+            order = TokenOrder(todo, threshold, budget)
+        others = todo.join(done.select("name"), "name", "left_anti")
+        matches = similar_pairs(others, leaders, threshold, order=order, copy_right=made <= budget.copied_names)
         # At most ``most_names`` leaders a round.
         placed = (matches.join(F.broadcast(leaders.withColumnsRenamed({"name": "other", "pos": "leader_pos"})), "other")
                   .groupBy("name").agg(F.min_by("other", "leader_pos").alias("leader"),
                                        F.min("leader_pos").alias("leader_pos")))
-        own = leaders.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
-        result = cut_lineage(own.unionByName(todo.join(placed, "name").select("name", "pos", "leader", "leader_pos")))
+        result = cut_lineage(done.unionByName(todo.join(placed, "name").select("name", "pos", "leader", "leader_pos")))
         parts.append(result)
-        todo = cut_lineage(todo.join(result, "name", "left_anti"))
-        left = todo.count()
+        left -= result.count()
+        todo = cut_lineage(_spread(todo.join(result, "name", "left_anti"), left, budget))
         # Few leaders: the names are alike and the next few leaders take most of the rest.  Many: look at more at once.
-        sparse = leaders.count() * 2 >= min(size, left)
+        sparse = made * 2 >= min(settled, left)
         size = min(size * 2, budget.most_names) if sparse else budget.first_names
-    if left:
-        parts.append(cut_lineage(_settle_small(todo, threshold)))
-    settled = parts[0]
+    if not parts:
+        return todo.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
+    out = parts[0]
     for part in parts[1:]:
-        settled = settled.unionByName(part)
-    return settled
+        out = out.unionByName(part)
+    return out
+
+
+def _spread(names: DataFrame, rows: int, budget: Budget) -> DataFrame:
+    """Enough partitions for work that costs much per name; merging by size in bytes would leave too few."""
+    parts = max(names.sparkSession.sparkContext.defaultParallelism, rows // budget.names_per_task)
+    return names.repartition(parts, "name")
 
 
-def _settle_small(names: DataFrame, threshold: float) -> DataFrame:
-    """The grouping itself for at most ``first_names`` names, in one task."""
+def _settle(names: DataFrame, threshold: float, comparisons: int) -> DataFrame:
+    """Group a bounded table in order, in one task, for as long as ``comparisons`` last.
+
+    Names it does not reach are left out; they come later than every leader it returns.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = list(batches)
         if not frames:
             return
         rows = pd.concat(frames).sort_values("pos")
         leaders: list[tuple[str, int]] = []
-        out = []
+        spent, out = 0, []
         for name, pos in zip(rows["name"], rows["pos"]):
-            own = next((lead for lead in leaders if near_enough(name, lead[0], threshold)), None)
+            own = None
+            for lead in leaders:
+                spent += 1
+                if near_enough(name, lead[0], threshold):
+                    own = lead
+                    break
             if own is None:
                 own = (name, pos)
                 leaders.append(own)
             out.append((name, pos, *own))
+            if spent > comparisons:
+                break
         yield pd.DataFrame(out, columns=["name", "pos", "leader", "leader_pos"])
     return names.select("name", "pos").coalesce(1).mapInPandas(
         run, "name string, pos bigint, leader string, leader_pos bigint")
@@ -240,7 +266,7 @@ def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size:
     return chunk, edges, size
 
 
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _followers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Positions that follow an earlier leader, from the edges of one bounded chunk."""
     frames = list(batches)
     if not frames:
@@ -255,7 +281,7 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _leaders_of(chunk: DataFrame, edges: DataFrame) -> DataFrame:
     """Names of the chunk that follow no earlier leader of the chunk.  The edge list is within the budget."""
-    followers = edges.coalesce(1).mapInPandas(_settle, "pos bigint")
+    followers = edges.coalesce(1).mapInPandas(_followers, "pos bigint")
     return cut_lineage(chunk.join(followers, "pos", "left_anti").select("name", "pos"))
 
 
