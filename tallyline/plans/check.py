@@ -23,12 +23,15 @@ def declared_items(files: DataFrame) -> DataFrame:
             .unionByName(part(envs, "environment", "Name")).unionByName(part(services, "service", "Service")))
 
 
+def checked_items(files: DataFrame) -> DataFrame:
+    """Every declared item with stage, errors and validity; each kind has its own table of rules."""
+    items = declared_items(files)
+    parts = [validate(items.filter(F.col("kind") == kind), kind) for kind in ("application", "component", "environment", "service")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def check_files(files: DataFrame) -> dict[str, DataFrame]:
     """Findings on sections, errors per item, counts and rates per kind.  ``files`` has file and raw."""
-    items = declared_items(files)
-    checked = None
-    for kind in ("application", "component", "environment", "service"):
-        part = validate(items.filter(F.col("kind") == kind), kind)
-        checked = part if checked is None else checked.unionByName(part)
+    checked = checked_items(files)
     return {"sections": section_findings(files), "errors": error_rows(checked, "file", "kind", "name"),
             "counts": validity_counts(checked), "rates": validity_rates(checked)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import quality
+from tallyline.operators import quality, report
 from tallyline.plans import check
 from tallyline.sources import configs
 
@@ -147,12 +147,12 @@ i as (select p_partkey, 'application' as kind, 'App' as name, p_partkey % 7 <> 9
 
 @query("validity_counts", "with " + _CHECKED + "select kind, count(*) as total, count(*) filter (where valid) as valid, count(*) filter (where not valid) as invalid from i group by 1")
 def _(v):
-    return check.check_files(v.config_file)["counts"]
+    return report.validity_counts(check.checked_items(v.config_file))
 
 
 @query("validity_rates", "with " + _CHECKED + """
 select kind, count(*) as total, count(*) filter (where valid) as valid, round(count(*) filter (where valid) * 100.0 / count(*), 4) as rate,
   case when count(*) = count(*) filter (where valid) then 'all' when count(*) filter (where valid) * 100.0 / count(*) >= 80 then 'most' else 'low' end as band from i group by rollup(kind)""")
 def _(v):
-    r = check.check_files(v.config_file)["rates"]
+    r = report.validity_rates(check.checked_items(v.config_file))
     return r.select("kind", "total", "valid", F.round("rate", 4).alias("rate"), "band")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,8 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    import importlib
-    for m in ("function", "source", "grouping", "placement", "people", "rule", "checks", "report"):
-        try:
-            importlib.import_module(f".{m}_queries", __package__)
-        except ModuleNotFoundError:
-            pass
+    for part in ("function", "source", "grouping", "placement", "people", "rule", "checks", "report"):
+        importlib.import_module(f".{part}_queries", __package__)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
