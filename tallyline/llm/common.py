@@ -77,6 +77,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A grouped table dealt out anew, so that a join on its key shuffles both sides itself and Spark can
+    split the hot keys of the other side."""
+    return df.repartition(shuffle_partitions(df.sparkSession))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b long): one row (node, root) per node of an edge,
     ``root`` its component's least node.
@@ -90,10 +96,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.filter("b > a").join(spread(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(spread(least), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(now)

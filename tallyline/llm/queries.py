@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op7_best_fit_packing
 from .pieces import op10_pieces
+from .simhash import op1_simhash
+from .substring_dedup import op9_substring_dedup
 from .token_counts import op2_token_counts
 from .token_output import op3_token_output
 
@@ -26,7 +28,7 @@ def tokenizer(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_token_output, op7_best_fit_packing, op10_pieces)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_token_output, op7_best_fit_packing, op9_substring_dedup, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
