@@ -21,14 +21,19 @@ LETTER = "A-Za-z0-9À-ÖØ-öø-ÿ"
 class Remembered:
     """chunk -> value, computed by ``fill`` for whole batches of unknown chunks; at most ``most`` chunks are kept."""
 
-    def __init__(self, fill: Callable[[list[str]], list], most: int = 600_000, longest: int = 64):
+    def __init__(self, fill: Callable[[list[str]], list], most: int = 1_500_000, longest: int = 64):
         self.fill, self.most, self.longest = fill, most, longest
         self.known: dict[str, object] = {}
 
     def values(self, parts: list[list[str]]) -> list[list]:
-        get = self.known.get
-        found = [[get(c) for c in p] for p in parts]
-        holes = [[i for i, v in enumerate(f) if v is None] for f in found]
+        found = [list(map(self.known.get, p)) for p in parts]
+        holes = []
+        for f in found:
+            at, i = [], -1
+            for _ in range(f.count(None)):
+                i = f.index(None, i + 1)
+                at.append(i)
+            holes.append(at)
         missing = list(dict.fromkeys(p[i] for p, h in zip(parts, holes) for i in h))
         if missing:
             fresh = dict(zip(missing, self.fill(missing)))
@@ -60,20 +65,40 @@ class LibraryEncoder:
         elif plain and words.get("type") == "Sequence" and words["pretokenizers"][0].get("behavior") == "Removed" \
                 and r"[^\s\p{L}\p{N}]+" in words["pretokenizers"][0]["pattern"]["Regex"]:
             self.kind = "word"  # white space is dropped
-        self.unsafe = re.compile(rf"[^{LETTER}][.,]|\s[ \n]|\x00" if self.kind == "byte" else rf"[^{LETTER} \n][.,]|\x00")
+        # A stop after anything but a letter, and white space after white space: searched from the second character.
+        self.unsafe = [re.compile(rf"[.,](?<=[^{LETTER}].)"), re.compile(r"[ \n](?<=\s[ \n])")] if self.kind == "byte" else [
+            re.compile(rf"[.,](?<=[^{LETTER} \n].)")]
         self.gap = re.compile(r"(?<=\S)(?=[ \n])")
-        self.memory = Remembered(self._library)
+        self.memory = Remembered(self._chunks)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The library's model on chunks that are one pre-token whatever the rules, the whole library on the others."""
+        out: list[bytes | None] = []
+        model, byte = self.tokenizer.model, self.kind == "byte"
+        for c in chunks:
+            letters = c[1:] if byte and c[:1] == " " else c
+            if letters.isascii() and letters.isalpha():
+                # Byte-level pre-tokenisation writes a space as U+0120; the other file lowers its input.
+                word = "\u0120" * (len(c) - len(letters)) + letters if byte else letters.lower()
+                out.append(np.array([t.id for t in model.tokenize(word)], dtype="<u4").tobytes())
+            else:
+                out.append(None)
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self._library([chunks[i] for i in rest])):
+            out[i] = v
+        return out
+
     def cut(self, text: str) -> list[str]:
+        unsafe = "\0" in text or any(r.search(text) for r in self.unsafe)
         if self.kind == "byte":
-            if self.unsafe.search(text):
+            if unsafe:
                 return self.gap.split(text)
             text = text.replace(" ", "\0 ").replace("\n", "\0\n")
         else:
-            if self.unsafe.search(text):
+            if unsafe:
                 return re.split("[ \n]", text)
             text = text.replace(" ", "\0").replace("\n", "\0")
         return text.replace(",", "\0,").replace(".", "\0.").split("\0")

@@ -39,14 +39,14 @@ class Cutter:
             raise ValueError("a piece holds a space after another character, or a line end")
         latin = [chr(c) for c in [*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if chr(c).isalnum()]
         letters = "".join(c for c in latin if c + "." not in inside and c + "," not in inside)
-        self.unsafe = re.compile(rf"[^{letters}][.,]|{SPACE}{SPACE}|\x00")
+        self.unsafe = re.compile(rf"[.,](?<=[^{letters}].)")
         self.gap = re.compile(rf"(?<=[^{SPACE}])(?={SPACE})|(?<=\n)|(?=\n)")
 
     def cut(self, text: str) -> list[str]:
         if not text:
             return []
         text = SPACE + text.replace(" ", SPACE)
-        if self.unsafe.search(text):
+        if "\0" in text or SPACE + SPACE in text or self.unsafe.search(text):
             return [c for c in self.gap.split(text) if c]
         return [c for c in text.replace(SPACE, "\0" + SPACE).replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0") if c]
 
