@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from .chunks import library_encoder
 from .common import new_folder, shuffle_partitions, small_batches
@@ -74,7 +75,7 @@ def find_tokens(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path).filter(F.col("doc_id").isin(ids))
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def ids_crc32(tokens):
     return tokens.map(lambda t: zlib.crc32(np.asarray(t, dtype="<u4").tobytes()))
 
