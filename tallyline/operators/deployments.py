@@ -79,12 +79,30 @@ def mismatched_services(services: DataFrame, deployment_set: str) -> DataFrame:
     return services.filter(~hit)
 
 
-def component_links(components: DataFrame, services: DataFrame) -> DataFrame:
+def _stored_components(scopes: DataFrame, actual: DataFrame) -> DataFrame:
+    """(app_name, component) pairs of the snapshot, names as written."""
+    apps = scopes.filter(F.col("type") == "APPLICATION").select(F.col("name").alias("app_name"), F.col("id").alias("_id"))
+    return apps.join(actual, F.col("_id") == actual["applicationId"]).select("app_name", actual["name"].alias("component")).distinct()
+
+
+def absent_components(components: DataFrame, scopes: DataFrame, actual: DataFrame) -> DataFrame:
+    """Errors: named components of an application of the snapshot that the snapshot lacks, with or without a set.
+
+    Components of an application that is absent itself give no error.
+    """
+    named = existing_applications(components.filter(blank_to_null("component").isNotNull()), scopes)
+    return named.join(_stored_components(scopes, actual), ["app_name", "component"], "left_anti").select(
+        "component_id", "app_name", "component", F.lit("component not found in its application").alias("error"))
+
+
+def component_links(components: DataFrame, services: DataFrame, scopes: DataFrame, actual: DataFrame) -> DataFrame:
     """Links of components (component_id, app_name, component, deployment_set), long form.
 
-    Components without a match carry one row ``link_by = inherit``; those without a set are left out.
+    Only components that the snapshot holds in their application are linked; ``absent_components`` lists the
+    others.  Components without a match carry one row ``link_by = inherit``; those without a set are left out.
     """
-    asking = components.filter(blank_to_null("deployment_set").isNotNull())
+    present = components.join(_stored_components(scopes, actual), ["app_name", "component"], "left_semi")
+    asking = present.filter(blank_to_null("deployment_set").isNotNull())
     links = deployment_links(asking, services).withColumn(
         "selector", F.when(F.col("link_by") == "tag", F.lower("selector")).otherwise(F.col("selector")))
     cols = ["component_id", "app_name", "component", "link_by", "selector", "env_name"]

@@ -32,7 +32,7 @@ def referenced_but_absent(referenced: DataFrame, actual_teams: DataFrame) -> Dat
 
 def team_rules(teams: DataFrame, actual_teams: DataFrame) -> DataFrame:
     """Teams that need an association rule: new ones, and existing ones that ask to be rebuilt."""
-    known = actual_teams.groupBy("name").agg(F.first("id").alias("team_id"))
+    known = actual_teams.groupBy("name").agg(F.min("id").alias("team_id"))
     joined = teams.join(known, teams["TeamName"] == known["name"], "left")
     new = F.col("team_id").isNull() & blank_to_null("TeamName").isNotNull()
     again = F.col("team_id").isNotNull() & F.coalesce("RecreateTeamAssociations", F.lit(False))

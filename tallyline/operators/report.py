@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scales import operation_kind, percent, rate_band, validity_band
@@ -47,7 +49,14 @@ def breakdown(log: DataFrame, main_items: int = 10, other_items: int = 5) -> Dat
     items = (head.filter(F.col("rank") <= shown).groupBy(*keys)
              .agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_i"))
              .select(*keys, F.transform("_i", lambda x: x["item"]).alias("items")))
-    return counts.join(items, keys)
+    return _join_null_safe(counts, items, keys)
+
+
+def _join_null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi join that also pairs null keys; the columns of ``df`` first."""
+    right = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(right[f"_{k}"]) for k in keys])
+    return df.join(right, cond).drop(*[f"_{k}" for k in keys])
 
 
 def errors_by_file(log: DataFrame, k: int = 3) -> DataFrame:
@@ -55,7 +64,7 @@ def errors_by_file(log: DataFrame, k: int = 3) -> DataFrame:
     failed = log.filter(F.col("error").isNotNull() & F.col("operation").isNotNull())
     counts = failed.groupBy("file").agg(F.count(F.lit(1)).alias("errors"))
     head = top_per_group(failed.select("file", "operation", "item", "error", "pos"), ["file"], [F.asc("pos")], k)
-    return head.join(counts, "file")
+    return _join_null_safe(head, counts, ["file"])
 
 
 def systematic_sample(rows: DataFrame, every: int, pos: str = "pos") -> DataFrame:

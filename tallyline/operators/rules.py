@@ -232,12 +232,12 @@ def canonical_json(entries: Column | str) -> Column:
 def compare_rule_sets(expected: DataFrame, existing: DataFrame) -> DataFrame:
     """Adds ``status`` created or failed by canonical ``filter_map``, and how often the filter is expected.
 
-    An empty filter always fails.
+    An empty or null filter always fails; null filters count as one signature.
     """
     have = existing.filter(F.size("filter_map") > 0).select(canonical_json("filter_map").alias("_sig")).distinct().withColumn("_have", F.lit(True))
     wanted = expected.withColumn("signature", canonical_json("filter_map"))
-    repeats = wanted.groupBy("signature").agg(F.count(F.lit(1)).alias("times_expected"))
+    repeats = wanted.groupBy(F.col("signature").alias("_wanted")).agg(F.count(F.lit(1)).alias("times_expected"))
     empty = F.coalesce(F.size("filter_map"), F.lit(0)) <= 0
     return (wanted.join(have, wanted["signature"] == have["_sig"], "left").drop("_sig")
-            .join(repeats, "signature")
+            .join(repeats, F.col("signature").eqNullSafe(F.col("_wanted"))).drop("_wanted")
             .withColumn("status", F.when(F.coalesce("_have", F.lit(False)) & ~empty, "created").otherwise("failed")).drop("_have"))

@@ -10,10 +10,9 @@ from ..functions.repositories import last_two_parts
 def stale_team_tags(components: DataFrame, repositories: DataFrame, overrides: DataFrame) -> DataFrame:
     """``pteam`` tags to remove from components named like a repository whose team differs.
 
-    ``overrides`` (Key, Value) replaces a repository's subdomain, which is reported along.
+    ``overrides`` (Key, Value, pos) replaces a repository's subdomain, which is reported along.
     """
-    replaced = overrides.groupBy("Key").agg(F.last("Value").alias("Value")) if "pos" not in overrides.columns \
-        else overrides.groupBy("Key").agg(F.max_by("Value", "pos").alias("Value"))
+    replaced = overrides.groupBy("Key").agg(F.max_by("Value", "pos").alias("Value"))
     repos = (repositories.join(replaced, repositories["RepositoryName"] == replaced["Key"], "left")
              .select(last_two_parts("RepositoryName").alias("_name"), F.col("Team").alias("expected_team"),
                      F.coalesce("Value", "Subdomain").alias("subdomain")).distinct())
@@ -29,9 +28,10 @@ def team_tag_changes(declared: DataFrame, actual: DataFrame, keys: list[str], ad
     Both sides share ``keys``; declared has TeamNames, actual has id and tags.
     """
     joined = declared.select(*keys, "TeamNames").join(actual.select(*keys, "id", "tags"), keys)
-    teams = F.coalesce("TeamNames", F.array().cast("array<string>"))
-    stored = F.transform(F.filter(F.coalesce("tags", F.array().cast("array<struct<id:string,key:string,value:string>>")),
-                                  lambda t: t["key"] == "pteam"), lambda t: t["value"])
+    # Null names count on neither side.
+    teams = F.array_compact(F.coalesce("TeamNames", F.array().cast("array<string>")))
+    stored = F.array_compact(F.transform(F.filter(F.coalesce("tags", F.array().cast("array<struct<id:string,key:string,value:string>>")),
+                                  lambda t: t["key"] == "pteam"), lambda t: t["value"]))
     act = lambda values, name: F.transform(values, lambda v: F.struct(F.lit(name).alias("action"), v.alias("team")))
     gone = act(F.filter(stored, lambda v: ~F.array_contains(teams, v)), "remove")
     changes = gone

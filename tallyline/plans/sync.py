@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.actions import create_applications, create_environments, patch_applications, patch_environments
-from ..operators.deployments import (auto_links, component_links, deployment_links, existing_applications, known_services,
+from ..operators.deployments import (absent_components, auto_links, component_links, deployment_links, existing_applications, known_services,
                                      mismatch_counts, missing_service_errors)
 from ..operators.placement import place, service_sync, upsert
 from ..operators.people import referenced_but_absent, referenced_teams
@@ -44,7 +44,8 @@ def deployment_actions(applications: DataFrame, components: DataFrame, services:
     known = known_services(services, scopes, actual)
     usable = known.filter("usable")
     apps = existing_applications(applications, scopes)
-    return {"application_links": deployment_links(apps, usable), "component_links": component_links(components, usable),
+    return {"application_links": deployment_links(apps, usable), "component_links": component_links(components, usable, scopes, actual),
+            "component_errors": absent_components(components, scopes, actual),
             "auto_links": auto_links(apps, services), "errors": missing_service_errors(apps, known),
             "mismatches": mismatch_counts(apps, usable)}
 

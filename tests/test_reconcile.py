@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyline import schemas
-from tallyline.operators import deployments, people, placement, quality, report, rules
+from tallyline.operators import deployments, people, placement, quality, report, rules, team_tags
 from tallyline.plans import check
 from tallyline.sources import configs, images, readers
 from tallyline.streaming import operations
@@ -49,6 +49,36 @@ def test_deployment_set_before_tag(spark):
     assert rows(deployments.mismatch_counts(apps, svc), "deployment_set", "links", "mismatches") == [("S1", 2, 1), ("s2", 1, 2)]
 
 
+def test_components_absent_from_the_snapshot_are_errors(spark):
+    scopes = spark.createDataFrame([("a1", "Shop", "APPLICATION", None, 1)], schemas.ACTUAL_SCOPE)
+    have = actual(spark, [("1", "cart", "a1", 1), ("2", "till", "other", 2)])
+    comps = spark.createDataFrame([(1, "Shop", "cart", "s"), (2, "Shop", "till", "s"), (3, "Shop", "Cart", None), (4, "Gone", "cart", "s"), (5, "Shop", "", "s")],
+                                  "component_id long, app_name string, component string, deployment_set string")
+    svc = spark.createDataFrame([("x", "E", "S", None)], "service string, env_name string, deployment_set string, deployment_tag string")
+    assert rows(deployments.component_links(comps, svc, scopes, have), "component_id", "selector") == [(1, "x")]
+    assert rows(deployments.absent_components(comps, scopes, have), "component_id", "component") == [(2, "till"), (3, "Cart")]
+
+
+def test_null_filter_is_expected_and_fails(spark):
+    expected = spark.createDataFrame([(1, {"a": "x"}), (2, None), (3, {}), (4, None)], "n int, filter_map map<string,string>")
+    have = spark.createDataFrame([({"a": "x"},)], "filter_map map<string,string>")
+    assert rows(rules.compare_rule_sets(expected, have), "n", "status", "times_expected") == [
+        (1, "created", 1), (2, "failed", 2), (3, "failed", 1), (4, "failed", 2)]
+
+
+def test_reports_keep_records_without_category_and_file(spark):
+    log = spark.createDataFrame([(1, None, None, "create", "i", True, None), (2, "f", "apps", "create", "j", False, "bad"), (3, None, "apps", "create", "k", False, "worse")],
+                                "pos long, file string, category string, operation string, item string, success boolean, error string")
+    assert rows(report.breakdown(log), "category", "records", "items") == [("apps", 2, ["j", "k"]), (None, 1, ["i"])]
+    assert rows(report.errors_by_file(log), "file", "item", "errors") == [("f", "j", 1), (None, "k", 1)]
+
+
+def test_null_team_hides_no_stored_team(spark):
+    declared = spark.createDataFrame([("A", ["T1", None])], "app_name string, TeamNames array<string>")
+    have = spark.createDataFrame([("A", "1", [("i", "pteam", "T9"), ("j", "pteam", None)])], "app_name string, id string, tags array<struct<id:string,key:string,value:string>>")
+    assert rows(team_tags.team_tag_changes(declared, have, ["app_name"]), "action", "team") == [("add", "T1"), ("remove", "T9")]
+
+
 def test_environment_missing_from_snapshot_passes(spark):
     scopes = spark.createDataFrame([("e1", "Known", "ENVIRONMENT", None, 1)], schemas.ACTUAL_SCOPE)
     svc = spark.createDataFrame([("a", "Known"), ("b", "Known"), ("c", "Unknown")], "service string, env_name string")

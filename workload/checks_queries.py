@@ -80,30 +80,34 @@ def _(v):
 select 'file-' || p_partkey as file, 'App ' || p_partkey as app_name, 0 as rule_no, 's' as search, null as accounts, null as tag_rule, null as tag_rule_text from @part where p_partkey % 7 <> 6
 union all select 'file-' || p_partkey, 'App ' || p_partkey, 1, null, 'acc-' || p_size, 'k:v', true from @part where p_partkey % 7 <> 6""")
 def _(v):
-    c = configs.declared_components(configs.declared_applications(configs.roots(v.config_file))).filter("component = 'b'")
+    c = configs.declared_components(configs.declared_applications(configs.roots(v.config_file)))
     r = c.select("file", "app_name", F.posexplode("rules").alias("rule_no", "r"))
     return r.select("file", "app_name", "rule_no", F.col("r.SearchName").alias("search"), F.array_join("r.ProviderAccountId", ",").alias("accounts"),
                     F.array_join("r.Tag_rule", ",").alias("tag_rule"), "r.Tag_rule_text").withColumnRenamed("Tag_rule_text", "tag_rule_text")
 
 
-@query("repeated_keys", r"""
+_REPEATED = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as line from @config_text where text like '%:%'),
 m as (select doc_id, line, x, ltrim(x) as b, length(x) - length(ltrim(x)) as indent from l where ltrim(x) <> '' and ltrim(x) not like '#%'),
 i as (select doc_id, line, indent from m where b like '- %'),
 k as (select doc_id, line, indent, trim(split_part(b, ':', 1)) as key from m where b not like '- %' and b like '%:%' and b not like ':%'),
 p as (select k.doc_id, k.line, k.indent, k.key, coalesce(max(i.line), 0) as parent from k left join i on i.doc_id = k.doc_id and i.line < k.line and i.indent < k.indent group by all),
 r as (select *, min(line) over (partition by doc_id, indent, parent, key) as first_line from p)
+"""
+
+
+@query("repeated_keys", _REPEATED + """
 select doc_id, cast(line as bigint) as line, cast(first_line as bigint) as first_line, key, cast(indent as bigint) as indent from r where line > first_line""")
 def _(v):
     return quality.repeated_keys(v.config_text)
 
 
-@query("repeated_key_advice", """
-select p_partkey as doc_id, 'DeploymentGroups' as key, 'merge applications into the first section' as advice from @part where p_size % 3 = 0
-union all select p_partkey, 'Status', 'remove or rename' from @part where p_size % 5 = 0 union all select p_partkey, 'Type', 'remove or rename' from @part where p_size % 7 = 0""")
+@query("repeated_key_advice", _REPEATED + """
+select doc_id, key, case when indent = 0 and key in ('DeploymentGroups', 'Deployment Groups') then 'merge applications into the first section'
+  when indent = 0 and key in ('Environment Groups', 'EnvironmentGroups') then 'merge environments into the first section'
+  when indent = 0 then 'keep the first or merge the contents' else 'remove or rename' end as advice from r where line > first_line""")
 def _(v):
-    r = quality.repeated_keys(v.config_text.filter("doc_id < 1000000000"))
-    return r.select("doc_id", "key", quality.repeat_advice().alias("advice"))
+    return quality.repeated_keys(v.config_text).select("doc_id", "key", quality.repeat_advice().alias("advice"))
 
 
 @query("repeated_application_names", """

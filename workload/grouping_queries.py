@@ -213,14 +213,14 @@ def _(v):
 
 
 @query("component_suggestions", """
-with g as (select applicationId, type, coalesce(imageName, substr(assetName, 1, 14)) as name, count(*) as n, min(pos) as f from @asset where type in ('CONTAINER', 'CLOUD') group by 1, 2, 3 having count(*) > 1),
+with g as (select applicationId, type, 'name-' || pos % 40 as name, count(*) as n, min(pos) as f from @asset where type in ('CONTAINER', 'CLOUD') group by 1, 2, 3 having count(*) > 5),
 e as (select g.*, s.name as env, s.tags[1].value as team, s.pos as sp from g join @actual_scope s on s.id = g.applicationId and s.type = 'ENVIRONMENT'
   where g.name not in (select name from @actual_component)),
 r as (select *, row_number() over (partition by type, name order by sp, f) as rn from e)
 select type, name as component_name, env as environment_name, team, n as asset_count from r where rn = 1""")
 def _(v):
-    a = v.asset.filter("applicationId is not null").withColumn("name", F.coalesce("imageName", F.substring("assetName", 1, 14)))
-    return suggestions.component_suggestions(suggestions.name_group_sizes(a), v.actual_scope.filter("type = 'ENVIRONMENT'"), v.actual_component, 1)
+    a = v.asset.filter("applicationId is not null").withColumn("name", F.concat(F.lit("name-"), F.col("pos") % 40))
+    return suggestions.component_suggestions(suggestions.name_group_sizes(a), v.actual_scope.filter("type = 'ENVIRONMENT'"), v.actual_component)
 
 
 @query("group_teams", "with " + _TAGGED + """,

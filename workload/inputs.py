@@ -125,7 +125,8 @@ def _declared_app(d) -> str:
 select p_partkey as app_no, 'App ' || p_partkey as app_name, 'f' || p_partkey % 20 as file, p_partkey as pos, p_size % 13 as Tier,
   'Owner.' || replace(p_brand, '#', '') || '@X.org' as Responsable,
   case when p_partkey % 3 = 0 then ' Retail, ,Bank ' when p_partkey % 3 = 1 then p_type end as BU,
-  case when p_partkey % 2 = 0 then {d.arr("'Team ' || p_partkey % 7", "'Team ' || p_partkey % 3")}
+  case when p_partkey % 14 = 6 then {d.arr("'Team ' || p_partkey % 7", nul)}
+       when p_partkey % 2 = 0 then {d.arr("'Team ' || p_partkey % 7", "'Team ' || p_partkey % 3")}
        else cast({empty} as {arrtype}) end as TeamNames,
   case when p_partkey % 4 = 0 then {d.arr("'RiskFactor:a:b:' || p_size", "'plain'")} when p_partkey % 4 = 1 then {d.arr("' k : v:w '", "'x:'")} end as Tag_label,
   case when p_partkey % 5 = 0 then {d.arr("'loc:' || p_brand")} end as Tags_label,
@@ -249,7 +250,8 @@ from @nation where n_nationkey % 2 = 0""",
 select 'Admin.' || r_regionkey || '@x.org' as email, cast(r_regionkey as bigint) as pos from @region
 union all select 'noname', 10 from @region where r_regionkey = 0""",
     "op_log": lambda d: """
-select event_id as pos, 'f' || user_id % 10 as file, case event_type when 'click' then 'services' else event_type end as category,
+select event_id as pos, case when event_id % 17 <> 0 then 'f' || user_id % 10 end as file,
+  case when event_id % 13 = 0 then null when event_type = 'click' then 'services' else event_type end as category,
   case event_id % 7 when 0 then 'verify_item' when 1 then 'create_item' when 2 then 'update_item' when 3 then 'Skip_item'
     when 4 then 'add_rule' when 5 then 'modify_existing' else 'update_item' end as operation,
   'user-' || user_id as item, event_id % 11 <> 0 as success, case when event_id % 11 = 0 then 'E' || event_id % 5 end as error

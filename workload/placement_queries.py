@@ -253,7 +253,8 @@ def _(v):
 
 
 @query("component_deployments", "with " + _USABLE + """,
-c as (select * from @declared_component where deployment_set <> ''),
+c as (select * from @declared_component d where deployment_set <> '' and exists (select 1 from @actual_scope s join @actual_component a on a.applicationId = s.id
+  where s.type = 'APPLICATION' and s.name = d.app_name and a.name = d.component)),
 l as (select component_id, app_name, component, case when lower(u.deployment_set) = lower(c.deployment_set) then 'name' else 'tag' end as link_by,
   case when lower(u.deployment_set) = lower(c.deployment_set) then service else lower(deployment_tag) end as selector, env_name
   from c join u on usable and (lower(u.deployment_set) = lower(c.deployment_set) or lower(u.deployment_tag) = lower(c.deployment_set)))
@@ -261,7 +262,16 @@ select component_id, link_by, selector, env_name from (select component_id, link
   union all select component_id, 'inherit', null, null from c where component_id not in (select component_id from l))""")
 def _(v):
     comps = v.declared_component.select("component_id", "app_name", "component", "deployment_set")
-    return deployments.component_links(comps, _known(v).filter("usable")).select("component_id", "link_by", "selector", "env_name")
+    return deployments.component_links(comps, _known(v).filter("usable"), v.actual_scope, v.actual_component).select("component_id", "link_by", "selector", "env_name")
+
+
+@query("absent_components", """
+select component_id, app_name, component, 'component not found in its application' as error from @declared_component d
+where component <> '' and app_name in (select name from @actual_scope where type = 'APPLICATION') and not exists (
+  select 1 from @actual_scope s join @actual_component a on a.applicationId = s.id where s.type = 'APPLICATION' and s.name = d.app_name and a.name = d.component)""")
+def _(v):
+    comps = v.declared_component.select("component_id", "app_name", "component")
+    return deployments.absent_components(comps, v.actual_scope, v.actual_component)
 
 
 @query("auto_links", """
@@ -294,7 +304,7 @@ def _(v):
 
 @query("application_team_changes", """
 with j as (select d.app_name, s.id, coalesce(d.TeamNames, []) as teams, list_transform(list_filter(s.tags, lambda t: t.key = 'pteam'), lambda t: t.value) as stored
-  from @declared_app d join @actual_scope s on s.name = d.app_name)
+  from (select app_name, list_filter(TeamNames, lambda t: t is not null) as TeamNames from @declared_app) d join @actual_scope s on s.name = d.app_name)
 select app_name, id as entity_id, 'remove' as action, x as team from (select app_name, id, teams, unnest(stored) as x from j) where not list_contains(teams, x)
 union all select app_name, id, 'add', x from (select app_name, id, stored, unnest(teams) as x from j) where not list_contains(stored, x)""")
 def _(v):
@@ -358,7 +368,8 @@ def _(v):
 
 @query("synced_deployments", "with " + _USABLE + """
 select 'application' as side, count(*) as links from ap join u on usable and (lower(u.deployment_set) = lower(ap.deployment_set) or lower(u.deployment_tag) = lower(ap.deployment_set))
-union all select 'component', count(*) from @declared_component c join u on usable and (lower(u.deployment_set) = lower(c.deployment_set) or lower(u.deployment_tag) = lower(c.deployment_set))""")
+union all select 'component', count(*) from (select * from @declared_component d where exists (select 1 from @actual_scope s join @actual_component a on a.applicationId = s.id
+  where s.type = 'APPLICATION' and s.name = d.app_name and a.name = d.component)) c join u on usable and (lower(u.deployment_set) = lower(c.deployment_set) or lower(u.deployment_tag) = lower(c.deployment_set))""")
 def _(v):
     out = sync.deployment_actions(v.declared_app.select("app_no", "app_name", "deployment_set"), v.declared_component.select("component_id", "app_name", "component", "deployment_set"),
                                   v.declared_service, v.actual_scope, v.actual_component)

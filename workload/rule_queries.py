@@ -144,16 +144,16 @@ def _(v):
 
 
 @query("rule_set_comparison", """
-with e as (select p_partkey, p_type || '/' || p_size % 5 || '/' || p_partkey % 2 as sig, p_size % 10 = 0 as empty from @part),
+with e as (select p_partkey, case when p_size % 10 = 1 then null when p_size % 10 = 0 then '' else p_type || '/' || p_size % 5 || '/' || p_partkey % 2 end as sig from @part),
 h as (select distinct p_type || '/' || p_size % 5 || '/1' as sig from @part where p_size % 3 = 0)
-select p_partkey, case when not empty and sig in (select sig from h) then 'created' else 'failed' end as status,
-  count(*) over (partition by empty, case when empty then '' else sig end) as times_expected from e""")
+select p_partkey, case when sig <> '' and exists (select 1 from h where h.sig = e.sig) then 'created' else 'failed' end as status,
+  count(*) over (partition by sig) as times_expected from e""")
 def _(v):
     def filters(df, flag):
         entries = F.create_map(F.lit("type"), F.col("p_type"), F.lit("account"), F.concat((F.col("p_size") % 5).cast("string"), F.lit("/"), flag))
         return df.withColumn("filter_map", entries)
     expected = filters(v.part, (F.col("p_partkey") % 2).cast("string")).withColumn(
-        "filter_map", F.when(F.col("p_size") % 10 == 0, F.create_map().cast("map<string,string>")).otherwise(F.col("filter_map")))
+        "filter_map", F.when(F.col("p_size") % 10 == 1, F.lit(None)).when(F.col("p_size") % 10 == 0, F.create_map().cast("map<string,string>")).otherwise(F.col("filter_map")))
     stored = v.part.filter("p_size % 3 = 0").select(F.create_map(F.lit("account"), F.concat((F.col("p_size") % 5).cast("string"), F.lit("/1")), F.lit("type"), F.col("p_type")).alias("filter_map"))
     return rules.compare_rule_sets(expected.select("p_partkey", "filter_map"), stored).select("p_partkey", "status", "times_expected")
 

@@ -114,15 +114,28 @@ def _(v):
     return s.select("file", "env_name", "service", F.col("Tier").alias("tier"), F.col("TeamName").alias("team"), "deployment_set")
 
 
-@query("declared_repositories", """
+_REPOSITORIES = """
 select 'file-' || p_partkey as file, p_type || '/r1' as repository, p_type as domain, p_brand as subdomain, 'bd-' || p_partkey as build, 5 as tier from @part
-union all select 'file-' || p_partkey, 'r2', p_type, p_brand, 'bd-' || p_partkey, 5 from @part""")
-def _(v):
-    r = configs.declared_repositories(configs.roots(v.config_file), only_group=1)
+union all select 'file-' || p_partkey, 'r2', p_type, p_brand, 'bd-' || p_partkey, 5 from @part"""
+
+
+def _repositories(v, only_group):
+    r = configs.declared_repositories(configs.roots(v.config_file), only_group)
     return r.select("file", F.col("RepositoryName").alias("repository"), F.col("Domain").alias("domain"), F.col("Subdomain").alias("subdomain"),
                     F.col("BuildDefinitionName").alias("build"), F.col("Tier").alias("tier"))
 
 
+@query("declared_repositories", _REPOSITORIES)
+def _(v):
+    return _repositories(v, 1)
+
+
+# Only the second group of these files has build definitions.
+@query("declared_repositories_all", _REPOSITORIES)
+def _(v):
+    return _repositories(v, None)
+
+
 def _team_files(v):
     return v.sql("""select 'team-' || c_custkey || '.json' as file, c_custkey as file_pos, '{"TeamName":"T' || c_custkey % 300 || '","TeamMembers":[{"Name":"' || c_name ||
       '","EmailAddress":"c' || c_custkey || '@x.org","EmployeeType":"Employee"},{"Name":"Lead","EmailAddress":"l' || c_nationkey || '@x.org","EmployeeRole":"Manager"}]}' as raw from @customer""")
