@@ -35,5 +35,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_token_output, op4_line_dedup, op5_quality_classifier, op6_fingerprints, op7_best_fit_packing, op8_host_rules, op9_substring_dedup, op10_pieces)}
 
 
+_WORDS = r"""
+w as (select *, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') as ws from documents)"""
+
+_HOST_RULES = "with " + _WORDS + r""",
+e as (select doc_id, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as t from e),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, t) as times from g) where times > 1),
+c as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as k from r) group by doc_id),
+n as (select w.doc_id, source, len(ws) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+  cast(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from (select *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) as lines from w) w
+  left join c on c.doc_id = w.doc_id),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from n),
+f as (select *, base_failed or 10 * n_symbols > n_words or 5 * n_dup_lines > n_words or word_chars < 3 * n_words or word_chars > 12 * n_words as failed from b),
+h as (select source, count(*) as n, count(*) filter (where failed) as bad from f group by source),
+s as (select count(*) as k, cast(sum(n) as double) as n, cast(sum(bad) as double) / cast(sum(n) as double) as mean,
+  sum(cast(bad as double) * bad / n) as squares, cast(sum(n * n) as double) as sizes from h),
+v as (select *, case when k > 1 and n > sizes / n then (squares - n * mean * mean - (k - 1) * mean * (1 - mean)) / (n - sizes / n) else 0 end as between_hosts from s),
+p as (select mean, case when mean > 0 and mean < 1 and between_hosts > 0 then least(n, greatest(1.0, mean * (1 - mean) / between_hosts - 1)) else n end as weight from v)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and (bad + greatest(mean * weight, 1e-9)) / (h.n + greatest(mean * weight, 1e-9) + greatest((1 - mean) * weight, 1e-9)) <= 0.5 as kept
+from f join h on h.source is not distinct from f.source cross join p"""
+
+_REPEATS = "with " + _WORDS + r""",
+e as (select doc_id, unnest(range(1, len(ws) - 33)) as i, ws from w where len(ws) >= 35),
+g as (select doc_id, i, array_to_string(ws[i:i + 34], ' ') as t from e),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by t) as times from g) where times > 1),
+c as (select distinct doc_id, unnest(range(i, i + 35)) as k from r),
+x as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as k from w),
+k as (select x.doc_id, count(*) as n_words, count(c.k) as n_removed, string_agg(word, ' ' order by x.k) filter (where c.k is null) as kept
+  from x left join c on c.doc_id = x.doc_id and c.k = x.k group by x.doc_id)
+select w.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on k.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that joins and groups can express; tokenizers, boosted tables, hashes of 64 bits
+    and alignments are tested against brute force instead."""
+    return {"op8_host_rules": _HOST_RULES, "op9_substring_dedup": _REPEATS}
