@@ -32,13 +32,6 @@ def ratio_of(a: str, b: str) -> float:
     return 1.0 if total == 0 else 2.0 * lcs_length(a, b) / total
 
 
-def near_enough(a: str, b: str, threshold: float) -> bool:
-    """``ratio_of(a, b) >= threshold``, skipping pairs whose lengths rule it out."""
-    if 2.0 * min(len(a), len(b)) < threshold * (len(a) + len(b)) - 1e-9:
-        return False
-    return ratio_of(a, b) >= threshold
-
-
 @F.pandas_udf(T.DoubleType())
 def _ratio_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")

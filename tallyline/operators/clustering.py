@@ -9,8 +9,8 @@ Greedy grouping is defined by input order.  It is evaluated in rounds over the
   Names too short for that bound use single characters, where the bound is t(la+lb)/2.
   The filter loses no pair.
 * A round takes the earliest undecided names, as many as keep the candidate pairs
-  within a budget, settles them among themselves, and gives every later name the
-  earliest leader it matches.  Later leaders always have a greater position, so an
+  within a budget, settles them among themselves by joins over their similar pairs, and
+  gives every later name the earliest leader it matches.  Later leaders always have a greater position, so an
   assignment is final, and a big family of alike names disappears with its first leader.
 """
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.similarity import may_reach, near_enough, similarity
+from ..functions.similarity import may_reach, similarity
 from ..session import cut_lineage
 from .common import first_by_pos, top_per_group
 
@@ -37,8 +37,6 @@ class Budget:
     most_names: int = 65_536
     candidate_pairs: int = 2_000_000
     common_tokens: int = 128
-    task_names: int = 50_000
-    task_comparisons: int = 1_000_000
     copied_names: int = 4_096
     names_per_task: int = 50_000
 
@@ -168,25 +166,18 @@ def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget())
     """
     todo = cut_lineage(first_by_pos(names.select("name", "pos"), ["name"]))
     left = todo.count()
-    order: TokenOrder | None = None
+    order = TokenOrder(todo, threshold, budget) if left else None
     parts: list[DataFrame] = []
     size = budget.first_names
     while left:
-        if size > budget.first_names:
-            chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget)
-        if size > budget.first_names:
-            leaders = _leaders_of(chunk, edges)
-            done = leaders.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
-        else:
-            done = cut_lineage(_settle(todo.orderBy("pos").limit(budget.task_names), threshold, budget.task_comparisons))
-            leaders = done.filter("pos = leader_pos").select("name", "pos")
-        settled, made = done.count(), leaders.count()
-        if settled == left:
+        chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget)
+        leaders = _leaders_of(chunk, edges)
+        made = leaders.count()
+        settled = min(size, left)
+        done = leaders.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
+        if made == left:
             parts.append(done)
             break
-        if order is None:
-            todo = cut_lineage(_spread(todo, left, budget))
-            order = TokenOrder(todo, threshold, budget)
         others = todo.join(done.select("name"), "name", "left_anti")
         matches = similar_pairs(others, leaders, threshold, order=order, copy_right=made <= budget.copied_names)
         # At most ``most_names`` leaders a round.
@@ -214,36 +205,6 @@ def _spread(names: DataFrame, rows: int, budget: Budget) -> DataFrame:
     return names.repartition(parts, "name")
 
 
-def _settle(names: DataFrame, threshold: float, comparisons: int) -> DataFrame:
-    """Group a bounded table in order, in one task, for as long as ``comparisons`` last.
-
-    Names it does not reach are left out; they come later than every leader it returns.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        if not frames:
-            return
-        rows = pd.concat(frames).sort_values("pos")
-        leaders: list[tuple[str, int]] = []
-        spent, out = 0, []
-        for name, pos in zip(rows["name"], rows["pos"]):
-            own = None
-            for lead in leaders:
-                spent += 1
-                if near_enough(name, lead[0], threshold):
-                    own = lead
-                    break
-            if own is None:
-                own = (name, pos)
-                leaders.append(own)
-            out.append((name, pos, *own))
-            if spent > comparisons:
-                break
-        yield pd.DataFrame(out, columns=["name", "pos", "leader", "leader_pos"])
-    return names.select("name", "pos").coalesce(1).mapInPandas(
-        run, "name string, pos bigint, leader string, leader_pos bigint")
-
-
 def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size: int, budget: Budget,
                     scope: str | None = None):
     """The earliest names, as many (up to ``size``) as keep their candidate pairs in the budget."""
@@ -266,23 +227,25 @@ def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size:
     return chunk, edges, size
 
 
-def _followers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Positions that follow an earlier leader, from the edges of one bounded chunk."""
-    frames = list(batches)
-    if not frames:
-        return
-    edges = pd.concat(frames).sort_values(["other_pos", "pos"])
-    followers: set[int] = set()
-    for early, late in zip(edges["pos"], edges["other_pos"]):
-        if early not in followers:
-            followers.add(late)
-    yield pd.DataFrame({"pos": sorted(followers)}, dtype="int64")
-
-
 def _leaders_of(chunk: DataFrame, edges: DataFrame) -> DataFrame:
-    """Names of the chunk that follow no earlier leader of the chunk.  The edge list is within the budget."""
-    followers = edges.coalesce(1).mapInPandas(_followers, "pos bigint")
-    return cut_lineage(chunk.join(followers, "pos", "left_anti").select("name", "pos"))
+    """Names of the chunk that follow no earlier leader of the chunk.
+
+    In each round the names without an undecided earlier neighbour lead and their neighbours follow; both leave
+    the edge list.  Joins only, so the edges stay spread; a round decides at least the earliest name of every
+    connected part.
+    """
+    left = cut_lineage(edges.select("pos", "other_pos").distinct())
+    followers: DataFrame | None = None
+    while not left.isEmpty():
+        led = left.join(left.select(F.col("other_pos").alias("pos")).distinct(), "pos", "left_anti")
+        new = cut_lineage(led.select(F.col("other_pos").alias("follower")).distinct())
+        followers = new if followers is None else cut_lineage(followers.unionByName(new))
+        # An edge from a leader or from or to a follower says nothing more.
+        rest = left.join(new, left["pos"] == new["follower"], "left_anti")
+        left = cut_lineage(rest.join(new, rest["other_pos"] == new["follower"], "left_anti"))
+    if followers is None:
+        return cut_lineage(chunk.select("name", "pos"))
+    return cut_lineage(chunk.join(followers, F.col("pos") == F.col("follower"), "left_anti").select("name", "pos"))
 
 
 def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str | None = None,

@@ -60,45 +60,24 @@ def missing_from(wanted: DataFrame, present: DataFrame, on: list[tuple[Column, C
     return left.join(right, cond, "left_anti").drop(*[f"_w{i}" for i in range(len(on))])
 
 
-def number_rows(df: DataFrame, pos: str, name: str = "row_no", rows_per_range: int = 250_000,
-                most_ranges: int = 10_000) -> DataFrame:
-    """1-based row number in ``pos`` order without a one-task sort.
-
-    Rows are cut into ranges at approximate quantiles of ``pos`` (fixed once, so a
-    recomputed task sees the same cut), numbered inside their range, and shifted by the
-    number of rows in earlier ranges.  Rows sharing one ``pos`` stay in one range.  The
-    number of ranges grows with the table.
+def number_rows(df: DataFrame, pos: str, name: str = "row_no", span: int = 250_000, cells: int = 10_000) -> DataFrame:
+    """1-based row number in ``pos`` (an integer) order without a one-task sort; rows without ``pos`` come first.
+
+    Rows are numbered inside cells of ``span`` consecutive positions and shifted by the rows of earlier
+    cells, which are summed in two levels (``cells`` cells to a block).  Where positions are distinct a
+    cell holds at most ``span`` rows, whatever the size of the table, and nothing is sampled or counted
+    beforehand.  Rows sharing a ``pos`` stay in one cell.
     """
-    ranges = max(1, min(most_ranges, df.count() // rows_per_range + 1))
-    cuts = []
-    if ranges > 1:
-        points = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(df.select(F.percentile_approx(pos, points, 5 * most_ranges).alias("c")).first()["c"] or []))
-    ranged = df.withColumn("_range", _range_of(F.col(pos), cuts))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    # At most ``most_ranges`` rows, so the running total over all of them is small.
-    before = sizes.select(
-        F.col("_range").alias("_r"),
-        (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(pos))
-    return (ranged.withColumn("_inside", inside)
-            .join(F.broadcast(before), F.col("_range") == F.col("_r"))
-            .withColumn(name, F.col("_before") + F.col("_inside"))
-            .drop("_range", "_r", "_before", "_inside"))
-
-
-def _range_of(value: Column, cuts: list) -> Column:
-    """Number of cuts not greater than the value, by halving over one array literal."""
-    if not cuts:
-        return F.lit(0)
-    table = F.lit(cuts)
-    def halve(state: Column, _step: Column) -> Column:
-        lo, hi = state["lo"], state["hi"]
-        mid = F.shiftright(lo + hi, 1)
-        above = value >= F.get(table, mid)
-        open_ = lo < hi
-        return F.struct(F.when(open_ & above, mid + 1).otherwise(lo).alias("lo"),
-                        F.when(open_ & ~above, mid).otherwise(hi).alias("hi"))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+    at = F.col(pos).cast("long")
+    celled = df.withColumn("_cell", F.coalesce(at - F.pmod(at, F.lit(span)), F.lit(-2**62)))
+    sizes = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_block", F.col("_cell") - F.pmod(F.col("_cell"), F.lit(span * cells)))
+    blocks = sizes.groupBy("_block").agg(F.sum("_n").alias("_of_block"))
+    # A row per span * cells positions that occur: few, even for very large tables.
+    earlier = blocks.select("_block", (F.sum("_of_block").over(Window.orderBy("_block")) - F.col("_of_block")).alias("_earlier"))
+    inside_block = F.sum("_n").over(Window.partitionBy("_block").orderBy("_cell")) - F.col("_n")
+    before = (sizes.withColumn("_before", inside_block).join(earlier, "_block")
+              .select("_cell", (F.col("_before") + F.col("_earlier")).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(pos))
+    return (celled.withColumn("_inside", inside).join(before, "_cell")
+            .withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name))

@@ -12,7 +12,7 @@ from tallyline.operators.clustering import Budget, complete_link_groups, leader_
 from tallyline.operators.common import number_rows
 from tallyline.plans.autogroup import autogroup
 
-SMALL = Budget(first_names=24, most_names=200, candidate_pairs=3000, common_tokens=16, task_names=40, task_comparisons=150)
+SMALL = Budget(first_names=24, most_names=200, candidate_pairs=3000, common_tokens=16)
 
 
 def assets(spark, rows):
@@ -129,7 +129,7 @@ def test_autogroup_end_to_end(spark, tmp_path):
 
 def test_number_rows_over_many_ranges(spark):
     df = spark.range(1000).select((F.col("id") * F.col("id")).alias("pos"))
-    got = [(r["pos"], r["row_no"]) for r in number_rows(df, "pos", rows_per_range=60).collect()]
+    got = [(r["pos"], r["row_no"]) for r in number_rows(df, "pos", span=60, cells=5).collect()]
     assert sorted(got) == [(i * i, i + 1) for i in range(1000)]
 
 
