@@ -9,7 +9,7 @@ from workload.registry import oracle_sql, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # Not expressible on whole tables in SQL; their results are tested against sequential models in the other files.
-WITHOUT_SQL = {"host_clusters", "container_clusters", "full_grouping_plan", "service_lookup", "auto_links_similar"}
+WITHOUT_SQL = {"host_clusters", "container_clusters", "full_grouping_plan"}
 
 
 @pytest.fixture(scope="module")

@@ -68,8 +68,34 @@ def _(v):
             .select("service_id", F.coalesce("_f", F.lit(False)).alias("folded"), F.coalesce("_e", F.lit(False)).alias("exact")))
 
 
+# Ratios of the pairs in ``pr`` (a, b) by the usual table of longest common subsequences, row by row.
+_RATIOS = """
+dp(a, b, i, cells) as (
+  select a, b, 0, list_transform(range(0, length(b) + 1), lambda j: 0) from pr
+  union all
+  select a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc,
+      case when substr(a, i + 1, 1) = substr(b, j::int, 1) then cells[j] + 1 else greatest(cells[j + 1], acc[len(acc)]) end), [0]::int[])
+  from dp where i < length(a)),
+sc as (select a, b, 2.0::double * cells[len(cells)] / (length(a) + length(b)) as ratio from dp where i = length(a))
+"""
+
+
 # Every third actual service carries the long form of the name, so all steps of the cascade occur.
-@query("service_lookup")
+@query("service_lookup", """
+with recursive w as (select service_id, repeat(service, 4) || case when service_id % 4 = 1 then 'x' else '' end as name, env_name, target from @declared_service),
+st as (select 'id-' || service_id as id, case when service_id % 3 = 0 then lower(repeat(service, 4) || '-' || env_name) else repeat(upper(service), 4) end as name,
+  target as scope, service_id as pos from @declared_service where service_id % 7 <> 0),
+bn as (select lower(name) as n, scope, arg_min(id, pos) as id, min(pos) as pos from st group by 1, 2),
+x as (select w.*, lower(w.name) as dn, e.id as exact, u.id as suffixed from w left join bn e on e.n = lower(w.name) and e.scope = target
+  left join bn u on u.n = lower(w.name || '-' || env_name) and u.scope = target),
+pr as (select distinct dn as a, n as b from x join bn on scope = target where exact is null and 2.0 * least(length(dn), length(n)) > 0.99 * (length(dn) + length(n))),
+""" + _RATIOS + """,
+best as (select service_id, bn.id, ratio, row_number() over (partition by service_id order by ratio desc, bn.pos) as rn
+  from x join sc on sc.a = dn and ratio > 0.99 join bn on bn.n = sc.b and bn.scope = target where exact is null)
+select x.service_id, coalesce(exact, best.id, suffixed) as entity_id,
+  case when exact is not null then 'exact' when best.id is not null then 'similar' when suffixed is not null then 'suffixed' else 'none' end as found_by,
+  round(case when exact is not null then 1.0::double when best.id is not null then best.ratio end, 6) as ratio
+from x left join best on best.service_id = x.service_id and rn = 1""")
 def _(v):
     wanted = v.declared_service.select("service_id", F.concat(F.repeat("service", F.lit(4)), F.when(F.col("service_id") % 4 == 1, "x").otherwise("")).alias("name"), "env_name", "target")
     stored = v.declared_service.filter("service_id % 7 <> 0").select(
@@ -283,7 +309,13 @@ def _(v):
 
 
 # Names of parts and of brand-free types: few share a spelling, many are close.
-@query("auto_links_similar")
+@query("auto_links_similar", """
+with recursive ap as (select distinct p_name as app_name from @part), sv as (select distinct p_name || 's' as service from @part),
+pr as (select app_name as a, service as b from ap join sv on 2.0 * least(length(app_name), length(service)) > 0.9 * (length(app_name) + length(service))
+  and levenshtein(app_name, service) <= 0.1 * (length(app_name) + length(service)) + 0.001 and lower(app_name) <> lower(service)),
+""" + _RATIOS + """
+select app_name, service from ap join sv on lower(app_name) = lower(service)
+union all select a, b from sc where ratio > 0.9""")
 def _(v):
     apps = v.part.select(F.col("p_name").alias("app_name")).distinct()
     services = v.part.select(F.concat("p_name", F.lit("s")).alias("service")).distinct().withColumn("env_name", F.lit("e"))
