@@ -26,6 +26,9 @@ def windowed_statistics(log: DataFrame, window: str = "1 hour", lateness: str =
             .agg(F.count(F.lit(1)).alias("processed"), F.count_if(~F.col("success")).alias("errored")))
 
 
-def start(stats: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    return (stats.writeStream.outputMode(mode).format("memory").queryName(name)
+def start(stats: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Each batch replaces the table at ``path``; nothing is kept in the driver."""
+    def replace(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+    return (stats.writeStream.outputMode(mode).foreachBatch(replace)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -185,6 +185,6 @@ def test_streaming_counters(spark, tmp_path):
     src.mkdir()
     log = [{"ts": "2024-01-01T00:00:00Z", "category": "services", "operation": "create_x", "item": str(i), "success": i % 4 != 0, "pos": i} for i in range(8)]
     (src / "1.json").write_text("\n".join(json.dumps(r) for r in log))
-    q = operations.start(operations.live_statistics(operations.read_log_stream(spark, str(src))), "live_stats", str(tmp_path / "cp"))
+    q = operations.start(operations.live_statistics(operations.read_log_stream(spark, str(src))), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    assert rows(spark.table("live_stats"), "category", "processed", "created", "errored", "success_rate") == [("services", 8, 6, 2, 75.0)]
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "category", "processed", "created", "errored", "success_rate") == [("services", 8, 6, 2, 75.0)]

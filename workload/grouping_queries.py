@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyline.operators import clustering, grouping, profile, structure, suggestions
+from tallyline.session import scratch_path
 
 from .registry import query
 
@@ -255,10 +256,13 @@ def _(v):
     return structure.service_rows(_keyed_plan(v), _DEFAULTS, "Application").select("environment_name", "service_name", "environment_type", "service_type", "tier", "team")
 
 
-@query("generated_parents", "with " + _PLAN + """
+_PARENTS = "with " + _PLAN + """
 select 'environment' as side, application_name as name, count(*) as children, arg_min(case first_type when 'INFRA' then 'INFRA' else 'CLOUD' end, first_pos) as type from p where first_type in ('INFRA', 'CLOUD', 'CONTAINER') group by 2
-union all select 'application', application_name, count(*), null from p where first_type in ('WEB', 'REPOSITORY') group by 2""")
-def _(v):
+union all select 'application', application_name, count(*), null from p where first_type in ('WEB', 'REPOSITORY') group by 2"""
+
+
+@query("generated_parents", _PARENTS)
+def generated_parents(v):
     plan = _keyed_plan(v)
     env = structure.environment_rows(structure.service_rows(plan, _DEFAULTS, "Application"), _DEFAULTS)
     app = structure.application_rows(structure.component_rows(plan, _DEFAULTS, "Application"), _DEFAULTS)
@@ -266,6 +270,14 @@ def _(v):
         app.select(F.lit("application").alias("side"), F.col("application_name").alias("name"), F.col("components").alias("children"), F.lit(None).cast("string").alias("type")))
 
 
+@query("generated_structure_files", _PARENTS)
+def _(v):
+    from tallyline.sources import sinks
+    path = scratch_path(v.spark, "structure")
+    sinks.write_structure(path, "parquet", parents=generated_parents(v))
+    return v.spark.read.parquet(f"{path}/parents")
+
+
 @query("group_filters", "with " + _PLAN + """
 select group_key, case method when 'tag' then 'Tag=Application: ' || pv when 'cidr' then 'Cidr=' || cidr when 'repository' then 'RepositoryName=' || group_key
   when 'cloud_provider' then 'ProviderAccountId=' || account || ';AssetType=' || first_type when 'type' then 'AssetType=' || first_type end as rule from p""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyline import schemas
 from tallyline.functions import tags
+from tallyline.session import scratch_path
 from tallyline.sources import configs, images, readers, sinks
 
 from .registry import query
@@ -179,16 +180,30 @@ def _(v):
     return images.cluster_images(read(jobs, images.CRON_JOB), read(pods, images.POD), "sub", "id-1")
 
 
-@query("auto_component_export", """
+_EXPORT = """
 with s as (select p_partkey as pos, 'Env ' || p_size as env, p_name as name, 'T' || p_partkey % 7 as team, p_partkey % 9 as n from @part),
 r as (select *, row_number() over (partition by env, name order by pos desc) as rn from s)
-select env as application, env as environment, 'phx-auto-' || name as component, name as original_name, team, n as asset_count, 'CLOUD' as asset_type from r where rn = 1""")
-def _(v):
+select env as application, env as environment, 'auto-' || name as component, name as original_name, team, n as asset_count, 'CLOUD' as asset_type from r where rn = 1"""
+
+
+def _export(v):
     s = v.part.select(F.col("p_partkey").alias("pos"), F.concat(F.lit("Env "), "p_size").alias("environment_name"), F.col("p_name").alias("component_name"),
                       F.concat(F.lit("T"), F.col("p_partkey") % 7).alias("team"), (F.col("p_partkey") % 9).alias("asset_count"), F.lit("CLOUD").alias("type"))
     return sinks.auto_component_rows(s)
 
 
+@query("auto_component_export", _EXPORT)
+def _(v):
+    return _export(v)
+
+
+@query("auto_component_files", _EXPORT)
+def _(v):
+    path = scratch_path(v.spark, "auto-components")
+    sinks.write_auto_components(_export(v), path)
+    return v.spark.read.parquet(path)
+
+
 @query("config_union", """
 select file, 'local' as source, 0 as source_no from @config_file where file_pos % 3 = 0 union all select file, 'remote', 1 from @config_file where file_pos % 3 <> 0""")
 def _(v):
