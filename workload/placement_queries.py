@@ -336,11 +336,13 @@ def _(v):
 
 @query("application_team_changes", """
 with j as (select d.app_name, s.id, coalesce(d.TeamNames, []) as teams, list_transform(list_filter(s.tags, lambda t: t.key = 'pteam'), lambda t: t.value) as stored
-  from (select app_name, list_filter(TeamNames, lambda t: t is not null) as TeamNames from @declared_app) d join @actual_scope s on s.name = d.app_name)
+  from (select app_name, case when app_no % 14 = 6 then list_slice(TeamNames, 1, 1) else TeamNames end as TeamNames from @declared_app) d join @actual_scope s on s.name = d.app_name)
 select app_name, id as entity_id, 'remove' as action, x as team from (select app_name, id, teams, unnest(stored) as x from j) where not list_contains(teams, x)
 union all select app_name, id, 'add', x from (select app_name, id, stored, unnest(teams) as x from j) where not list_contains(stored, x)""")
 def _(v):
-    return team_tags.team_tag_changes(v.declared_app, v.actual_scope.withColumnRenamed("name", "app_name"), ["app_name"])
+    # Some lists hold a null beside one team; it counts as no team.
+    declared = v.declared_app.withColumn("TeamNames", F.when(F.col("app_no") % 14 == 6, F.array(F.get("TeamNames", F.lit(0)), F.lit(None).cast("string"))).otherwise(F.col("TeamNames")))
+    return team_tags.team_tag_changes(declared, v.actual_scope.withColumnRenamed("name", "app_name"), ["app_name"])
 
 
 @query("component_team_changes", """
