@@ -28,12 +28,14 @@ from ..session import cut_lineage
 from .common import first_by_pos, top_per_group
 
 EPS = 1e-9
+FEW_EDGES = 28  # pairs of eight names
 
 
 @dataclass(frozen=True)
 class Budget:
     """Sizes that bound one round; none of them changes a result."""
-    first_names: int = 512
+    first_names: int = 8
+    chunk_names: int = 512
     most_names: int = 65_536
     candidate_pairs: int = 2_000_000
     common_tokens: int = 128
@@ -188,9 +190,10 @@ def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget())
         parts.append(result)
         left -= result.count()
         todo = cut_lineage(_spread(todo.join(result, "name", "left_anti"), left, budget))
-        # Few leaders: the names are alike and the next few leaders take most of the rest.  Many: look at more at once.
+        # Few leaders: the names are alike and the next few leaders take most of the rest before their pairs are
+        # listed.  Many: look at more at once.
         sparse = made * 2 >= min(settled, left)
-        size = min(size * 2, budget.most_names) if sparse else budget.first_names
+        size = min(size * 8, budget.most_names) if sparse else budget.first_names
     if not parts:
         return todo.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
     out = parts[0]
@@ -232,8 +235,15 @@ def _leaders_of(chunk: DataFrame, edges: DataFrame) -> DataFrame:
 
     In each round the names without an undecided earlier neighbour lead and their neighbours follow; both leave
     the edge list.  Joins only, so the edges stay spread; a round decides at least the earliest name of every
-    connected part.
+    connected part.  The few edges of a first chunk are walked in order instead.
     """
+    few = edges.select("pos", "other_pos").limit(FEW_EDGES + 1).collect()
+    if len(few) <= FEW_EDGES:
+        follows: set[int] = set()
+        for early, late in sorted((r["pos"], r["other_pos"]) for r in few):
+            if early not in follows:
+                follows.add(late)
+        return chunk.filter(~F.col("pos").isin(sorted(follows))).select("name", "pos")
     left = cut_lineage(edges.select("pos", "other_pos").distinct())
     followers: DataFrame | None = None
     while not left.isEmpty():
@@ -265,8 +275,8 @@ def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str |
     todo = cut_lineage(todo)
     order = TokenOrder(todo.select("name").distinct(), threshold, budget)
     placed: DataFrame | None = None
-    most = max(budget.first_names, min(budget.most_names, math.isqrt(budget.candidate_pairs)))
-    size = budget.first_names
+    most = max(budget.chunk_names, min(budget.most_names, math.isqrt(budget.candidate_pairs)))
+    size = budget.chunk_names
     while True:
         chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget, scope)
         if chunk is None:

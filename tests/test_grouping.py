@@ -12,7 +12,7 @@ from tallyline.operators.clustering import Budget, complete_link_groups, leader_
 from tallyline.operators.common import number_rows
 from tallyline.plans.autogroup import autogroup
 
-SMALL = Budget(first_names=24, most_names=200, candidate_pairs=3000, common_tokens=16)
+SMALL = Budget(first_names=24, chunk_names=24, most_names=200, candidate_pairs=3000, common_tokens=16)
 
 
 def assets(spark, rows):
