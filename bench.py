@@ -33,6 +33,7 @@ def main() -> None:
     if names == ["all"]:
         names = list(registered)
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()  # start the executor threads outside the timings
+    registered[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # so that no query carries the start costs
     seconds: dict[str, float] = {}
     for name in names:
         started = time.perf_counter()

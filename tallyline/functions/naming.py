@@ -63,12 +63,18 @@ def shorten(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
 
 
-def rule_name(component: Column | str, filter_name: Column | str, values: Column | str) -> Column:
-    """Method code, component, the first two values and how many more there are."""
+def method_code(filter_name: str) -> str:
+    """The code of a filter known when the plan is built."""
+    return METHOD_CODES.get(filter_name, filter_name.upper())
+
+
+def rule_name(component: Column | str, filter_name: Column | str, values: Column | str, code: Column | None = None) -> Column:
+    """Method code (looked up unless given), component, the first two values and how many more there are."""
     values, filter_name = col(values), col(filter_name)
     shown = F.array_join(F.slice(values, 1, 2), ", ")
     more = F.when(F.size(values) > 2, F.concat(F.lit(" +"), (F.size(values) - 2).cast("string"))).otherwise("")
-    code = F.coalesce(_lookup(METHOD_CODES, filter_name), F.upper(filter_name))
+    if code is None:
+        code = F.coalesce(_lookup(METHOD_CODES, filter_name), F.upper(filter_name))
     return F.concat(F.lit("R-"), code, F.lit(" for "), col(component), F.lit(" ("),
                     shorten(F.concat(shown, more), 50), F.lit(")"))
 

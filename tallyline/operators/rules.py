@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.naming import canonical_filter, list_literal, rule_name, scalar_filter, service_rule_name
+from ..functions.naming import canonical_filter, list_literal, method_code, rule_name, scalar_filter, service_rule_name
 from ..functions.network import cidr_list
 from ..functions.repositories import clean_repositories, last_two_parts
 from ..functions.tags import rule_tags, short_tag_filter, tag, tags_text
@@ -40,14 +40,10 @@ def _values(field: str) -> Column:
     return empty_to_null(field)
 
 
-def _component_rule_array(fields: list[tuple[str, str]], descriptive: bool) -> Column:
-    def name_of(name: str, values: Column) -> Column:
-        return rule_name("component", F.lit(name), values) if descriptive else F.concat(F.lit(f"Rule for {name} for "), "component")
-    rules = []
-    for i, (field, name) in enumerate(fields):
-        values = _values(field)
-        rules.append(F.struct(F.lit(i).alias("rule_no"), F.lit(name).alias("filter"), values.alias("values"),
-                              name_of(name, values).alias("rule_name")))
+def _given_fields(fields: list[tuple[str, str]]) -> Column:
+    """Array of (rule_no, filter, code, values) of the usable fields, in their order."""
+    rules = [F.struct(F.lit(i).alias("rule_no"), F.lit(name).alias("filter"), F.lit(method_code(name)).alias("code"), _values(field).alias("values"))
+             for i, (field, name) in enumerate(fields)]
     return F.filter(F.array(*rules), lambda r: r["values"].isNotNull())
 
 
@@ -56,13 +52,16 @@ def component_rules(components: DataFrame) -> DataFrame:
 
     Needs app_name, component and the filter fields.
     """
-    return (components.select("app_name", "component", F.explode(_component_rule_array(SINGLE_RULE_FIELDS, True)).alias("r"))
-            .select("app_name", "component", "r.*"))
+    given = components.select("app_name", "component", F.explode(_given_fields(SINGLE_RULE_FIELDS)).alias("r"))
+    return given.select("app_name", "component", "r.rule_no", "r.filter", "r.values",
+                        rule_name("component", "r.filter", "r.values", F.col("r.code")).alias("rule_name"))
 
 
 def component_rule_batches(components: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per component with its array of rules, given but unusable fields as errors)."""
-    rules = _component_rule_array(BATCH_RULE_FIELDS, False)
+    rules = F.transform(_given_fields(BATCH_RULE_FIELDS), lambda r: F.struct(
+        r["rule_no"].alias("rule_no"), r["filter"].alias("filter"), r["values"].alias("values"),
+        F.concat(F.lit("Rule for "), r["filter"], F.lit(" for "), F.col("component")).alias("rule_name")))
     batches = components.select("app_name", "component", rules.alias("rules")).filter(F.size("rules") > 0)
     given = [F.struct(F.lit(name).alias("filter"), F.coalesce(
         (~is_valid(field)) & (col(field) != "") if field in SCALAR_FIELDS else (F.size(col(field)) > 0) & _values(field).isNull(),

@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.actions import create_applications, create_environments, patch_applications, patch_environments
+from ..operators.actions import (create_applications, create_components, create_environments, patch_applications, patch_components,
+                                 patch_environments)
 from ..operators.deployments import (absent_components, auto_links, component_links, deployment_links, existing_applications, known_services,
                                      mismatch_counts, missing_service_errors)
 from ..operators.placement import place, service_sync, upsert
-from ..operators.people import referenced_but_absent, referenced_teams
+from ..operators.people import (membership_changes, missing_users, referenced_but_absent, referenced_teams, team_rules,
+                                teams_to_create)
+from ..operators.rules import component_rules, service_rules
+from ..operators.team_tags import stale_team_tags, team_tag_changes
 
 
 def environment_actions(environments: DataFrame, scopes: DataFrame) -> dict[str, DataFrame]:
@@ -53,3 +57,31 @@ def deployment_actions(applications: DataFrame, components: DataFrame, services:
 def derived_teams(environments: DataFrame, services: DataFrame, applications: DataFrame, components: DataFrame,
                   actual_teams: DataFrame) -> DataFrame:
     return referenced_but_absent(referenced_teams(environments, services, applications, components), actual_teams)
+
+
+def people_actions(teams: DataFrame, members: DataFrame, hives: DataFrame, access: DataFrame, actual_teams: DataFrame,
+                   current: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
+    """Teams, their association rules, users and memberships; inputs as in ``operators.people``."""
+    new_users, rejected = missing_users(members, hives, access, users)
+    return {"teams": teams_to_create(teams, actual_teams), "team_rules": team_rules(teams, actual_teams),
+            "users": new_users, "rejected_users": rejected,
+            "memberships": membership_changes(actual_teams, current, teams, members, hives, access)}
+
+
+def tag_actions(applications: DataFrame, scopes: DataFrame, components: DataFrame, repositories: DataFrame,
+                overrides: DataFrame) -> dict[str, DataFrame]:
+    """Team tags of applications to add and remove, and stale team tags of stored ``components``."""
+    stored = scopes.filter(F.col("type") == "APPLICATION").withColumnRenamed("name", "app_name")
+    return {"application_teams": team_tag_changes(applications, stored, ["app_name"]),
+            "stale_component_teams": stale_team_tags(components, repositories, overrides)}
+
+
+def rule_actions(components: DataFrame, services: DataFrame) -> dict[str, DataFrame]:
+    """Single-filter rules of components and rules of services."""
+    return {"component_rules": component_rules(components), "service_rules": service_rules(services)}
+
+
+def component_writes(components: DataFrame, scopes: DataFrame, actual: DataFrame) -> dict[str, DataFrame]:
+    """Rows to create and to patch, from declared components (name, component, app_name and the columns of the two)."""
+    placed = component_actions(components, scopes, actual)
+    return {"create": create_components(placed.filter(~F.col("entity_exists"))), "update": patch_components(placed.filter("entity_exists"))}

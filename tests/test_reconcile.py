@@ -188,3 +188,19 @@ def test_streaming_counters(spark, tmp_path):
     q = operations.start(operations.live_statistics(operations.read_log_stream(spark, str(src))), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "category", "processed", "created", "errored", "success_rate") == [("services", 8, 6, 2, 75.0)]
+
+
+def test_sync_steps_hand_their_rows_on(spark):
+    from tallyline.plans import sync
+    teams = spark.createDataFrame([("T1", False), ("T2", True)], "TeamName string, RecreateTeamAssociations boolean")
+    actual_teams = spark.createDataFrame([("t2", "T2")], "id string, name string")
+    members = spark.createDataFrame([("T2", "a@x.org", "Ann A", "", "Employee", 1)], "team string, email string, name string, employee_role string, employee_type string, pos long")
+    hives = spark.createDataFrame([], "team string, lead string, product array<string>, pos long")
+    access = spark.createDataFrame([], "email string")
+    current = spark.createDataFrame([("T2", "old@x.org")], "team string, email string")
+    users = spark.createDataFrame([], "email string")
+    out = sync.people_actions(teams, members, hives, access, actual_teams, current, users)
+    assert rows(out["teams"], "team") == [("T1",)]
+    assert rows(out["team_rules"], "team", "reason") == [("T1", "new"), ("T2", "recreate")]
+    assert rows(out["memberships"], "email", "action") == [("a@x.org", "add"), ("old@x.org", "remove")]
+    assert [r["email"] for r in out["users"].collect()] == ["a@x.org"]
