@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -18,6 +18,18 @@ import numpy as np
 LETTER = "A-Za-z0-9À-ÖØ-öø-ÿ"
 
 
+LONG_TEXT = 1 << 18  # characters above which a text is cut in stretches, so that its chunks need not all be held at once
+
+
+def stretches(text: str, gap: re.Pattern) -> Iterator[str]:
+    """The text in order, cut at the first ``gap`` after each ``LONG_TEXT`` characters."""
+    at = 0
+    while len(text) - at > LONG_TEXT and (found := gap.search(text, at + LONG_TEXT)):
+        yield text[at:found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 class Remembered:
     """chunk -> value, computed by ``fill`` for whole batches of unknown chunks; at most ``most`` chunks are kept."""
 
@@ -110,6 +122,10 @@ class LibraryEncoder:
         apart = set(whole)
         rest = [i for i in range(len(texts)) if i not in apart]
         out: list[bytes] = [b""] * len(texts)
+        long = [i for i in rest if len(texts[i]) > LONG_TEXT]
+        for i in long:
+            out[i] = b"".join(b"".join(self.memory.values([self.cut(s)])[0]) for s in stretches(texts[i], self.gap))
+        rest = [i for i in rest if len(texts[i]) <= LONG_TEXT]
         for at in range(0, len(rest), 64):
             some = rest[at:at + 64]
             for i, v in zip(some, self.memory.values([self.cut(texts[i]) for i in some])):

@@ -89,9 +89,10 @@ class PieceAutomaton:
         return ids[::-1]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            out.extend(map(b"".join, self.memory.values([self.cutter.cut(t or "") for t in texts[at:at + 64]])))
+        out = [b""] * len(texts)
+        for at, chunks in self.cutter.parts(texts):
+            for i, v in enumerate(self.memory.values(chunks), at):
+                out[i] += b"".join(v)
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .chunks import Remembered
+from .chunks import LONG_TEXT, Remembered, stretches
 from .common import small_batches, without
 
 SPACE = "▁"  # how the vocabulary writes a space
@@ -42,10 +43,27 @@ class Cutter:
         self.unsafe = re.compile(rf"[.,](?<=[^{letters}].)")
         self.gap = re.compile(rf"(?<=[^{SPACE}])(?={SPACE})|(?<=\n)|(?=\n)")
 
+    def parts(self, texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+        """(first text, chunks of some texts) for a few texts at a time; a long text comes in several steps by itself."""
+        few: list[list[str]] = []
+        for i, text in enumerate(texts):
+            text = SPACE + text.replace(" ", SPACE) if text else ""
+            if len(text) > LONG_TEXT:
+                if few:
+                    yield i - len(few), few
+                    few = []
+                for part in stretches(text, self.gap):
+                    yield i, [self.cut(part)]
+            else:
+                few.append(self.cut(text))
+                if len(few) == 64:
+                    yield i - 63, few
+                    few = []
+        if few:
+            yield len(texts) - len(few), few
+
     def cut(self, text: str) -> list[str]:
-        if not text:
-            return []
-        text = SPACE + text.replace(" ", SPACE)
+        """Chunks of a text in the vocabulary's writing."""
         if "\0" in text or SPACE + SPACE in text or self.unsafe.search(text):
             return [c for c in self.gap.split(text) if c]
         return [c for c in text.replace(SPACE, "\0" + SPACE).replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0") if c]
@@ -152,9 +170,10 @@ class RankMerger:
         return sum(weight)
 
     def text_counts(self, texts: list[str | None]) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(texts), 64):
-            out.extend(map(sum, self.memory.values([self.cutter.cut(t or "") for t in texts[at:at + 64]])))
+        out = [0] * len(texts)
+        for at, chunks in self.cutter.parts(texts):
+            for i, v in enumerate(self.memory.values(chunks), at):
+                out[i] += sum(v)
         return out
 
 
