@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..schemas import (ACTUAL_COMPONENT, ACTUAL_SCOPE, ASSET, ASSET_STRUCT, TEAM, TEAM_MEMBER, USER, page_of)
 
 
-def assets_from_file(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Asset files: one JSON array per file, or one object per line (``lines``, which Spark can split)."""
+def assets_from_file(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Asset files with one object per line, which Spark splits at will.
+
+    ``lines=False`` reads one JSON array per file; such a file is parsed by one task, whatever its size.
+    """
     return spark.read.schema(ASSET).option("multiLine", not lines).json(path)
 
 

@@ -158,7 +158,7 @@ def test_config_files_load_and_check(spark, tmp_path):
 
 def test_asset_files_and_pages(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"asset_id": "1", "tags": [{"value": "v"}], "unknown": 1}, {"asset_id": "2"}]))
-    assert rows(readers.assets_from_file(spark, str(tmp_path / "a.json")), "asset_id") == [("1",), ("2",)]
+    assert rows(readers.assets_from_file(spark, str(tmp_path / "a.json"), lines=False), "asset_id") == [("1",), ("2",)]
     page = {"content": [{"id": "1", "name": "n", "applicationId": "e"}], "totalElements": 3, "last": False}
     (tmp_path / "p.json").write_text(json.dumps(page))
     pages = readers.pages_from_files(spark, str(tmp_path / "p.json"), schemas.ACTUAL_COMPONENT)
