@@ -21,7 +21,9 @@ def _once(value: Column, use) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    """Words in order; after trimming, a split gives no empty word but for an empty text."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
 def repeated_words(words: Column, size: int = 3) -> Column:
@@ -30,16 +32,17 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     The windows' 64-bit hashes are sorted with their places; equal neighbours are repeats.
     """
     def count(w: Column) -> Column:
-        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.struct(
-            F.xxhash64(*[F.get(w, i + k) for k in range(size)]).alias("h"), i.alias("i")))
+        starts = F.sequence(F.lit(0), F.size(w) - size)
+        window = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])
 
         def covered(s: Column) -> Column:
             same = F.filter(s, lambda x, k: (x["h"] == F.get(s, k + 1)["h"]) | ((k > 0) & (x["h"] == F.get(s, k - 1)["h"])))
             return F.size(F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(*[x["i"] + k for k in range(size)])))))
 
         # Most texts repeat no window: then the sorted places are not needed.
-        plain = F.transform(hashed, lambda x: x["h"])
-        return F.when(F.size(F.array_distinct(plain)) == F.size(plain), 0).otherwise(_once(F.array_sort(hashed), covered))
+        distinct = F.size(F.array_distinct(F.transform(starts, window)))
+        placed = F.transform(starts, lambda i: F.struct(window(i).alias("h"), i.alias("i")))
+        return F.when(distinct == F.size(w) - size + 1, 0).otherwise(_once(F.array_sort(placed), covered))
 
     return _once(words, lambda w: F.when(F.size(w) < size, 0).otherwise(count(w))).cast("long")
 
@@ -51,7 +54,7 @@ def text_counts(text: Column) -> Column:
     return _once(words_of(whole), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        (F.char_length(whole) - F.char_length(F.translate(whole, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.char_length(whole) - F.char_length(F.regexp_replace(whole, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(w).alias("n_repeat_words")))
 
