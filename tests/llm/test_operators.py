@@ -216,6 +216,20 @@ def test_pieces_have_the_best_score_and_give_the_text_back(spark, odd, none):
 
 # ---- 3, 7
 
+def test_long_texts_are_taken_in_stretches(monkeypatch):
+    import sentencepiece
+    texts = odd_texts()
+    monkeypatch.setattr(chunks, "LONG_TEXT", 40)
+    monkeypatch.setattr(tc, "LONG_TEXT", 40)
+    model = tokenizer("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    assert tc.merger(model).text_counts(texts) == [len(library.encode(t or "")) for t in texts]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = chunks.LibraryEncoder(tokenizer(name))
+        whole = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert encoder.encode(texts) == whole
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_chunked_ids_are_the_librarys(name):
     encoder = chunks.LibraryEncoder(tokenizer(name))
