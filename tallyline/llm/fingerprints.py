@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import cut_points, range_of, shuffle_partitions
 
 HASHES = 4  # 64 lanes each
+LANES = 64 * HASHES
 WORDS = [f"w{i}" for i in range(32 * HASHES)]  # two lanes in each long, 32 bits apart
 LOW = 0x0000000100000001
 MODULUS = 1 << 16
@@ -68,16 +69,19 @@ def vectors(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
     """
     each = texts.select(*keys, F.explode_outer(parts(F.col(text_col))).alias("part"))
     sums = each.groupBy(*keys).agg(F.count("part").alias("n"), *lane_sums(F.col("part")))
-    packed = F.array(*[F.when(F.col("n") > 0, F.col(w)).otherwise(F.lit(0)) for w in WORDS])
-    return sums.select(*keys, lanes(packed, F.col("n")).alias("vector"))
+    return sums.select(*keys, lanes(_packed(), F.col("n")).alias("vector"))
+
+
+def _packed() -> Column:
+    return F.array(*[F.when(F.col("n") > 0, F.col(w)).otherwise(F.lit(0)) for w in WORDS])
 
 
 def with_next_text(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``piece`` (a range of ids), ``place`` in it and ``next_text``, the text of the next id.
+    """``docs`` (doc_id, text) with ``piece`` (a range of ids), ``place`` in it, ``guest`` and ``next_text``, the text of the next id.
 
     Ranges are cut at ids that occur; the rows of such an id stand a second time at the end of the
-    range before, so that every range knows its last successor without any other range.  After the
-    last document comes the first.  Rows of one id stand in the order of their texts, rows without id
+    range before (``guest`` above 0), so that every range knows its last successor without any other
+    range.  After the last document comes the first.  Rows of one id stand in the order of their texts, rows without id
     at the end.
     """
     pieces = 4 * shuffle_partitions(docs.sparkSession)
@@ -94,8 +98,7 @@ def with_next_text(docs: DataFrame) -> DataFrame:
                      F.when(wrap, F.struct(F.lit(last).alias("piece"), F.lit(2).alias("guest"))))
     placed = docs.withColumn("_at", F.explode(F.filter(guests, lambda g: g.isNotNull()))).select("doc_id", "text", "_at.piece", "_at.guest")
     order = Window.partitionBy("piece").orderBy("guest", F.col("doc_id").asc_nulls_last(), "text")
-    return (placed.withColumns({"place": F.row_number().over(order), "next_text": F.lead("text").over(order)})
-            .filter("guest = 0").select("doc_id", "text", "piece", "place", "next_text"))
+    return placed.withColumns({"place": F.row_number().over(order), "next_text": F.lead("text").over(order)})
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,17 +111,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = F.char_length("text")
     quarter = F.floor(size / 4).cast("int")
-    paired = with_next_text(base).select(
-        "doc_id", "piece", "place", size.cast("long").alias("n_chars"), "text", "next_text",
-        F.concat(F.substring(F.col("text"), F.lit(1), size - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)).alias("edited"))
-    keys = ["piece", "place", "doc_id", "n_chars", "edited_sha256"]
-    tagged = paired.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*keys, F.explode(F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.col(c).alias("body")) for k, c in enumerate(("text", "edited", "next_text"))])).alias("t"))
-    summed = vectors(tagged.select(*keys, "t.kind", "t.body"), [*keys, "kind"], "body")
-    # Three vectors of one document meet in the partition of its range.
-    three = summed.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col("vector"))).alias(n)
-                                        for k, n in enumerate(("vector", "edited_vector", "next_vector"))])
-    return three.drop("piece", "place")
+    head = F.substring(F.col("text"), F.lit(1), size - quarter)
+    edited = F.concat(head, F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter))
+    paired = with_next_text(base).select("piece", "place", "guest", "doc_id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"),
+                                         # Parts that end before the edit stand in both texts.
+                                         F.greatest(F.size(parts(head)) - 1, F.lit(0)).alias("common"))
+    keys = ["piece", "place", "guest", "doc_id", "n_chars", "edited_sha256"]
+    tagged = F.concat(
+        F.transform(parts(F.col("text")), lambda p, i: F.struct(F.when(i < F.col("common"), 0).otherwise(1).alias("kind"), p.alias("part"))),
+        F.transform(F.filter(parts(F.col("edited")), lambda p, i: i >= F.col("common")), lambda p: F.struct(F.lit(2).alias("kind"), p.alias("part"))))
+    each = (paired.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+            .select(*keys, F.explode_outer(tagged).alias("t")).select(*keys, "t.*"))
+    # The edited vector is the text's with the parts of its tail deleted and those of the new tail inserted.
+    sums = each.groupBy(*keys, "kind").agg(F.count("part").alias("n"), *lane_sums(F.col("part")))
+    kinds = sums.select(*keys, "kind", lanes(_packed(), F.col("n")).alias("v")).groupBy(*keys).agg(
+        *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("v"))), F.lit([0] * LANES).cast("array<long>")).alias(f"v{k}") for k in range(3)])
+    own = kinds.select(*keys, changed(F.col("v0"), F.col("v1")).alias("vector"), changed(F.col("v0"), F.col("v2")).alias("edited_vector"))
+    order = Window.partitionBy("piece").orderBy("place")
+    return (own.withColumn("next_vector", F.lead("vector").over(order)).filter("guest = 0")
+            .select("doc_id", "n_chars", "edited_sha256", "vector", "edited_vector", "next_vector"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
