@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import components, small_batches, spread, stored
+from .common import LAST, components, small_batches, spread, stored, text_keys
 
 BITS = 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -97,30 +97,48 @@ def near_groups(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str =
     small_batches(docs.sparkSession)
     keyed = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")))
     prints = stored(keyed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    grouped = components(near_links(prints.select("fp"), radius))
-    rooted = prints.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = prints.join(print_roots(prints.select("fp"), radius), "fp")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = rooted.join(spread(least), "root").select("fp", "component_id")
     return keyed.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id; of repeated rows of that id, one.
+def print_roots(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, root: the component of each of the distinct ``prints``, named by one of its fingerprints."""
+    grouped = components(near_links(prints, radius)).withColumnRenamed("node", "fp")
+    return prints.join(grouped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
-    Rows without id stay only where their whole group has none, and then one of them stays.
+
+def row_keys() -> list[Column]:
+    """The id (absent ones last) and the two hashes of the text: what tells documents with one id apart."""
+    one, two = text_keys(F.coalesce(F.col("text"), F.lit("")))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), one.alias("k1"), two.alias("k2")]
+
+
+def keep_one(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, given by ``roots`` (ord, k1, k2 of the row, root)."""
+    chosen = roots.groupBy("root").agg(F.min(F.struct("ord", "k1", "k2")).alias("c")).select(
+        F.col("c.ord").alias("_near_o"), F.col("c.k1").alias("_near_1"), F.col("c.k2").alias("_near_2"))
+    names = chosen.columns
+    marked = docs.withColumns(dict(zip(names, row_keys())))
+    # Each component chose one id and text, so what is left of it are repeated rows of that document.
+    return marked.join(chosen, names, "left_semi").dropDuplicates(names).select(docs.columns)
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 2, per_id: bool = True) -> DataFrame:
+    """``docs`` with one row of each group: of the rows with the group's least id, the one with the least text hash.
+
+    Rows without id stay only where their whole group has none, and then one of them stays.  ``per_id``
+    takes rows with one id for repeated rows and keeps one of them; without it, texts of one id in
+    different groups are different documents.
     """
-    groups = near_groups(docs, words, radius)
-    named = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = groups.filter("component_id is null").select("fp").distinct()
-    unnamed = docs.filter("doc_id is null")
-    print_col = "_fp"
-    marked = unnamed.withColumn(print_col, fingerprint(F.col("text"), words))
-    # Documents without id that share a component without any id: linked fingerprints count once.
-    links = components(near_links(nameless, radius)).withColumnRenamed("node", "fp")
-    roots = nameless.join(links, "fp", "left").select("fp", F.coalesce("root", "fp").alias("_root"))
-    alone = marked.join(roots, F.col(print_col) == F.col("fp")).dropDuplicates(["_root"]).select(docs.columns)
-    return kept.unionByName(alone)
+    small_batches(docs.sparkSession)
+    keyed = stored(docs.select(*row_keys(), fingerprint(F.col("text"), words).alias("fp")))
+    roots = print_roots(stored(keyed.select("fp").distinct()), radius)
+    kept = keep_one(docs, keyed.join(roots, "fp"))
+    if not per_id:
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

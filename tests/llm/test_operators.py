@@ -150,6 +150,13 @@ def test_simhash_of_the_table_and_odd_rows(spark, docs, odd, none):
     assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in want if c is not None})
 
 
+def test_texts_under_one_id_are_kept_apart(spark):
+    copy, own, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, copy), (7, copy), (7, own), (7, own), (7, other), (None, own), (None, "without id"), (None, "without id")]
+    kept = sh.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), per_id=False)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, copy), (7, own), (7, other), (None, "without id")], key=str)
+
+
 # ---- 2, 10
 
 def odd_texts():
