@@ -26,20 +26,24 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 ROWS = 1 << 14  # hashes whose bits are spread at once
 
 
-def text_fingerprint(text: str | None, words: int) -> int:
-    """SimHash of all shingles of ``words`` words of the whole text, repeats included; 0 without a word."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of all shingles of ``words`` words of the whole text, repeats included; none without a word."""
     import xxhash
     # bytes.split cuts at exactly the six ASCII white-space characters.
     tokens = (text or "").encode("utf-8").translate(LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     width = min(words, len(tokens))
     stops = ends[width - 1:].tolist()
     starts = [0, *(ends[:len(tokens) - width] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), dtype="<u8", count=len(stops))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), dtype="<u8", count=len(stops))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without any."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), ROWS):
         part = hashes[at:at + ROWS].view(np.uint8).reshape(-1, 8)
@@ -48,6 +52,11 @@ def text_fingerprint(text: str | None, words: int) -> int:
     return int(bits.view("<i8")[0])
 
 
+def text_fingerprint(text: str | None, words: int) -> int:
+    """SimHash of all shingles of ``words`` words of the whole text, repeats included; 0 without a word."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprint(text: Column, words: int) -> Column:
     @pandas_udf("long")
     def of(texts):
