@@ -4,8 +4,13 @@ Documents meet through hashes of their lines: a line that several documents hold
 one to the first that holds it, so a line in a third of all documents gives one link per document,
 not one per pair.  Each linked pair is aligned by patience diff: lines that are unique in both
 documents are anchors, the longest increasing chain of them is kept, and the stretches between and
-beside them are aligned in the same way.  Aligned blocks go from the later document.  What goes is
-always held by the first document with that line, which keeps it.
+beside them are aligned in the same way.  Aligned blocks go from the later document.
+
+A block that an earlier document holds whole need not be aligned with any first holder of its lines.
+Neighbouring lines are therefore looked up as well: each two that stand side by side in an earlier
+document belong to a run, runs that share a line are one, and a run goes like a block.  So every block
+of two lines or more goes, whichever document held it.  What goes is always held by the first document
+with that line, which keeps it.
 """
 
 from __future__ import annotations
@@ -25,21 +30,26 @@ def full_lines(text: str) -> list[tuple[int, str]]:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document and distinct line: the line's two hashes and its places among the document's full lines."""
+    """A row per document and distinct line, and per distinct two neighbouring full lines (``pair``): the two hashes and
+    the places, of the first line for a pair, among the document's full lines."""
     import xxhash
     for batch in batches:
         keys = [batch.column(c).to_pylist() for c in ("ord", "k1", "k2")]
         out: list[tuple] = []
         for o, one, two, text in zip(*keys, batch.column("text").to_pylist()):
             at: dict[str, list[int]] = {}
-            for place, (_, line) in enumerate(full_lines(text)):
+            lines = [line for _, line in full_lines(text)]
+            for place, line in enumerate(lines):
                 at.setdefault(line, []).append(place)
-            for line, places in at.items():
+            single = len(at)
+            for place, pair in enumerate(zip(lines, lines[1:])):
+                at.setdefault("\n".join(pair), []).append(place)
+            for number, (line, places) in enumerate(at.items()):
                 data = line.encode("utf-8")
-                out.append((o, one, two, xxhash.xxh3_64_intdigest(data) - 2**63, xxhash.xxh64_intdigest(data) - 2**63, places))
+                out.append((o, one, two, xxhash.xxh3_64_intdigest(data) - 2**63, xxhash.xxh64_intdigest(data) - 2**63, number >= single, places))
         if out:
-            types = [pa.int64()] * 5 + [pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], ["ord", "k1", "k2", "h1", "h2", "places"])
+            types = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], ["ord", "k1", "k2", "h1", "h2", "pair", "places"])
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,15 +116,29 @@ def blocks(aligned: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def runs(starts: set[int]) -> list[list[int]]:
+    """Runs of places made of the pairs (start, start + 1), joined where they share a place."""
+    out: list[list[int]] = []
+    for p in sorted(starts):
+        if p - 1 in starts:
+            out[-1].append(p + 1)
+        else:
+            out.append([p, p + 1])
+    return out
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """ord, k1, k2 of a document and ``blocks``: its aligned blocks with the first holders of its lines, as arrays of
-    places among its full lines.  ``docs`` has ord, k1, k2, text."""
-    lines = stored(docs.mapInArrow(_line_rows, "ord long, k1 long, k2 long, h1 long, h2 long, places array<int>"))
-    first = (lines.groupBy("h1", "h2").agg(F.min(F.struct("ord", "k1", "k2", "places")).alias("first"), F.max("ord").alias("last"))
+    """ord, k1, k2 of a document and ``blocks``: its runs of lines that earlier documents hold side by side, and its aligned
+    blocks with the first holders of its lines, as arrays of places among its full lines; a place may stand in
+    several.  ``docs`` has ord, k1, k2, text."""
+    lines = stored(docs.mapInArrow(_line_rows, "ord long, k1 long, k2 long, h1 long, h2 long, pair boolean, places array<int>"))
+    # Of a pair only its presence in an earlier document counts.
+    held = F.when(~F.col("pair"), F.col("places")).alias("places")
+    first = (lines.groupBy("h1", "h2").agg(F.min(F.struct("ord", "k1", "k2", held)).alias("first"), F.max("ord").alias("last"))
              .filter("last > first.ord").drop("last"))
     linked = lines.join(spread(first), ["h1", "h2"]).filter("ord > first.ord")
-    # One row per document: all its linked lines, at most as many as it has lines.
-    gathered = linked.groupBy("ord", "k1", "k2").agg(F.collect_list(F.struct("places", "first")).alias("links"))
+    # One row per document: all its linked lines and pairs, at most twice as many as it has lines.
+    gathered = linked.groupBy("ord", "k1", "k2").agg(F.collect_list(F.struct("pair", "places", "first")).alias("links"))
 
     @F.pandas_udf("array<array<int>>")
     def align(links):
@@ -122,20 +146,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         out = []
         for doc in links:
             pairs: dict[tuple[int, int, int], tuple[dict[int, int], dict[int, int]]] = {}
+            starts: set[int] = set()
             for n, link in enumerate(doc):
+                if link["pair"]:
+                    starts.update(int(p) for p in link["places"])
+                    continue
                 first = link["first"]
                 here, there = pairs.setdefault((first["ord"], first["k1"], first["k2"]), ({}, {}))
                 here.update((int(p), n) for p in link["places"])
                 there.update((int(p), n) for p in first["places"])
-            out.append([b for key in sorted(pairs) for b in blocks(patience(*pairs[key]))])
+            out.append([*runs(starts), *[b for key in sorted(pairs) for b in blocks(patience(*pairs[key]))]])
         return pd.Series(out)
 
     return stored(gathered.select("ord", "k1", "k2", align("links").alias("blocks")))
 
 
 def remove_lines(docs: DataFrame, least_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_lines, n_deleted (full lines) and kept_text: aligned blocks of at least ``least_chars`` characters go
-    from the later document, with the blank lines inside a block.
+    """``docs`` with n_lines, n_deleted (full lines) and kept_text: aligned blocks and runs of at least ``least_chars``
+    characters go from the later document, with the blank lines inside a block.
 
     Earlier means a smaller id; a document without id comes after all others.  Rows with one id are one
     document and never earlier than each other: repeated rows get the same result.  A null or empty text
@@ -158,13 +186,13 @@ def remove_lines(docs: DataFrame, least_chars: int = 30, id_col: str = "doc_id",
         for t, found in zip(texts, blocks):
             full = full_lines(t)
             gone: set[int] = set()
-            deleted = 0
+            deleted: set[int] = set()
             for block in found if found is not None else ():
                 block = [int(p) for p in block]
                 if sum(len(full[p][1]) for p in block) >= least_chars:
-                    deleted += len(block)
+                    deleted.update(block)
                     gone.update(range(full[block[0]][0], full[block[-1]][0] + 1))
-            rows.append((len(full), deleted, "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone) if gone else t))
+            rows.append((len(full), len(deleted), "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone) if gone else t))
         return pd.DataFrame(rows, columns=["n_lines", "n_deleted", "kept_text"])
 
     done = joined.withColumn("_cut", cut(text, F.col("blocks")))

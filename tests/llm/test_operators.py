@@ -396,6 +396,29 @@ def test_line_removal_keeps_every_line_somewhere(spark, docs, odd, none):
     assert ld.remove_lines(none).count() == 0
 
 
+def test_blocks_held_whole_by_later_holders_go(spark, docs):
+    a, b = "a line of more than thirty characters", "and another line of such a length"
+    short = [f"short {i}" for i in range(8)]
+    rows = [(1, f"{b}\n{a}"), (2, f"{a}\n{b}"), (3, f"{a}\n{b}"),
+            *[(4 + i, f"{x}\nend of {i}") for i, x in enumerate(short)],  # first holders of one short line each
+            (20, "\n".join(["opening", *short, "closing"])), (21, "\n".join(["its own opening", *short[:4], "", *short[4:], "its own closing"])),
+            (22, "\n".join(short[::-1]))]  # no two of them side by side anywhere
+    got = {r["doc_id"]: (r["n_lines"], r["n_deleted"], r["kept_text"]) for r in ld.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (2, 0, rows[0][1]) and got[2][1] == 1
+    assert got[3] == (2, 2, "")
+    assert got[20][1] == 0
+    assert got[21] == (10, 8, "its own opening\nits own closing")
+    assert got[22][1] == 0
+    rows = {r["doc_id"]: r for r in ld.remove_lines(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    least = {}
+    for i in sorted(docs):
+        least.setdefault(docs[i], i)
+    for i, t in docs.items():  # nothing stays of a copy
+        lines = [x for x in t.split("\n") if x.strip()]
+        if i != least[t] and sum(map(len, lines)) >= 30 and len(lines) > 1:
+            assert rows[i]["n_deleted"] == rows[i]["n_lines"] == len(lines)
+
+
 # ---- 5
 
 def test_classifier_on_held_out_labels(spark, odd, none):
