@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .filter_audit import op13_filter_audit
 from .host_rules import op8_host_rules
 from .line_dedup import op4_line_dedup
 from .packing import op7_best_fit_packing
@@ -32,7 +33,9 @@ def tokenizer(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_token_output, op4_line_dedup, op5_quality_classifier, op6_fingerprints, op7_best_fit_packing, op8_host_rules, op9_substring_dedup, op10_pieces)}
+    return {f.__name__: f for f in (
+        op1_simhash, op2_token_counts, op3_token_output, op4_line_dedup, op5_quality_classifier, op6_fingerprints, op7_best_fit_packing,
+        op8_host_rules, op9_substring_dedup, op10_pieces, op13_filter_audit)}
 
 
 _WORDS = r"""
@@ -71,7 +74,32 @@ select w.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 from w left join k on k.doc_id = w.doc_id"""
 
 
+_FILTER_AUDIT = "with " + _WORDS + r""",
+d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, len(ws) as words, len(list_distinct(ws)) as different,
+  min(doc_id) over (partition by coalesce(text, '')) as least from w),
+m as (select doc_id, part, case when words < 200 then 1 else 0 end + case when 100 * different < 50 * words then 2 else 0 end
+  + case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) then 4 else 0 end
+  + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end + case when doc_id > least then 16 else 0 end as mask from d),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+c as (select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from m left join l using (doc_id) group by part, mask),
+s as (select part, cast(subset as integer) as subset, sum(case when mask & subset = 0 then n else 0 end) as n, sum(case when mask & subset = 0 then good else 0 end) as good,
+  sum(case when mask & subset = 0 then toxic else 0 end) as toxic from c, (select unnest(range(32)) as subset) group by part, subset),
+f as (select unnest(range(5)) as f),
+o as (select a.f as a, b.f as b, c.f as c, d.f as d, e.f as e from f a, f b, f c, f d, f e
+  where (1 << a.f) | (1 << b.f) | (1 << c.f) | (1 << d.f) | (1 << e.f) = 31),
+p as (select 'ABCDE'[a + 1] || 'ABCDE'[b + 1] || 'ABCDE'[c + 1] || 'ABCDE'[d + 1] || 'ABCDE'[e + 1] as filter_order, unnest([
+  {'step': 1, 'f': a, 'before': 0}, {'step': 2, 'f': b, 'before': 1 << a}, {'step': 3, 'f': c, 'before': (1 << a) | (1 << b)},
+  {'step': 4, 'f': d, 'before': (1 << a) | (1 << b) | (1 << c)}, {'step': 5, 'f': e, 'before': 31 - (1 << e)}]) as x from o),
+r as (select u.part, filter_order, x.step, x.f, v.n as kept, u.n - v.n as removed, u.good - v.good as good_lost, u.toxic - v.toxic as toxic_lost
+  from p join s u on u.subset = x.before join s v on v.part = u.part and v.subset = x.before | (1 << x.f))
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(z.n - i.n - removed as bigint) as redundant, cast(j.n - k.n as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by r.part, r.f) as bigint) as shapley
+from r join s z using (part) join s i using (part) join s j using (part) join s k using (part)
+where z.subset = 0 and i.subset = 1 << r.f and j.subset = 31 - (1 << r.f) and k.subset = 31"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that joins and groups can express; tokenizers, boosted tables, hashes of 64 bits
     and alignments are tested against brute force instead."""
-    return {"op8_host_rules": _HOST_RULES, "op9_substring_dedup": _REPEATS}
+    return {"op8_host_rules": _HOST_RULES, "op9_substring_dedup": _REPEATS, "op13_filter_audit": _FILTER_AUDIT}
