@@ -12,12 +12,14 @@ from .host_rules import op8_host_rules
 from .line_dedup import op4_line_dedup
 from .packing import op7_best_fit_packing
 from .fingerprints import op6_fingerprints
+from .personal_data import op12_personal_data
 from .pieces import op10_pieces
 from .quality_classifier import op5_quality_classifier
 from .simhash import op1_simhash
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op2_token_counts
 from .token_output import op3_token_output
+from .whitening import op11_whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def tokenizer(name: str) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash, op2_token_counts, op3_token_output, op4_line_dedup, op5_quality_classifier, op6_fingerprints, op7_best_fit_packing,
-        op8_host_rules, op9_substring_dedup, op10_pieces, op13_filter_audit)}
+        op8_host_rules, op9_substring_dedup, op10_pieces, op11_whitening, op12_personal_data, op13_filter_audit)}
 
 
 _WORDS = r"""
