@@ -1,17 +1,18 @@
 """Exact greedy name grouping (leader and complete-link) at scale.
 
-Greedy grouping is defined by input order.  It is evaluated in rounds over the
-*distinct* names, earliest first, and never compares all pairs:
+Greedy grouping is defined by input order.  Both kinds are evaluated on the graph of
+similar names, by rounds of joins in which every name decides as soon as nothing
+earlier can change its choice; no pass is made per leader or per group.
 
 * Candidates come from an equi join on rare bigrams.  If ratio(a, b) >= t, the names
   share at least (1.5t-1)(la+lb)-1 adjacent pairs of characters, so sorting each
   name's bigrams by one global order, the first ``n - bound + 1`` of each must meet.
   Names too short for that bound use single characters, where the bound is t(la+lb)/2.
   The filter loses no pair.
-* A round takes the earliest undecided names, as many as keep the candidate pairs
-  within a budget, settles them among themselves by joins over their similar pairs, and
-  gives every later name the earliest leader it matches.  Later leaders always have a greater position, so an
-  assignment is final, and a big family of alike names disappears with its first leader.
+* A leader is a name without an earlier similar leader.  A big family of alike names depends on a few early
+  names one after the other, so a bounded number of earliest names is walked in order; their leaders take
+  their families out of the table.  Where the walk finds mostly loners, pairs are few: similar pairs among the earliest
+  names of every token become edges, and rounds of joins over them settle all parts of the graph at once.
 """
 
 from __future__ import annotations
@@ -19,28 +20,28 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.similarity import may_reach, similarity
+from ..functions.similarity import may_reach, ratios, similarity
 from ..session import cut_lineage
-from .common import first_by_pos, top_per_group
+from .common import dealt, first_by_pos, number_in_groups
 
 EPS = 1e-9
-FEW_EDGES = 28  # pairs of eight names
 
 
 @dataclass(frozen=True)
 class Budget:
-    """Sizes that bound one round; none of them changes a result."""
-    first_names: int = 8
-    chunk_names: int = 512
-    most_names: int = 65_536
-    candidate_pairs: int = 2_000_000
-    common_tokens: int = 128
-    copied_names: int = 4_096
-    names_per_task: int = 50_000
+    """Sizes that shape a round; none of them changes a result."""
+    walked_names: int = 65_536  # names that one walk may look at
+    walked_pairs: int = 500_000  # and comparisons it may make before it ends
+    per_token: int = 64  # earliest names of a token that a first round of joins settles
+    candidate_rows: int = 4_000_000  # meetings that a round may have in any case
+    rows_per_token: int = 32  # and as many for each token of a name
+    key_pairs: int = 4_000_000  # meetings at one key, beyond which it is split
 
 
 def _bigram_floor(threshold: float) -> int:
@@ -58,95 +59,80 @@ def _bigram_bound(length: float, threshold: float) -> int:
     return math.ceil((1.5 * threshold - 1) * length * 2 / (2 - threshold) - 1 - EPS)
 
 
-def _tokens(names: DataFrame, threshold: float) -> DataFrame:
-    """name -> array of numbered tokens of its kind(s): the k-th 'ab' is a different token from the first."""
+def _bags(threshold: float) -> Column:
+    """Tokens of ``name``, numbered: the k-th 'ab' is a different token from the first.  Bigrams begin with 2, characters with 1."""
     chars = F.filter(F.split("name", ""), lambda c: c != "")
     length = F.length("name")
     floor = _bigram_floor(threshold)
     # A name near the floor may meet a shorter partner, so it carries both kinds.
     uni_limit = math.floor((floor - 1) * (2 - threshold) / threshold + EPS)
+    empty = F.array().cast("array<string>")
     grams = F.when(length >= floor, F.transform(F.sequence(F.lit(1), length - 1), lambda i: F.concat(
-        F.lit("2"), F.substr(F.col("name"), i, F.lit(2)))))
-    singles = F.when((length >= 1) & (length <= uni_limit), F.transform(chars, lambda c: F.concat(F.lit("1"), c)))
-    parts = names.select("name", F.explode(F.array(grams, singles)).alias("bag")).filter(F.col("bag").isNotNull())
-    parts = parts.withColumn("kind", F.substring(F.element_at("bag", 1), 1, 1))
-    parts = parts.withColumn("bag", F.array_sort("bag"))
-    numbered = F.transform("bag", lambda g, i: F.concat(g, F.lit("\u0001"), (
-        i + 1 - F.array_position(F.col("bag"), g)).cast("string")))
-    return parts.select("name", "kind", numbered.alias("tokens"))
+        F.lit("2"), F.substr(F.col("name"), i, F.lit(2))))).otherwise(empty)
+    singles = F.when((length >= 1) & (length <= uni_limit), F.transform(chars, lambda c: F.concat(F.lit("1"), c))).otherwise(empty)
 
+    def numbered(bag: Column) -> Column:
+        return F.transform(bag, lambda g, i: F.concat(g, F.lit("\u0001"), (i + 1 - F.array_position(bag, g)).cast("string")))
 
-def _required(kind: Column, length: Column, threshold: float) -> Column:
-    grams = F.ceil((1.5 * threshold - 1) * length * 2 / (2 - threshold) - 1 - EPS)
-    singles = F.ceil(length * threshold / (2 - threshold) - EPS)
-    return F.greatest(F.when(kind == "2", grams).otherwise(singles), F.lit(1))
+    return F.concat(numbered(F.array_sort(grams)), numbered(F.array_sort(singles)))
 
 
-class TokenOrder:
-    """Global token order: rare tokens first.  The most common ones are listed, all others count as rare."""
+def with_prefix(names: DataFrame, threshold: float) -> DataFrame:
+    """Distinct ``name`` with ``prefix``: its rarest tokens, as many as must include a shared one.
 
-    def __init__(self, names: DataFrame, threshold: float, budget: Budget):
-        tokens = _tokens(names, threshold).select(F.explode("tokens").alias("token"))
-        top = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), "token").limit(budget.common_tokens).collect())
-        self.rank = {r["token"]: len(top) - i for i, r in enumerate(top)}
-        self.threshold = threshold
+    All tokens are ranked by a table of their frequencies; bigrams come first.
+    """
+    each = names.select("name", F.explode(_bags(threshold)).alias("token"))
+    frequency = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct("n", "token")))
+    ranked = each.join(dealt(frequency), "token").groupBy("name").agg(order.alias("order"))
+    length = F.length("name")
+    grams = F.ceil((1.5 * threshold - 1) * length * 2 / (2 - threshold) - 1 - EPS)
+    singles = F.ceil(length * threshold / (2 - threshold) - EPS)
 
-    def keyed(self, names: DataFrame) -> DataFrame:
-        """names plus one row per prefix token: name, token, prefix (the whole prefix, sorted)."""
-        table = self._rank_column()
-        tagged = _tokens(names, self.threshold)
-        order = F.transform("tokens", lambda t: F.struct(
-            F.coalesce(F.try_element_at(table, t), F.lit(0)).alias("r"), t.alias("t")))
-        need = _required(F.col("kind"), F.length("name"), self.threshold)
-        keep = F.greatest(F.size("tokens") - need + 1, F.lit(0)).cast("int")
-        prefix = F.slice(F.array_sort(order), F.lit(1), keep)
-        keyed = tagged.select("name", "kind", F.transform(prefix, lambda s: s["t"]).alias("prefix"))
-        return keyed.select("name", "kind", "prefix", F.explode("prefix").alias("token"))
+    def rarest(kind: str, need: Column) -> Column:
+        own = F.filter(F.transform("order", lambda s: s["token"]), lambda t: t.startswith(kind))
+        return F.slice(own, F.lit(1), F.greatest(F.size(own) - F.greatest(need, F.lit(1)) + 1, F.lit(0)).cast("int"))
 
-    def _rank_column(self) -> Column:
-        if not self.rank:
-            return F.create_map().cast("map<string,int>")
-        return F.from_json(F.lit(_json(self.rank)), "map<string,int>")
+    prefix = ranked.select("name", F.concat(rarest("2", grams), rarest("1", singles)).alias("prefix"))
+    return names.join(prefix, "name", "left").withColumn("prefix", F.coalesce("prefix", F.array().cast("array<string>")))
 
 
-def _json(table: dict[str, int]) -> str:
-    import json
-    return json.dumps(table)
+def _near(shown: str, threshold: float) -> Column:
+    """Test of a meeting at ``token`` of ``name`` (prefix) and ``other`` (tokens ``shown``): it is their first common token, and
+    the names pass the cheap tests of length and edit distance."""
+    first = F.element_at(F.array_intersect(shown, "prefix"), 1) == F.col("token")
+    # Two names that both carry bigrams are sure to meet there; single characters serve the short ones.
+    shorter = F.least(F.length("name"), F.length("other"))
+    kind = F.col("token").startswith("2") | (shorter < _bigram_floor(threshold))
+    return first & kind & may_reach("name", "other", threshold)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict: bool = False,
-                  scope: str | None = None, order: TokenOrder | None = None, half: bool = False,
-                  copy_right: bool = False, budget: Budget = Budget()) -> DataFrame:
+                  scope: str | None = None, half: bool = False, budget: Budget = Budget()) -> DataFrame:
     """Pairs (name, other, ratio) with ratio >= threshold (> when strict), both sides distinct names.
 
-    ``copy_right`` sends the right side to every executor; only for a side of counted, small size.
     ``half`` gives each unordered pair of different names once (name < other), for a table met with itself.
-
     ``scope`` names a column both sides have; pairs must agree on it.  A pair that
-    shares several tokens is kept once, at the first of them, without a shuffle.
+    shares several tokens is kept once, at the first of them, without a shuffle.  A key (token, scope) with very many
+    meetings is split: the right names are dealt over its parts, the left ones go to each part.
     """
     keys = [scope] if scope else []
-    if order is None:
-        both = left.select("name").unionByName(right.select("name")).distinct()
-        order = TokenOrder(both, threshold, budget)
-    l = left.select(*keys, "name").distinct()
-    r = right.select(*keys, "name").distinct()
-    lk = order.keyed(l.select("name").distinct())
-    rk = order.keyed(r.select("name").distinct())
-    cond = ["token", "kind"]
-    if scope:
-        lk, rk = lk.join(l, "name"), rk.join(r, "name")
-        cond = ["token", "kind", scope]
-    rk = rk.withColumnsRenamed({"name": "other", "prefix": "other_prefix"})
-    met = lk.join(F.broadcast(rk) if copy_right else rk, cond)
+    both = left.select("name").unionByName(right.select("name")).distinct()
+    prefixes = cut_lineage(with_prefix(both, threshold))
+    on = [*keys, "token"]
+    l = left.select(*keys, "name").distinct().join(prefixes, "name").select(*keys, "name", "prefix", F.explode("prefix").alias("token"))
+    r = (right.select(*keys, "name").distinct().join(prefixes, "name")
+         .select(*keys, F.col("name").alias("other"), F.col("prefix").alias("shown"), F.explode("prefix").alias("token")))
+    sizes = l.groupBy(*on).agg(F.count(F.lit(1)).alias("nl")).join(r.groupBy(*on).agg(F.count(F.lit(1)).alias("nr")), on)
+    parts = F.ceil(F.col("nl") * F.col("nr") / F.lit(budget.key_pairs)).cast("int")
+    hot = cut_lineage(sizes.select(*on, F.least(parts, F.col("nr").cast("int")).alias("parts")).filter("parts > 1"))
+    l = l.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    r = r.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64("other"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    met = l.join(r, [*on, "part"])
     if half:
         met = met.filter(F.col("name") < F.col("other"))
-    met = met.filter(F.element_at(F.array_intersect("prefix", "other_prefix"), 1) == F.col("token"))
-    # Two names that both carry bigrams are sure to meet there; single characters serve the short ones.
-    shorter = F.least(F.length("name"), F.length("other"))
-    met = met.filter((F.col("kind") == "2") | (shorter < _bigram_floor(threshold)))
-    near = met.filter(may_reach("name", "other", threshold)).select(*keys, "name", "other")
+    near = met.filter(_near("shown", threshold)).select(*keys, "name", "other")
     scored = near.withColumn("ratio", similarity("name", "other"))
     hit = F.col("ratio") > threshold if strict else F.col("ratio") >= threshold
     return scored.filter(hit)
@@ -161,102 +147,173 @@ def long_enough(name: Column | str, threshold: float) -> Column:
     return F.length(name) > threshold / (2 * (1 - threshold)) - EPS
 
 
+# ---- leader grouping
+
+def _earliest_per_token(tokens: DataFrame, budget: Budget) -> int | None:
+    """How many names of each token a round settles among themselves; None for all, where their pairs are few enough."""
+    steps = [budget.per_token * 8**i for i in range(8)]
+    sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    half = lambda n: F.sum(n * (n - 1) / 2)
+    row = sizes.agg(F.sum("n").alias("rows"), half(F.col("n")).alias("all"),
+                    *[half(F.least("n", F.lit(k))).alias(f"k{i}") for i, k in enumerate(steps)]).first()
+    most = max(budget.candidate_rows, budget.rows_per_token * (row["rows"] or 0))
+    if (row["all"] or 0) <= most:
+        return None
+    return max([k for i, k in enumerate(steps) if row[f"k{i}"] <= most], default=steps[0])
+
+
+def _similar(later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """Similar pairs (u, v) of two tables of pos, name, prefix and held tokens, u earlier."""
+    later = later.select(F.col("pos").alias("v"), "name", "prefix", F.explode("prefix").alias("token"))
+    earlier = earlier.select(F.col("pos").alias("u"), F.col("name").alias("other"), F.col("held").alias("shown"), F.explode("held").alias("token"))
+    near = later.join(earlier, "token").filter(F.col("u") < F.col("v")).filter(_near("shown", threshold)).select("u", "v", "name", "other")
+    return near.filter(similarity("name", "other") >= threshold).select("u", "v")
+
+
+def _first_edges(open_names: DataFrame, threshold: float, budget: Budget, least: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(edges, partly known names, k): all earlier similar names of each name that is among the earliest k of all its tokens.
+
+    The other names are partly known: None where there are so few pairs that all are compared.
+    """
+    tokens = open_names.select("pos", F.explode("prefix").alias("token"))
+    k = _earliest_per_token(tokens, budget)
+    if k is None:
+        return cut_lineage(_similar(open_names, open_names.withColumn("held", F.col("prefix")), threshold)), None, 0
+    k = max(k, least)
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("pos"))
+    held = tokens.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("pos").agg(F.collect_list("token").alias("held"))
+    early = cut_lineage(open_names.join(held, "pos", "left").withColumn("held", F.array_intersect("prefix", F.coalesce("held", F.array().cast("array<string>")))))
+    known = F.size("held") == F.size("prefix")
+    return (cut_lineage(_similar(early.filter(known), early.filter(F.size("held") > 0), threshold)),
+            cut_lineage(early.filter(~known).select("pos")), k)
+
+
+def _except(df: DataFrame, column: str, gone: DataFrame | None) -> DataFrame:
+    """Rows whose ``column`` is not a ``pos`` of ``gone``."""
+    return df if gone is None else df.join(gone.select(F.col("pos").alias(column)), column, "left_anti")
+
+
+def _settled(edges: DataFrame, partly: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(followers, edges left open) among names whose earlier similar names are all known.
+
+    In each round the names without an undecided earlier neighbour lead and their neighbours follow; both leave the edges.
+    """
+    left = cut_lineage(_except(edges, "v", partly))
+    followers: DataFrame | None = None
+    while not left.isEmpty():
+        waiting = left.select(F.col("v").alias("pos")).distinct()
+        led = _except(_except(left, "u", waiting), "u", partly)
+        new = cut_lineage(led.select(F.col("v").alias("pos")).distinct())
+        if new.isEmpty():
+            return followers, left
+        followers = new if followers is None else followers.unionByName(new)
+        left = cut_lineage(_except(_except(left, "v", new), "u", new))
+    return followers, None
+
+
+def _walked(open_names: DataFrame, threshold: float, budget: Budget) -> tuple[DataFrame, int, int]:
+    """(leaders, their number, names walked): greedy grouping of the earliest names in order, as far as the budget goes.
+
+    Blocks of doubling size are compared with the leaders so far, then among themselves, leader by leader.
+    """
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("pos")
+        names, at = rows["name"].to_numpy(dtype=object), rows["pos"].to_numpy()
+        found: list[int] = []
+        start, size, spent = 0, 64, 0
+        while start < len(names) and spent < budget.walked_pairs:
+            rest = np.arange(start, min(start + size, len(names)))
+            start, size = start + len(rest), 2 * size
+            known = list(found)
+            while len(rest):
+                head = known.pop(0) if known else rest[0]
+                spent += len(rest)
+                near = ratios(names[rest], np.full(len(rest), names[head], dtype=object)) >= threshold
+                if head == rest[0]:
+                    found.append(int(head))
+                    near[0] = True
+                rest = rest[~near]
+        yield pd.DataFrame({"pos": at[found], "walked": start})
+
+    first = open_names.select("pos", "name").orderBy("pos").limit(budget.walked_names).coalesce(1)
+    lead = cut_lineage(first.mapInPandas(walk, "pos long, walked long"))
+    row = lead.agg(F.count(F.lit(1)).alias("n"), F.max("walked").alias("walked")).first()
+    return lead.select("pos"), row["n"], row["walked"]
+
+
 def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget()) -> DataFrame:
     """Greedy leader grouping of (name, pos): name, pos, leader, leader_pos.
 
-    Each name joins the earliest leader with ratio >= threshold, or becomes one.
+    Each name joins the earliest leader with ratio >= threshold, or becomes one.  A round walks the earliest undecided names
+    and lets all names follow the leaders found.  If those are mostly loners it also settles, by joins, the names that
+    are among the earliest k of all their tokens; k is eight times as large when a round decided less than half of the names, so
+    the number of rounds grows with the logarithm of the table and not with the leaders.  A follower of a joined round
+    whose earlier neighbours were not all known is compared once more, with the leaders before the one it found.
     """
-    todo = cut_lineage(first_by_pos(names.select("name", "pos"), ["name"]))
-    left = todo.count()
-    order = TokenOrder(todo, threshold, budget) if left else None
-    parts: list[DataFrame] = []
-    size = budget.first_names
+    todo = cut_lineage(with_prefix(first_by_pos(names.select("name", "pos"), ["name"]), threshold))
+    leaders: list[DataFrame] = []
+    found: list[DataFrame] = []
+
+    def follow(open_names: DataFrame, lead: DataFrame, led: DataFrame, sure: bool) -> DataFrame:
+        """Note leaders and their followers, the earliest leader each; the names that are left."""
+        best = cut_lineage(led.groupBy(F.col("v").alias("pos")).agg(F.min("u").alias("leader_pos")).withColumn("sure", F.lit(sure)))
+        leaders.append(lead)
+        found.append(best)
+        return cut_lineage(_except(_except(open_names, "pos", lead), "pos", best))
+
+    def led_by(open_names: DataFrame, lead: DataFrame) -> DataFrame:
+        heads = open_names.join(lead, "pos", "left_semi").withColumn("held", F.col("prefix"))
+        return _similar(_except(open_names, "pos", lead), heads, threshold)
+
+    open_names, left, least = todo, todo.count(), budget.per_token
     while left:
-        chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget)
-        leaders = _leaders_of(chunk, edges)
-        made = leaders.count()
-        settled = min(size, left)
-        done = leaders.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
+        before = left
+        lead, made, walked = _walked(open_names, threshold, budget)
         if made == left:
-            parts.append(done)
+            leaders.append(lead)
             break
-        others = todo.join(done.select("name"), "name", "left_anti")
-        matches = similar_pairs(others, leaders, threshold, order=order, copy_right=made <= budget.copied_names)
-        # At most ``most_names`` leaders a round.
-        placed = (matches.join(F.broadcast(leaders.withColumnsRenamed({"name": "other", "pos": "leader_pos"})), "other")
-                  .groupBy("name").agg(F.min_by("other", "leader_pos").alias("leader"),
-                                       F.min("leader_pos").alias("leader_pos")))
-        result = cut_lineage(done.unionByName(todo.join(placed, "name").select("name", "pos", "leader", "leader_pos")))
-        parts.append(result)
-        left -= result.count()
-        todo = cut_lineage(_spread(todo.join(result, "name", "left_anti"), left, budget))
-        # Few leaders: the names are alike and the next few leaders take most of the rest before their pairs are
-        # listed.  Many: look at more at once.
-        sparse = made * 2 >= min(settled, left)
-        size = min(size * 8, budget.most_names) if sparse else budget.first_names
-    if not parts:
+        # All names up to the end of the walk are settled, so no earlier leader is unknown.
+        open_names = follow(open_names, lead, led_by(open_names, lead), True)
+        if 2 * made > walked and not open_names.isEmpty():
+            edges, partly, k = _first_edges(open_names, threshold, budget, least)
+            followers, pending = _settled(edges, partly)
+            lead = _except(_except(open_names.select("pos"), "pos", partly), "pos", followers)
+            if pending is not None:
+                lead = _except(lead, "pos", pending.select(F.col("v").alias("pos")))
+            lead = cut_lineage(lead)
+            led = edges.join(dealt(lead.select(F.col("pos").alias("u"))), "u") if partly is None else led_by(open_names, lead)
+            open_names = follow(open_names, lead, led, partly is None)
+            least = max(k, least)
+        left = open_names.count()
+        if 2 * left > before:
+            least *= 8
+    if not found:  # no name follows another
         return todo.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _spread(names: DataFrame, rows: int, budget: Budget) -> DataFrame:
-    """Enough partitions for work that costs much per name; merging by size in bytes would leave too few."""
-    parts = max(names.sparkSession.sparkContext.defaultParallelism, rows // budget.names_per_task)
-    return names.repartition(parts, "name")
-
-
-def _budgeted_chunk(todo: DataFrame, order: TokenOrder, threshold: float, size: int, budget: Budget,
-                    scope: str | None = None):
-    """The earliest names, as many (up to ``size``) as keep their candidate pairs in the budget."""
-    while True:
-        chunk = cut_lineage(todo.orderBy("pos").limit(size))
-        n = chunk.count()
-        if n == 0:
-            return None, None, size
-        load = (order.keyed(chunk).groupBy("token", "kind").agg(F.count(F.lit(1)).alias("n"))
-                .agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("p")).first()["p"]) or 0
-        if load <= budget.candidate_pairs or n <= budget.first_names:
-            break
-        size = max(budget.first_names, n // 2)
-    pairs = similar_pairs(chunk, chunk, threshold, scope=scope, order=order, half=True)
-    keys = [scope] if scope else []
-    place = chunk.select(*keys, "name", "pos")
-    edges = (pairs.join(place.withColumnRenamed("pos", "p"), [*keys, "name"])
-             .join(place.withColumnsRenamed({"name": "other", "pos": "q"}), [*keys, "other"])
-             .select(F.least("p", "q").alias("pos"), F.greatest("p", "q").alias("other_pos")))
-    return chunk, edges, size
+    heads = reduce(DataFrame.unionByName, leaders)
+    return _named(todo, heads, _with_earlier_leaders(todo, heads, reduce(DataFrame.unionByName, found), threshold))
 
 
-def _leaders_of(chunk: DataFrame, edges: DataFrame) -> DataFrame:
-    """Names of the chunk that follow no earlier leader of the chunk.
+def _with_earlier_leaders(todo: DataFrame, leaders: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(pos, leader_pos) of followers, those that are not sure compared with the leaders before the one they found."""
+    unsure = found.filter(~F.col("sure")).select("pos", F.col("leader_pos").alias("best"))
+    if unsure.isEmpty():
+        return found.select("pos", "leader_pos")
+    tokens = unsure.join(todo, "pos").select("pos", "best", "name", "prefix", F.explode("prefix").alias("token"))
+    heads = todo.join(leaders, "pos", "left_semi").select(
+        F.col("pos").alias("u"), F.col("name").alias("other"), F.col("prefix").alias("shown"), F.explode("prefix").alias("token"))
+    near = tokens.join(heads, "token").filter(F.col("u") < F.col("best")).filter(_near("shown", threshold)).select("u", "pos", "name", "other")
+    better = near.filter(similarity("name", "other") >= threshold).groupBy("pos").agg(F.min("u").alias("earlier"))
+    return found.join(better, "pos", "left").select("pos", F.coalesce("earlier", "leader_pos").alias("leader_pos"))
 
-    In each round the names without an undecided earlier neighbour lead and their neighbours follow; both leave
-    the edge list.  Joins only, so the edges stay spread; a round decides at least the earliest name of every
-    connected part.  The few edges of a first chunk are walked in order instead.
-    """
-    few = edges.select("pos", "other_pos").limit(FEW_EDGES + 1).collect()
-    if len(few) <= FEW_EDGES:
-        follows: set[int] = set()
-        for early, late in sorted((r["pos"], r["other_pos"]) for r in few):
-            if early not in follows:
-                follows.add(late)
-        return chunk.filter(~F.col("pos").isin(sorted(follows))).select("name", "pos")
-    left = cut_lineage(edges.select("pos", "other_pos").distinct())
-    followers: DataFrame | None = None
-    while not left.isEmpty():
-        led = left.join(left.select(F.col("other_pos").alias("pos")).distinct(), "pos", "left_anti")
-        new = cut_lineage(led.select(F.col("other_pos").alias("follower")).distinct())
-        followers = new if followers is None else cut_lineage(followers.unionByName(new))
-        # An edge from a leader or from or to a follower says nothing more.
-        rest = left.join(new, left["pos"] == new["follower"], "left_anti")
-        left = cut_lineage(rest.join(new, rest["other_pos"] == new["follower"], "left_anti"))
-    if followers is None:
-        return cut_lineage(chunk.select("name", "pos"))
-    return cut_lineage(chunk.join(followers, F.col("pos") == F.col("follower"), "left_anti").select("name", "pos"))
 
+def _named(todo: DataFrame, leaders: DataFrame, follows: DataFrame) -> DataFrame:
+    every = leaders.select("pos", F.col("pos").alias("leader_pos")).unionByName(follows)
+    heads = todo.join(leaders, "pos", "left_semi").select(F.col("pos").alias("leader_pos"), F.col("name").alias("leader"))
+    return cut_lineage(todo.select("name", "pos").join(every, "pos").join(dealt(heads), "leader_pos").select(
+        "name", "pos", "leader", "leader_pos"))
+
+
+# ---- complete-link grouping
 
 def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str | None = None,
                          budget: Budget = Budget()) -> DataFrame:
@@ -264,70 +321,54 @@ def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str |
 
     A name joins the first group all of whose members reach the threshold; with ``scope``
     only groups of its own scope.  At the default threshold only equal names do, which is a
-    plain aggregate.  Below it, chunks are placed in order: a group is open to a name when
-    the name matches as many members as the group has, which is counted with joins; only
-    the order inside one bounded chunk is settled in a single task.
+    plain aggregate.  Below it, names and groups meet in a table of open groups (group, name): a name stays there
+    while it is similar to every member.  In each round
+
+    * a name without open group and without undecided earlier neighbour founds a group, open to its later neighbours;
+    * a name joins its first open group if no undecided earlier neighbour could found an earlier one, and if
+      every undecided earlier name that the group is open to is its neighbour, so that none can close it.
+
+    Parts of the graph that are not connected advance together, and so do all names of a group of alike names; the number
+    of rounds is the longest chain of such waits.  ``pos`` must differ between the names of all scopes.
     """
     keys = [scope, "name"] if scope else ["name"]
     todo = first_by_pos(names.select(*keys, "pos"), keys)
     if threshold >= 1.0:
         return todo.select(*keys, "pos", F.col("pos").alias("group_no"))
     todo = cut_lineage(todo)
-    order = TokenOrder(todo.select("name").distinct(), threshold, budget)
+    pairs = similar_pairs(todo, todo, threshold, scope=scope, half=True, budget=budget)
+    at = lambda column, pos: todo.select(*keys[:-1], F.col("name").alias(column), F.col("pos").alias(pos))
+    pairs = pairs.join(at("name", "p"), keys).join(at("other", "q"), [*keys[:-1], "other"])
+    edges = cut_lineage(pairs.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")))
+    open_to = edges.limit(0).select(F.col("u").alias("group_no"), F.col("v").alias("pos"))  # undecided names similar to all members
     placed: DataFrame | None = None
-    most = max(budget.chunk_names, min(budget.most_names, math.isqrt(budget.candidate_pairs)))
-    size = budget.chunk_names
-    while True:
-        chunk, edges, size = _budgeted_chunk(todo, order, threshold, size, budget, scope)
-        if chunk is None:
-            break
-        rows = chunk.select(F.col("pos"), F.lit(None).cast("bigint").alias("other_pos"), F.lit(0).alias("kind"))
-        rows = rows.unionByName(edges.select(F.col("other_pos").alias("pos"), F.col("pos").alias("other_pos"),
-                                             F.lit(1).alias("kind")))
-        if placed is not None:
-            full = placed.groupBy("group_no").agg(F.count(F.lit(1)).alias("members"))
-            held = placed.select(*keys, "group_no").withColumnRenamed("name", "other")
-            met = (similar_pairs(chunk, placed, threshold, scope=scope, order=order)
-                   .join(held, [*keys[:-1], "other"])
-                   .groupBy(*keys, "group_no").agg(F.count(F.lit(1)).alias("hits")).join(full, "group_no")
-                   .filter("hits = members").join(chunk, keys).select("pos", "group_no"))
-            # Each earlier name of the chunk can close one group, so the i-th needs only its first i open ones.
-            met = top_per_group(met, ["pos"], [F.asc("group_no")], most).join(
-                number_in_chunk(chunk), "pos").filter("rank <= place")
-            rows = rows.unionByName(met.select("pos", F.col("group_no").alias("other_pos"), F.lit(2).alias("kind")))
-        chosen = rows.coalesce(1).mapInPandas(_place_chunk, "pos bigint, group_no bigint")
-        result = cut_lineage(chunk.join(chosen, "pos").select(*keys, "pos", "group_no"))
-        placed = result if placed is None else cut_lineage(placed.unionByName(result))
-        todo = cut_lineage(todo.join(result, keys, "left_anti"))
-        size = min(size * 2, most)
-    return placed if placed is not None else todo.select(*keys, "pos", F.col("pos").alias("group_no"))
-
-
-def number_in_chunk(chunk: DataFrame) -> DataFrame:
-    """1-based place of each position in a bounded chunk."""
-    return chunk.select("pos", F.row_number().over(Window.orderBy("pos")).alias("place"))
-
-
-def _place_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Place the names of one chunk in order: kind 0 = name, 1 = similar pair inside it, 2 = open group."""
-    rows = pd.concat(list(batches))
-    alike: dict[int, set[int]] = {}
-    open_to: dict[int, list[int]] = {}
-    for pos, other, kind in zip(rows["pos"], rows["other_pos"], rows["kind"]):
-        if kind == 1:
-            alike.setdefault(int(pos), set()).add(int(other))
-        elif kind == 2:
-            open_to.setdefault(int(pos), []).append(int(other))
-    joined: dict[int, list[int]] = {}
-    fresh: list[int] = []
-    out = []
-    for pos in sorted(int(p) for p in rows.loc[rows["kind"] == 0, "pos"]):
-        near = alike.get(pos, set())
-        options = sorted(open_to.get(pos, [])) + fresh
-        group = next((g for g in options if all(m in near for m in joined.get(g, ()))), None)
-        if group is None:
-            group = pos
-            fresh.append(pos)
-        joined.setdefault(group, []).append(pos)
-        out.append((pos, group))
-    yield pd.DataFrame(out, columns=["pos", "group_no"])
+    while not (edges.isEmpty() and open_to.isEmpty()):
+        founders = _except(_except(edges.select(F.col("u").alias("pos")).distinct(), "pos", edges.select(F.col("v").alias("pos")).distinct()), "pos", open_to)
+        decided = cut_lineage(founders.select("pos", F.col("pos").alias("group_no")).unionByName(_joining(edges, open_to)))
+        placed = decided if placed is None else placed.unionByName(decided)
+        # Neighbours of new members; a name stays open to a group only if it knows all of them.
+        links = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hits = cut_lineage(links.join(dealt(decided.withColumnRenamed("pos", "u")), "u")
+                           .groupBy("group_no", F.col("v").alias("pos")).agg(F.count(F.lit(1)).alias("hits")))
+        members = decided.groupBy("group_no").agg(F.count(F.lit(1)).alias("members"))
+        kept = (open_to.join(dealt(members), "group_no", "left").join(hits, ["group_no", "pos"], "left")
+                .filter(F.col("members").isNull() | (F.col("members") == F.col("hits"))).select("group_no", "pos"))
+        opened = hits.join(dealt(decided.filter("pos = group_no").select("group_no")), "group_no", "left_semi").select("group_no", "pos")
+        open_to = cut_lineage(_except(kept.unionByName(opened), "pos", decided))
+        edges = cut_lineage(_except(_except(edges, "u", decided), "v", decided))
+    alone = _except(todo, "pos", placed).select(*keys, "pos", F.col("pos").alias("group_no"))
+    if placed is None:
+        return alone
+    return alone.unionByName(todo.join(placed, "pos").select(*keys, "pos", "group_no"))
+
+
+def _joining(edges: DataFrame, open_to: DataFrame) -> DataFrame:
+    """(pos, group_no) of names that join their first open group, whatever the other undecided names do."""
+    first = open_to.groupBy("pos").agg(F.min("group_no").alias("group_no"))
+    founder = edges.groupBy(F.col("v").alias("pos")).agg(F.min("u").alias("next"))
+    ready = first.join(founder, "pos", "left").filter(F.col("next").isNull() | (F.col("next") > F.col("group_no"))).select("pos", "group_no")
+    ranked = number_in_groups(open_to, "group_no", "pos", "rank").join(ready, ["group_no", "pos"])
+    known = (edges.join(open_to.withColumnRenamed("pos", "u"), "u").select(F.col("v").alias("pos"), "group_no")
+             .groupBy("group_no", "pos").agg(F.count(F.lit(1)).alias("known")))
+    settled = ranked.join(known, ["group_no", "pos"], "left").filter(F.col("rank") - 1 == F.coalesce("known", F.lit(0)))
+    return settled.select("pos", "group_no")

@@ -81,3 +81,20 @@ def number_rows(df: DataFrame, pos: str, name: str = "row_no", span: int = 250_0
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy(pos))
     return (celled.withColumn("_inside", inside).join(before, "_cell")
             .withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name))
+
+
+def number_in_groups(df: DataFrame, key: str, pos: str, name: str = "row_no", span: int = 250_000) -> DataFrame:
+    """1-based row number of distinct positions inside each ``key``, counted in cells of ``span`` positions, so that a key
+    with very many rows is numbered by many tasks."""
+    celled = df.withColumn("_cell", F.floor(F.col(pos) / span))
+    sizes = celled.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(key, "_cell", (F.sum("_n").over(Window.partitionBy(key).orderBy("_cell")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(pos))
+    return (celled.withColumn("_inside", inside).join(before, [key, "_cell"])
+            .withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A grouped table dealt out anew, so that a join on its key shuffles both sides itself and Spark can split the hot
+    keys of the other side."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

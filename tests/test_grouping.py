@@ -12,7 +12,7 @@ from tallyline.operators.clustering import Budget, complete_link_groups, leader_
 from tallyline.operators.common import number_rows
 from tallyline.plans.autogroup import autogroup
 
-SMALL = Budget(first_names=24, chunk_names=24, most_names=200, candidate_pairs=3000, common_tokens=16)
+SMALL = Budget(walked_names=40, walked_pairs=60, per_token=2, candidate_rows=300, rows_per_token=0, key_pairs=40)
 
 
 def assets(spark, rows):
@@ -46,20 +46,49 @@ def random_names(seed, n=160):
     return list(dict.fromkeys("".join(rnd.choice("abc-1") for _ in range(rnd.randint(0, 13))) for _ in range(n)))
 
 
+def families(seed, n=150):
+    """Many families of alike names, mixed in order, beside some loners."""
+    rnd = random.Random(seed)
+    stems = ["".join(rnd.choice("abcdefg-") for _ in range(rnd.randint(8, 14))) for _ in range(12)]
+    made = [f"{rnd.choice(stems)}{rnd.randint(0, 999):0{rnd.choice([2, 4])}d}" for _ in range(n)]
+    return list(dict.fromkeys(made + random_names(seed + 1, 20)))
+
+
+def listed(spark, names):
+    return spark.createDataFrame(list(zip(names, range(len(names)))), "name string, pos bigint")
+
+
+@pytest.mark.parametrize("budget", [SMALL, Budget()], ids=["small", "default"])
 @pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.95])
-def test_leader_groups_equal_sequential(spark, threshold):
-    names = random_names(int(threshold * 100))
-    df = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, pos bigint")
-    got = {r["name"]: r["leader"] for r in leader_groups(df, threshold, SMALL).collect()}
-    assert got == leaders(names, threshold)
+def test_leader_groups_equal_sequential(spark, threshold, budget):
+    for names in (random_names(int(threshold * 100)), families(int(threshold * 100))):
+        got = {r["name"]: r["leader"] for r in leader_groups(listed(spark, names), threshold, budget).collect()}
+        assert got == leaders(names, threshold)
 
 
+@pytest.mark.parametrize("budget", [SMALL, Budget()], ids=["small", "default"])
 @pytest.mark.parametrize("threshold", [0.7, 0.85])
-def test_complete_link_equals_sequential(spark, threshold):
-    names = random_names(int(threshold * 1000), 110)
-    df = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, pos bigint")
-    got = {r["name"]: names[r["group_no"]] for r in complete_link_groups(df, threshold, budget=SMALL).collect()}
-    assert got == complete(names, threshold)
+def test_complete_link_equals_sequential(spark, threshold, budget):
+    for names in (random_names(int(threshold * 1000), 110), families(int(threshold * 1000), 90)):
+        got = {r["name"]: names[r["group_no"]] for r in complete_link_groups(listed(spark, names), threshold, budget=budget).collect()}
+        assert got == complete(names, threshold)
+
+
+def test_rounds_do_not_grow_with_leaders(spark, monkeypatch):
+    from tallyline.operators import clustering
+    rounds = []
+    plain = clustering._first_edges
+    monkeypatch.setattr(clustering, "_first_edges", lambda *a: rounds.append(1) or plain(*a))
+    seen = []
+    for many in (4, 32):
+        rnd = random.Random(many)
+        stems = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(many)]
+        names = [f"{s}{i:02d}" for s in stems for i in range(20)]
+        rounds.clear()
+        got = {r["leader"] for r in leader_groups(listed(spark, names), 0.8, SMALL).collect()}
+        assert len(got) >= many
+        seen.append(len(rounds))
+    assert seen[1] <= seen[0] + 1
 
 
 def test_a_chain_differs_between_leader_and_complete_link(spark):
@@ -72,8 +101,10 @@ def test_a_chain_differs_between_leader_and_complete_link(spark):
 def test_similar_pairs_lose_none(spark):
     names = random_names(9, 120)
     df = spark.createDataFrame([(n,) for n in names], "name string")
-    got = {(r["name"], r["other"]) for r in similar_pairs(df, df, 0.75, half=True).collect()}
-    assert got == {(a, b) for a in names for b in names if a < b and ratio_of(a, b) >= 0.75}
+    for budget in (SMALL, Budget()):
+        rows = similar_pairs(df, df, 0.75, half=True, budget=budget).collect()
+        got = {(r["name"], r["other"]) for r in rows}
+        assert len(got) == len(rows) and got == {(a, b) for a in names for b in names if a < b and ratio_of(a, b) >= 0.75}
 
 
 def test_last_duplicate_tag_wins_and_empty_primary_is_untagged(spark):
