@@ -289,6 +289,7 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts are of base spans."""
     from .queries import documents
     found = find_personal_data(documents(spark, sf_dir), keep=["doc_id"])
-    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(span_list(F.col("base_spans")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
                         (F.size("spans") - F.size("base_spans")).cast("long").alias("n_added"))
