@@ -42,6 +42,7 @@ class Budget:
     candidate_rows: int = 4_000_000  # meetings that a round may have in any case
     rows_per_token: int = 32  # and as many for each token of a name
     key_pairs: int = 4_000_000  # meetings at one key, beyond which it is split
+    part_edges: int = 300_000  # similar pairs of a connected part that one task may walk
 
 
 def _bigram_floor(threshold: float) -> int:
@@ -321,15 +322,9 @@ def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str |
 
     A name joins the first group all of whose members reach the threshold; with ``scope``
     only groups of its own scope.  At the default threshold only equal names do, which is a
-    plain aggregate.  Below it, names and groups meet in a table of open groups (group, name): a name stays there
-    while it is similar to every member.  In each round
-
-    * a name without open group and without undecided earlier neighbour founds a group, open to its later neighbours;
-    * a name joins its first open group if no undecided earlier neighbour could found an earlier one, and if
-      every undecided earlier name that the group is open to is its neighbour, so that none can close it.
-
-    Parts of the graph that are not connected advance together, and so do all names of a group of alike names; the number
-    of rounds is the longest chain of such waits.  ``pos`` must differ between the names of all scopes.
+    plain aggregate.  Below it the similar pairs fall into connected parts, which do not see each other: a part is walked
+    in order by the task that holds it, and one with too many pairs for a task is grouped by joins
+    (``_joined_groups``).  ``pos`` must differ between the names of all scopes.
     """
     keys = [scope, "name"] if scope else ["name"]
     todo = first_by_pos(names.select(*keys, "pos"), keys)
@@ -340,12 +335,69 @@ def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str |
     at = lambda column, pos: todo.select(*keys[:-1], F.col("name").alias(column), F.col("pos").alias(pos))
     pairs = pairs.join(at("name", "p"), keys).join(at("other", "q"), [*keys[:-1], "other"])
     edges = cut_lineage(pairs.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")))
-    open_to = edges.limit(0).select(F.col("u").alias("group_no"), F.col("v").alias("pos"))  # undecided names similar to all members
-    placed: DataFrame | None = None
+    labelled = cut_lineage(edges.join(_parts(edges).withColumnRenamed("pos", "u"), "u"))
+    sizes = labelled.groupBy("part").agg((F.count(F.lit(1)) > budget.part_edges).alias("big"))
+    sized = cut_lineage(labelled.join(dealt(sizes), "part"))
+    placed = sized.filter("not big").groupBy("part").applyInPandas(_walk_part, "pos long, group_no long")
+    placed = cut_lineage(placed.unionByName(_joined_groups(sized.filter("big").select("u", "v"))))
+    alone = _except(todo, "pos", placed).select(*keys, "pos", F.col("pos").alias("group_no"))
+    return alone.unionByName(todo.join(placed, "pos").select(*keys, "pos", "group_no"))
+
+
+def _parts(edges: DataFrame) -> DataFrame:
+    """Connected parts of ``edges`` (u, v): pos, part.  In each round every part merges into its least neighbour, and the edges
+    between the merged parts are what is left."""
+    ends = edges.select(F.col("u").alias("pos")).unionByName(edges.select(F.col("v").alias("pos"))).distinct()
+    labels = cut_lineage(ends.withColumn("part", F.col("pos")))
+    left = edges.select("u", "v")
+    while not left.isEmpty():
+        links = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        into = cut_lineage(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("into")))
+        after = lambda df, column: df.join(dealt(into.withColumnRenamed("u", column)), column).drop(column).withColumnRenamed("into", column)
+        moved = labels.join(dealt(into.withColumnRenamed("u", "part")), "part", "left")
+        labels = cut_lineage(moved.select("pos", F.coalesce("into", "part").alias("part")))
+        left = cut_lineage(after(after(left, "u"), "v").filter("u <> v").distinct())
+    return labels
+
+
+def _walk_part(edges: pd.DataFrame) -> pd.DataFrame:
+    """Groups of one connected part, name after name in order."""
+    earlier: dict[int, list[int]] = {}
+    for u, v in zip(edges["u"].tolist(), edges["v"].tolist()):
+        earlier.setdefault(v, []).append(u)
+        earlier.setdefault(u, [])
+    group: dict[int, int] = {}
+    members: dict[int, int] = {}
+    for name in sorted(earlier):
+        known: dict[int, int] = {}
+        for other in earlier[name]:
+            known[group[other]] = known.get(group[other], 0) + 1
+        own = min((g for g, n in known.items() if n == members[g]), default=name)
+        group[name] = own
+        members[own] = members.get(own, 0) + 1
+    return pd.DataFrame({"pos": list(group), "group_no": list(group.values())})
+
+
+def _joined_groups(edges: DataFrame) -> DataFrame:
+    """pos, group_no of the names of ``edges`` (u before v), by rounds of joins.
+
+    Names and groups meet in a table of open groups (group, name): a name stays there while it is similar to every member.
+    In each round
+
+    * a name without open group and without undecided earlier neighbour founds a group, open to its later neighbours;
+    * a name joins its first open group if no undecided earlier neighbour could found an earlier one, and if
+      every undecided earlier name that the group is open to is its neighbour, so that none can close it.
+
+    The number of rounds is the longest chain of such waits.
+    """
+    ends = edges.select(F.col("u").alias("pos")).unionByName(edges.select(F.col("v").alias("pos"))).distinct()
+    open_to = edges.limit(0).select(F.col("u").alias("group_no"), F.col("v").alias("pos"))
+    placed = open_to
     while not (edges.isEmpty() and open_to.isEmpty()):
-        founders = _except(_except(edges.select(F.col("u").alias("pos")).distinct(), "pos", edges.select(F.col("v").alias("pos")).distinct()), "pos", open_to)
+        waiting = edges.select(F.col("v").alias("pos")).distinct()
+        founders = _except(_except(edges.select(F.col("u").alias("pos")).distinct(), "pos", waiting), "pos", open_to)
         decided = cut_lineage(founders.select("pos", F.col("pos").alias("group_no")).unionByName(_joining(edges, open_to)))
-        placed = decided if placed is None else placed.unionByName(decided)
+        placed = placed.unionByName(decided)
         # Neighbours of new members; a name stays open to a group only if it knows all of them.
         links = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hits = cut_lineage(links.join(dealt(decided.withColumnRenamed("pos", "u")), "u")
@@ -356,10 +408,8 @@ def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str |
         opened = hits.join(dealt(decided.filter("pos = group_no").select("group_no")), "group_no", "left_semi").select("group_no", "pos")
         open_to = cut_lineage(_except(kept.unionByName(opened), "pos", decided))
         edges = cut_lineage(_except(_except(edges, "u", decided), "v", decided))
-    alone = _except(todo, "pos", placed).select(*keys, "pos", F.col("pos").alias("group_no"))
-    if placed is None:
-        return alone
-    return alone.unionByName(todo.join(placed, "pos").select(*keys, "pos", "group_no"))
+    # A name whose neighbours are all placed elsewhere founds its own group.
+    return ends.join(placed, "pos", "left").select("pos", F.coalesce("group_no", "pos").alias("group_no"))
 
 
 def _joining(edges: DataFrame, open_to: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tallyline.operators.clustering import Budget, complete_link_groups, leader_
 from tallyline.operators.common import number_rows
 from tallyline.plans.autogroup import autogroup
 
-SMALL = Budget(walked_names=40, walked_pairs=60, per_token=2, candidate_rows=300, rows_per_token=0, key_pairs=40)
+SMALL = Budget(walked_names=40, walked_pairs=60, per_token=2, candidate_rows=300, rows_per_token=0, key_pairs=40, part_edges=12)
 
 
 def assets(spark, rows):

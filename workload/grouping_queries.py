@@ -105,13 +105,53 @@ def _(v):
     return grouping.infra_networks(v.asset.filter("type = 'INFRA'"))
 
 
-@query("host_clusters")
+def _ratio_sql(a: str, b: str, threshold: float) -> str:
+    """Whether two names of at most 120 characters reach a ratio: the edit distance decides most, else the longest common
+    subsequence, as one step of a bit row for each character."""
+    full = f"((1::hugeint << length({a})) - 1)"
+    mask = f"list_sum(list_transform(range(length({a})), lambda i: case when {a}[i + 1] = c then 1::hugeint << i::integer else 0::hugeint end))::hugeint"
+    row = f"list_reduce(list_prepend({full}, list_transform(string_split({b}, ''), lambda c: {mask})), lambda r, m: (((r + (r & m)) | (r - (r & m))) & {full})::hugeint)"
+    total = f"(length({a}) + length({b}))"
+    return (f"(case when {total} = 0 then true when length({a}) = 0 or length({b}) = 0 then false"
+            f" when levenshtein({a}, {b}) > floor({total} * {1 - threshold} + 1e-9) then false"
+            f" else 2.0::double * (length({a}) - bit_count({row})) / {total} >= {threshold} end)")
+
+
+def _name_groups_sql(p: str, members: str, threshold: float, prefix: str, width: int, least: int = 2) -> str:
+    """CTEs ending in ``{p}g``: leader groups of ``members`` (name, pos), leader after leader in order."""
+    return f"""
+{p}n as (select name, min(pos) as pos from {members} group by name),
+{p}w as (select 1 as step, name, pos, min(pos) over () as head_pos, arg_min(name, pos) over () as head from {p}n
+  union all select step + 1, name, pos, min(pos) over (), arg_min(name, pos) over () from {p}w where pos <> head_pos and not {_ratio_sql('name', 'head', threshold)}),
+{p}l as (select name, arg_max(head, step) as leader, arg_max(head_pos, step) as leader_pos from {p}w group by name),
+{p}m as (select m.pos, m.name, leader, leader_pos, row_number() over (partition by leader_pos order by m.pos) as rn from {members} m join {p}l using (name)),
+{p}s as (select leader, leader_pos, '{prefix}' || substr(leader, 1, {width}) as group_key, count(*) as asset_count, min(pos) as first_pos,
+  string_agg(name, ',' order by pos) filter (where rn <= 10) as sample_names from {p}m group by leader, leader_pos having count(*) >= {least}),
+{p}g as (select * from (select *, row_number() over (partition by group_key order by leader_pos desc) as k from {p}s) where k = 1)
+"""
+
+
+_HOST_MEMBERS = "h as (select coalesce(nullif(hostname, ''), nullif(assetName, '')) as name, pos from (select *, " + _NETWORK + """ as network from @asset where type = 'INFRA')
+  where network is null and coalesce(nullif(hostname, ''), nullif(assetName, '')) is not null),"""
+
+
+@query("host_clusters", "with recursive " + _HOST_MEMBERS + _name_groups_sql("h", "h", 0.8, "INFRA-", 30) + "select group_key, leader_pos, asset_count, sample_names from hg")
 def _(v):
     _, groups = grouping.host_groups(v.asset.filter("type = 'INFRA'"))
     return groups.select("group_key", "leader_pos", "asset_count", F.array_join("sample_names", ",").alias("sample_names"))
 
 
-@query("container_clusters")
+# Machines of many families, mixed in order: region, purpose and number.
+@query("host_family_clusters", "with recursive h as (select hostname as name, pos from @fleet)," + _name_groups_sql("h", "h", 0.8, "INFRA-", 30)
+       + "select group_key, leader_pos, asset_count, sample_names from hg")
+def _(v):
+    _, groups = grouping.host_groups(v.fleet, use_networks=False)
+    return groups.select("group_key", "leader_pos", "asset_count", F.array_join("sample_names", ",").alias("sample_names"))
+
+
+@query("container_clusters", "with recursive " + _TAGGED.strip() + """,
+c as (select coalesce(nullif(imageName, ''), assetName, '') as name, pos from g where type = 'CONTAINER' and tag_key is null),"""
+       + _name_groups_sql("c", "c", 0.85, "CONTAINER-", 40) + "select group_key, leader_pos, asset_count, sample_names from cg")
 def _(v):
     _, groups = grouping.container_groups(grouping.untagged(v.asset.filter("type = 'CONTAINER'"), "Application", "Team"))
     return groups.select("group_key", "leader_pos", "asset_count", F.array_join("sample_names", ",").alias("sample_names"))
@@ -178,7 +218,27 @@ def _(v):
         "group_key", "method", "asset_count", "application_name", "component_name", "first_type")
 
 
-@query("full_grouping_plan")
+# All paths; of groups with one key the fallback replaces the tag group, then the type that appears later, then the later leader.
+_FULL_PLAN = "with recursive " + _KEYED.strip() + """,
+h as (select coalesce(nullif(hostname, ''), nullif(assetName, '')) as name, pos from k where method = 'hostname' and group_key is null),
+c as (select coalesce(nullif(imageName, ''), assetName, '') as name, pos from k where method = 'image_name'),""" + _name_groups_sql(
+    "h", "h", 0.8, "INFRA-", 30) + "," + _name_groups_sql("c", "c", 0.85, "CONTAINER-", 40) + """,
+t as (select type, min(pos) as type_pos from k where tag_key is null group by type),
+i as (select group_key, method, case when tag_key is null then type end as fallback, count(*) as asset_count, min(pos) as first_pos, arg_min(type, pos) as first_type,
+    arg_max(app, pos) filter (where tag_key is not null) as pv, arg_max_null(team, pos) filter (where tag_key is not null) as sv,
+    cast(null as bigint) as leader_pos, cast(null as varchar) as sample_names from k where group_key is not null group by 1, 2, 3
+  union all select group_key, 'hostname', 'INFRA', asset_count, first_pos, 'INFRA', null, null, leader_pos, sample_names from hg
+  union all select group_key, 'image_name', 'CONTAINER', asset_count, first_pos, 'CONTAINER', null, null, leader_pos, sample_names from cg),
+r as (select i.*, row_number() over (partition by group_key order by fallback is not null desc, coalesce(type_pos, -1) desc,
+    case when method = 'hostname' then 1 when method = 'type' and fallback = 'INFRA' then 2 else 0 end desc, coalesce(leader_pos, -1) desc) as rn
+  from i left join t on t.type = i.fallback)
+select group_key, method, asset_count, substr(replace(replace(coalesce(pv, group_key), ' ', '-'), '_', '-'), 1, 100) as application_name,
+  case when sv not in ('', 'NoTeam') then substr(replace(replace(replace(coalesce(pv, group_key), ' ', '-'), '_', '-') || '-' || sv, ' ', '-'), 1, 100)
+    else substr(replace(group_key, '|||', '-'), 1, 100) end as component_name, first_type, sample_names
+from r where rn = 1 and asset_count >= 2"""
+
+
+@query("full_grouping_plan", _FULL_PLAN)
 def _(v):
     return _plan(v).select("group_key", "method", "asset_count", "application_name", "component_name", "first_type",
                            F.array_join("sample_names", ",").alias("sample_names"))
@@ -213,6 +273,61 @@ def _(v):
     return clustering.complete_link_groups(v.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("pos")))
 
 
+def _complete_link_sql(members: str, threshold: float, scope: str | None = None) -> str:
+    """CTEs ending in ``u`` (i, name, pos, group_no): greedy complete link of ``members`` (scope, name, pos, all distinct).
+
+    Names are placed one after the other; a step counts, for every group so far, its names and those that the next one is similar to.
+    """
+    same = f"a.{scope} is not distinct from b.{scope} and " if scope else ""
+    return f"""
+n as (select *, row_number() over (order by pos) as i from {members}),
+e as (select a.i, b.i as j from n a join n b on {same}b.i < a.i and {_ratio_sql('a.name', 'b.name', threshold)}),
+z as (select 1::bigint as step, i, i as g from n where i = 1
+  union all select step + 1, x.i, x.g from (select step, unnest(case when i = 1 then [{{'i': i, 'g': g}}, {{'i': step + 1, 'g': coalesce(chosen, step + 1)}}] else [{{'i': i, 'g': g}}] end) as x
+    from (select *, min(case when hits = size then g end) over () as chosen
+      from (select z.step, z.i, z.g, count(e.j) over (partition by z.g) as hits, count(*) over (partition by z.g) as size
+        from z left join e on e.i = z.step + 1 and e.j = z.i where z.step < (select count(*) from n))))),
+u as (select n.*, h.pos as group_no from z join n on n.i = z.i join n h on h.i = z.g where z.step = (select count(*) from n))
+"""
+
+
+@query("complete_link_similar_names", "with recursive m as (select p_name as name, min(p_partkey) as pos from @part group by 1)," + _complete_link_sql("m", 0.85)
+       + "select name, pos, group_no from u")
+def _(v):
+    return clustering.complete_link_groups(v.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("pos")), 0.85)
+
+
+@query("complete_link_fleet_names", "with recursive m as (select hostname as name, min(pos) as pos from @fleet group by 1)," + _complete_link_sql("m", 0.85)
+       + "select name, pos, group_no from u")
+def _(v):
+    return clustering.complete_link_groups(v.fleet.select(F.col("hostname").alias("name"), "pos"), 0.85)
+
+
+_SIMILAR_SUGGESTIONS = """
+a as (select applicationId as id, type, applicationId || ' ' || type as scope, split_part(coalesce(imageName, assetName), ' ', 1) || '-' || pos % 40 as name, pos
+  from @asset where applicationId is not null),
+m as (select scope, id, type, name, count(*) as n, min(pos) as pos from a group by all),""" + _complete_link_sql("m", 0.8, "scope")
+
+
+def _scoped_names(v):
+    return v.asset.filter("applicationId is not null").withColumn("name", F.concat(F.split_part(F.coalesce("imageName", "assetName"), F.lit(" "), F.lit(1)), F.lit("-"), F.col("pos") % 40))
+
+
+@query("similar_asset_name_groups", "with recursive " + _SIMILAR_SUGGESTIONS + """
+select id as scope_id, type, arg_min(name, pos) as name, cast(sum(n) as bigint) as asset_count, min(pos) as first_pos from u group by id, type, group_no""")
+def _(v):
+    return suggestions.name_group_sizes(_scoped_names(v), 0.8).select(F.col("applicationId").alias("scope_id"), "type", "name", "asset_count", "first_pos")
+
+
+@query("similar_component_suggestions", "with recursive " + _SIMILAR_SUGGESTIONS.strip() + """,
+g as (select id, type, arg_min(name, pos) as name, cast(sum(n) as bigint) as n, min(pos) as f from u where type in ('CONTAINER', 'CLOUD') group by id, type, group_no having sum(n) > 5),
+x as (select g.*, s.name as env, s.tags[1].value as team, s.pos as sp from g join @actual_scope s on s.id = g.id and s.type = 'ENVIRONMENT' where g.name not in (select name from @actual_component)),
+r as (select *, row_number() over (partition by type, name order by sp, f) as rn from x)
+select type, name as component_name, env as environment_name, team, n as asset_count from r where rn = 1""")
+def _(v):
+    return suggestions.component_suggestions(suggestions.name_group_sizes(_scoped_names(v), 0.8), v.actual_scope.filter("type = 'ENVIRONMENT'"), v.actual_component)
+
+
 @query("component_suggestions", """
 with g as (select applicationId, type, 'name-' || pos % 40 as name, count(*) as n, min(pos) as f from @asset where type in ('CONTAINER', 'CLOUD') group by 1, 2, 3 having count(*) > 5),
 e as (select g.*, s.name as env, s.tags[1].value as team, s.pos as sp from g join @actual_scope s on s.id = g.applicationId and s.type = 'ENVIRONMENT'

@@ -214,6 +214,10 @@ from @nation join @region on n_regionkey = r_regionkey"""
 INPUTS = {
     "asset": _asset,
     "shipment_asset": _shipment_asset,
+    "fleet": lambda d: f"""
+select 'f' || c_custkey as asset_id, c_custkey * 4 as pos, 'INFRA' as type, cast(null as {d.text}) as assetName,
+  lower(replace(n_name, ' ', '.')) || '-' || lower(c_mktsegment) || '-' || lpad(cast(c_custkey % 9973 as {d.text}), 4, '0') as hostname
+from @customer join @nation on c_nationkey = n_nationkey""",
     "actual_scope": _actual_scope,
     "declared_app": _declared_app,
     "declared_component": _declared_component,
