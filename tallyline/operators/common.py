@@ -1,4 +1,4 @@
-"""Shared relational building blocks: keyed reduction, diffs, bounded pairing, row positions."""
+"""Shared relational building blocks: keyed reduction, diffs, products by parts, row positions."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Largest side that is copied to every executor; beyond it Spark chooses the join itself.
-BROADCAST_ROWS = 100_000
-
 
 def fold_case(name: str) -> Column:
     return F.lower(F.col(name))
@@ -38,18 +35,15 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Counts at most ``limit + 1`` rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def pair_with_all(df: DataFrame, other: DataFrame) -> DataFrame:
-    """Every row of ``df`` with every row of ``other``, for results defined as a product.
+def paired(df: DataFrame, other: DataFrame, parts: int = 32) -> DataFrame:
+    """Every row of ``df`` with every row of ``other``, where a product has been asked for row by row.
 
-    ``other`` is copied to the executors only after its size is checked; a larger one
-    goes through Spark's own partitioned product.
+    An equi join on a part number: rows of ``other`` are dealt over the parts, rows of ``df`` go to each of them, so neither
+    side is copied whole and the work spreads.  Operators whose result is a product keep it as two tables instead.
     """
-    return df.crossJoin(F.broadcast(other) if fits_broadcast(other) else other)
+    dealt_out = other.withColumn("_part", F.pmod(F.xxhash64(*other.columns), F.lit(parts)).cast("int"))
+    everywhere = df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return everywhere.join(dealt_out, "_part").drop("_part")
 
 
 def missing_from(wanted: DataFrame, present: DataFrame, on: list[tuple[Column, Column]]) -> DataFrame:

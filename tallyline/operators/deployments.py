@@ -31,22 +31,37 @@ def existing_applications(applications: DataFrame, scopes: DataFrame) -> DataFra
     return applications.join(names, "app_name", "left_semi")
 
 
+def link_groups(applications: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links as tables keyed by deployment set: (groups, members, selectors).
+
+    members: the rows of ``applications`` that ask for a set, with ``set_key``; selectors: per set the services it selects
+    (service, env_name, link_by, selector), by their set first, else by their tag; groups: per set its members, selectors and links,
+    which are members times selectors.  Nothing is multiplied: ``links_of`` lists the links of chosen members.
+    """
+    members = applications.withColumn("set_key", _folded("deployment_set")).filter(F.col("set_key").isNotNull())
+    keyed = services.select("service", "env_name", F.col("deployment_tag").alias("_raw"), _folded("deployment_set").alias("_s"), _folded("deployment_tag").alias("_t"))
+    both = F.array(F.struct(F.col("_s").alias("set_key"), F.lit("name").alias("link_by"), F.col("service").alias("selector")),
+                   F.struct(F.when(~F.col("_s").eqNullSafe(F.col("_t")), F.col("_t")).alias("set_key"), F.lit("tag").alias("link_by"), F.col("_raw").alias("selector")))
+    selectors = (keyed.select("service", "env_name", F.explode(both).alias("k"))
+                 .select("k.set_key", "service", "env_name", "k.link_by", "k.selector").filter("set_key is not null"))
+    asked = members.groupBy("set_key").agg(F.count(F.lit(1)).alias("members"))
+    offered = selectors.groupBy("set_key").agg(F.count(F.lit(1)).alias("selectors"))
+    groups = asked.join(offered, "set_key", "left").select("set_key", "members", F.coalesce("selectors", F.lit(0)).alias("selectors"))
+    return groups.withColumn("links", F.col("members") * F.col("selectors")), members, selectors
+
+
+def links_of(members: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Links of the given members, one row each."""
+    return members.join(selectors, "set_key").drop("set_key")
+
+
 def deployment_links(applications: DataFrame, services: DataFrame) -> DataFrame:
     """Links of (app_name, deployment_set) with usable (service, env_name, deployment_set, deployment_tag).
 
-    The set decides first and links by name; otherwise the tag links by tag.  Two equi
-    joins, so a popular set is split by Spark's skew handling.
+    The set decides first and links by name; otherwise the tag links by tag.  All links of ``link_groups``, one row each.
     """
-    apps = applications.withColumn("_set", _folded("deployment_set")).filter(F.col("_set").isNotNull()).select(
-        *[c for c in applications.columns], "_set")
-    svc = services.select("service", "env_name", F.col("deployment_tag").alias("_raw_tag"),
-                          _folded("deployment_set").alias("_sset"), _folded("deployment_tag").alias("_stag"))
-    by_set = apps.join(svc, F.col("_set") == F.col("_sset")).withColumn("link_by", F.lit("name"))
-    by_tag = apps.join(svc.filter(~F.col("_sset").eqNullSafe(F.col("_stag"))),
-                       F.col("_set") == F.col("_stag")).withColumn("link_by", F.lit("tag"))
-    return (by_set.unionByName(by_tag)
-            .withColumn("selector", F.when(F.col("link_by") == "name", F.col("service")).otherwise(F.col("_raw_tag")))
-            .drop("_set", "_sset", "_stag", "_raw_tag"))
+    _, members, selectors = link_groups(applications, services)
+    return links_of(members, selectors)
 
 
 def missing_service_errors(applications: DataFrame, services: DataFrame) -> DataFrame:
@@ -95,21 +110,30 @@ def absent_components(components: DataFrame, scopes: DataFrame, actual: DataFram
         "component_id", "app_name", "component", F.lit("component not found in its application").alias("error"))
 
 
+def component_link_groups(components: DataFrame, services: DataFrame, scopes: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``link_groups`` of components (component_id, app_name, component, deployment_set) that the snapshot holds in their application.
+
+    Tags select ignoring case; ``inherits`` marks members of a set without selectors.
+    """
+    present = components.join(_stored_components(scopes, actual), ["app_name", "component"], "left_semi")
+    groups, members, selectors = link_groups(present, services)
+    marked = members.join(groups.select("set_key", (F.col("selectors") == 0).alias("inherits")), "set_key")
+    folded = F.when(F.col("link_by") == "tag", F.lower("selector")).otherwise(F.col("selector"))
+    return groups, marked, selectors.withColumn("selector", folded)
+
+
 def component_links(components: DataFrame, services: DataFrame, scopes: DataFrame, actual: DataFrame) -> DataFrame:
-    """Links of components (component_id, app_name, component, deployment_set), long form.
+    """All links of ``component_link_groups``, one row each.
 
     Only components that the snapshot holds in their application are linked; ``absent_components`` lists the
     others.  Components without a match carry one row ``link_by = inherit``; those without a set are left out.
     """
-    present = components.join(_stored_components(scopes, actual), ["app_name", "component"], "left_semi")
-    asking = present.filter(blank_to_null("deployment_set").isNotNull())
-    links = deployment_links(asking, services).withColumn(
-        "selector", F.when(F.col("link_by") == "tag", F.lower("selector")).otherwise(F.col("selector")))
+    _, members, selectors = component_link_groups(components, services, scopes, actual)
     cols = ["component_id", "app_name", "component", "link_by", "selector", "env_name"]
-    alone = asking.join(links.select("component_id").distinct(), "component_id", "left_anti").select(
+    alone = members.filter("inherits").select(
         "component_id", "app_name", "component", F.lit("inherit").alias("link_by"),
         F.lit(None).cast("string").alias("selector"), F.lit(None).cast("string").alias("env_name"))
-    return links.select(*cols).unionByName(alone)
+    return links_of(members, selectors).select(*cols).unionByName(alone)
 
 
 def auto_links(applications: DataFrame, services: DataFrame, threshold: float = 1.0) -> DataFrame:

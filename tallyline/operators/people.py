@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.people import address_to_names, full_names, member_names, platform_role
 from ..functions.text import blank_to_null, strip
-from .common import first_by_pos, missing_from, pair_with_all
+from .common import first_by_pos, missing_from, paired
 
 # Teams whose members have access everywhere.
 ALL_ACCESS_TEAMS = ["staffs", "principals", "directors"]
@@ -141,21 +141,46 @@ def kept_members(current: DataFrame, members: DataFrame, hives: DataFrame, acces
     return rows.select("c.*", (F.col("_o").isNotNull() | F.col("_w").isNotNull()).alias("keep"))
 
 
+def access_gaps(actual_teams: DataFrame, current: DataFrame, teams: DataFrame, access: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All-access membership as three tables: (gaps, holders, wanted).
+
+    gaps: live team, wanted and present all-access addresses and how many are missing; holders: the (team, address) that
+    are there already; wanted: the addresses, once.  A team lacks ``wanted`` less its ``holders``: the product of teams and
+    addresses is counted and never made.  Addresses compare ignoring case.
+    """
+    live = _live_teams(actual_teams, teams)
+    wanted = access.select("email").filter(F.col("email").isNotNull()).distinct()
+    folded = wanted.groupBy(F.lower("email").alias("address")).agg(F.count(F.lit(1)).alias("spellings"))
+    here = current.select("team", F.lower("email").alias("address")).distinct().join(live, "team", "left_semi")
+    holders = here.join(folded, "address")
+    present = holders.groupBy("team").agg(F.sum("spellings").alias("present"))
+    total = folded.agg(F.coalesce(F.sum("spellings"), F.lit(0))).scalar()
+    gaps = live.join(present, "team", "left").select("team", total.alias("wanted"), F.coalesce("present", F.lit(0)).alias("present"))
+    return gaps.withColumn("missing", F.col("wanted") - F.col("present")), holders.select("team", "address"), wanted
+
+
+def _live_teams(actual_teams: DataFrame, teams: DataFrame) -> DataFrame:
+    """Stored teams that are declared."""
+    exists = actual_teams.select(F.col("name").alias("team")).distinct()
+    return exists.join(teams.select(F.col("TeamName").alias("team")).distinct(), "team", "left_semi")
+
+
 def membership_changes(actual_teams: DataFrame, current: DataFrame, teams: DataFrame, members: DataFrame,
-                       hives: DataFrame, access: DataFrame) -> DataFrame:
+                       hives: DataFrame, access: DataFrame, all_access: bool = True) -> DataFrame:
     """(team, email, action, reason) rows.
 
     For existing teams that are declared: add all-access users and declared members that
     are absent, remove members nobody keeps.  For every existing team: add lead and
     products of the first hive of that name, whether present or not.
-    ``current`` and ``members`` carry team and email, ``hives`` team, lead, product, pos.
+    ``current`` and ``members`` carry team and email, ``hives`` team, lead, product, pos.  ``all_access=False`` leaves
+    the all-access rows out, which ``access_gaps`` gives without a row for each team and address.
     """
     exists = actual_teams.select(F.col("name").alias("team")).distinct()
-    live = exists.join(teams.select(F.col("TeamName").alias("team")).distinct(), "team", "left_semi")
+    live = _live_teams(actual_teams, teams)
     by_address = lambda df: df.withColumn("_e", F.lower("email"))
-    wanted_access = pair_with_all(live, access.select("email").distinct()).withColumn("reason", F.lit("all_access"))
-    wanted_members = members.join(live, "team", "left_semi").select("team", "email", F.lit("member").alias("reason")).distinct()
-    wanted = wanted_access.select("team", "email", "reason").unionByName(wanted_members)
+    wanted = members.join(live, "team", "left_semi").select("team", "email", F.lit("member").alias("reason")).distinct()
+    if all_access:
+        wanted = wanted.unionByName(paired(live, access.select("email").distinct()).select("team", "email", F.lit("all_access").alias("reason")))
     here = current.select("team", F.lower("email").alias("_e")).distinct()
     add = by_address(wanted).join(here, ["team", "_e"], "left_anti").select("team", "email", F.lit("add").alias("action"), "reason")
     judged = kept_members(current.join(live, "team", "left_semi"), members, hives, access)

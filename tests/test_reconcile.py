@@ -204,3 +204,18 @@ def test_sync_steps_hand_their_rows_on(spark):
     assert rows(out["team_rules"], "team", "reason") == [("T1", "new"), ("T2", "recreate")]
     assert rows(out["memberships"], "email", "action") == [("a@x.org", "add"), ("old@x.org", "remove")]
     assert [r["email"] for r in out["users"].collect()] == ["a@x.org"]
+
+
+def test_products_are_joined_by_parts(spark):
+    from tallyline.operators.common import paired
+    left, right = spark.range(50).withColumnRenamed("id", "a"), spark.range(7).withColumnRenamed("id", "b")
+    assert sorted((r["a"], r["b"]) for r in paired(left, right).collect()) == [(a, b) for a in range(50) for b in range(7)]
+    assert paired(left, right.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["team_membership_changes", "team_access_gaps", "missing_cloud_services", "cloud_service_gaps", "pipeline_rules",
+                                  "deployment_links", "deployment_link_sets", "component_deployments", "stale_tags"])
+def test_no_nested_loop_joins(spark, name):
+    from workload.registry import queries
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

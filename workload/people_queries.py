@@ -122,6 +122,22 @@ def _(v):
     return people.membership_changes(v.actual_team, v.actual_member, v.declared_team, v.declared_member, v.hive, _access(v))
 
 
+@query("team_access_gaps", "with " + _ACCESS + """,
+live as (select name as team from @actual_team intersect select TeamName from @declared_team),
+w as (select team, email, exists (select 1 from @actual_member c where c.team = live.team and lower(c.email) = lower(a.email)) as here
+  from live cross join (select distinct email from aa where email is not null) a)
+select team, count(*) as wanted, count(*) filter (where here) as present, count(*) filter (where not here) as missing from w group by team""")
+def _(v):
+    return people.access_gaps(v.actual_team, v.actual_member, v.declared_team, _access(v))[0]
+
+
+@query("team_access_holders", "with " + _ACCESS + """
+select distinct c.team, lower(c.email) as address from @actual_member c where lower(c.email) in (select lower(email) from aa)
+  and c.team in (select name from @actual_team intersect select TeamName from @declared_team)""")
+def _(v):
+    return people.access_gaps(v.actual_team, v.actual_member, v.declared_team, _access(v))[1]
+
+
 @query("members_kept", "with " + _KEEP + """
 select pos, lower(email) in (select e from wide) or exists (select 1 from @declared_member m where m.team = c.team and lower(m.email) = lower(c.email)) as keep from @actual_member c""")
 def _(v):

@@ -257,6 +257,36 @@ def _(v):
     return deployments.deployment_links(_apps(v), _known(v).filter("usable")).select("app_no", "service", "env_name", "link_by", "selector")
 
 
+@query("deployment_link_sets", "with " + _USABLE + """,
+m as (select lower(deployment_set) as set_key, count(*) as members from ap where deployment_set <> '' group by 1),
+l as (select lower(ap.deployment_set) as set_key, count(*) as links from ap join u on usable
+  and (lower(u.deployment_set) = lower(ap.deployment_set) or lower(u.deployment_tag) = lower(ap.deployment_set)) where ap.deployment_set <> '' group by 1)
+select set_key, members, cast(coalesce(links, 0) / members as bigint) as selectors, coalesce(links, 0) as links from m left join l using (set_key)""")
+def _(v):
+    return deployments.link_groups(_apps(v), _known(v).filter("usable"))[0]
+
+
+@query("deployment_set_members", "with " + _USABLE + "select app_no, lower(deployment_set) as set_key from ap where deployment_set <> ''")
+def _(v):
+    return deployments.link_groups(_apps(v), _known(v).filter("usable"))[1].select("app_no", "set_key")
+
+
+@query("deployment_set_selectors", "with " + _USABLE + """
+select lower(deployment_set) as set_key, service, env_name, 'name' as link_by, service as selector from u where usable and deployment_set <> ''
+union all select lower(deployment_tag), service, env_name, 'tag', deployment_tag from u where usable and deployment_tag <> ''
+  and lower(nullif(deployment_set, '')) is distinct from lower(deployment_tag)""")
+def _(v):
+    return deployments.link_groups(_apps(v), _known(v).filter("usable"))[2]
+
+
+@query("links_of_one_set", "with " + _USABLE + """
+select app_no, service, env_name from ap join u on usable and (lower(u.deployment_set) = lower(ap.deployment_set) or lower(u.deployment_tag) = lower(ap.deployment_set))
+where lower(ap.deployment_set) = 'set-5'""")
+def _(v):
+    _, members, selectors = deployments.link_groups(_apps(v), _known(v).filter("usable"))
+    return deployments.links_of(members.filter("set_key = 'set-5'"), selectors).select("app_no", "service", "env_name")
+
+
 @query("deployment_errors", "with " + _USABLE + """
 select service, env_name, (select count(*) from ap where deployment_set <> '') as asked_by from u where not usable""")
 def _(v):
@@ -291,6 +321,18 @@ def _(v):
     return deployments.component_links(comps, _known(v).filter("usable"), v.actual_scope, v.actual_component).select("component_id", "link_by", "selector", "env_name")
 
 
+@query("component_link_sets", "with " + _USABLE + """,
+c as (select * from @declared_component d where deployment_set <> '' and exists (select 1 from @actual_scope s join @actual_component a on a.applicationId = s.id
+  where s.type = 'APPLICATION' and s.name = d.app_name and a.name = d.component)),
+x as (select distinct lower(deployment_set) as set_key from c),
+n as (select set_key, count(*) as selectors from x join u on usable and (lower(u.deployment_set) = set_key or lower(u.deployment_tag) = set_key) group by 1)
+select component_id, lower(deployment_set) as set_key, n.selectors is null as inherits, coalesce(n.selectors, 0) as selectors from c left join n on n.set_key = lower(deployment_set)""")
+def _(v):
+    comps = v.declared_component.select("component_id", "app_name", "component", "deployment_set")
+    groups, members, _ = deployments.component_link_groups(comps, _known(v).filter("usable"), v.actual_scope, v.actual_component)
+    return members.join(groups.select("set_key", "selectors"), "set_key").select("component_id", "set_key", "inherits", "selectors")
+
+
 @query("absent_components", """
 select component_id, app_name, component, 'component not found in its application' as error from @declared_component d
 where component <> '' and app_name in (select name from @actual_scope where type = 'APPLICATION') and not exists (
@@ -334,6 +376,24 @@ def _(v):
     return team_tags.stale_team_tags(v.actual_component, v.declared_repo, v.repo_override)
 
 
+_EXPECTED = """
+with o as (select "Key" as k, arg_max("Value", pos) as val from @repo_override group by 1),
+r as (select distinct 'grp/' || split_part(RepositoryName, '/', 3) as n, Team, coalesce(val, Subdomain) as subdomain from @declared_repo left join o on k = RepositoryName)"""
+
+
+@query("expected_teams", _EXPECTED + " select n as name, count(Team) over (partition by n) as teams, Team as expected_team, subdomain from r")
+def _(v):
+    return team_tags.expected_teams(v.declared_repo, v.repo_override)
+
+
+@query("stale_tags", _EXPECTED + """,
+t as (select id, name, unnest(tags) as t from @actual_component)
+select t.id as component_id, name as component_name, t.t.id as tag_id, t.t.value as old_team, count(*) as differing
+from t join r on r.n = t.name where t.t.key = 'pteam' and t.t.value <> Team group by all""")
+def _(v):
+    return team_tags.stale_tags(v.actual_component, team_tags.expected_teams(v.declared_repo, v.repo_override))
+
+
 @query("application_team_changes", """
 with j as (select d.app_name, s.id, coalesce(d.TeamNames, []) as teams, list_transform(list_filter(s.tags, lambda t: t.key = 'pteam'), lambda t: t.value) as stored
   from (select app_name, case when app_no % 14 = 6 then list_slice(TeamNames, 1, 1) else TeamNames end as TeamNames from @declared_app) d join @actual_scope s on s.name = d.app_name)
@@ -364,6 +424,27 @@ def _(v):
     return cloud_services.missing_cloud_services(v.declared_env, cloud_services.subdomains(v.declared_repo), v.actual_scope, v.actual_component)
 
 
+@query("cloud_service_gaps", """
+with e as (select d.Name as Name, s.id from @declared_env d left join @actual_scope s on s.name = d.Name and s.type = 'ENVIRONMENT' where CloudAccounts <> ''),
+w as (select distinct Subdomain as n from @declared_repo union all select 'Databricks')
+select e.Name as env_name, e.id as target, count(*) as wanted, count(*) filter (where here) as present, count(*) filter (where not here) as missing
+from (select e.*, exists (select 1 from @actual_component a where a.applicationId = e.id and lower(a.name) = lower(w.n)) as here from e cross join w) e group by 1, 2""")
+def _(v):
+    return cloud_services.cloud_service_gaps(v.declared_env, cloud_services.subdomains(v.declared_repo), v.actual_scope, v.actual_component)
+
+
+@query("pipeline_rule_list", """
+select case when lower(Subdomain) = 'fx' then 'Foreign Exchange(FX)' else Subdomain end as service, 'pipeline ' || BuildDefinitionName as rule_name,
+  'pipeline' as tag_key, BuildDefinitionName as tag_value from @declared_repo""")
+def _(v):
+    return cloud_services.pipeline_rule_tables(v.declared_env, v.declared_repo)[0]
+
+
+@query("pipeline_accounts", "select Name as env_name, CloudAccounts as provider_accounts from @declared_env where CloudAccounts <> ''")
+def _(v):
+    return cloud_services.pipeline_rule_tables(v.declared_env, v.declared_repo)[1]
+
+
 @query("pipeline_rules", """
 select Name as env_name, case when lower(Subdomain) = 'fx' then 'Foreign Exchange(FX)' else Subdomain end as service, 'pipeline ' || BuildDefinitionName as rule_name,
   'pipeline' as tag_key, BuildDefinitionName as tag_value, CloudAccounts as provider_accounts
