@@ -37,7 +37,7 @@ EPS = 1e-9
 class Budget:
     """Sizes that shape a round; none of them changes a result."""
     walked_names: int = 65_536  # names that one walk may look at
-    walked_pairs: int = 500_000  # and comparisons it may make before it ends
+    walked_pairs: int = 250_000  # and comparisons it may make before it ends
     per_token: int = 64  # earliest names of a token that a first round of joins settles
     candidate_rows: int = 4_000_000  # meetings that a round may have in any case
     rows_per_token: int = 32  # and as many for each token of a name
@@ -199,23 +199,24 @@ def _settled(edges: DataFrame, partly: DataFrame | None) -> tuple[DataFrame | No
 
     In each round the names without an undecided earlier neighbour lead and their neighbours follow; both leave the edges.
     """
-    left = cut_lineage(_except(edges, "v", partly))
+    left = edges if partly is None else cut_lineage(_except(edges, "v", partly))
     followers: DataFrame | None = None
     while not left.isEmpty():
         waiting = left.select(F.col("v").alias("pos")).distinct()
         led = _except(_except(left, "u", waiting), "u", partly)
         new = cut_lineage(led.select(F.col("v").alias("pos")).distinct())
-        if new.isEmpty():
+        if partly is not None and new.isEmpty():
             return followers, left
         followers = new if followers is None else followers.unionByName(new)
         left = cut_lineage(_except(_except(left, "v", new), "u", new))
     return followers, None
 
 
-def _walked(open_names: DataFrame, threshold: float, budget: Budget) -> tuple[DataFrame, int, int]:
-    """(leaders, their number, names walked): greedy grouping of the earliest names in order, as far as the budget goes.
+def _walked(open_names: DataFrame, threshold: float, budget: Budget) -> tuple[list[tuple[int, str]], int]:
+    """((pos, name) of leaders, names walked): greedy grouping of the earliest names in order, as far as the budget goes.
 
-    Blocks of doubling size are compared with the leaders so far, then among themselves, leader by leader.
+    Blocks of doubling size are compared with the leaders so far, then among themselves, leader by leader.  The leaders that
+    come back are no more than a walk of bounded work can find.
     """
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("pos")
@@ -227,90 +228,108 @@ def _walked(open_names: DataFrame, threshold: float, budget: Budget) -> tuple[Da
             start, size = start + len(rest), 2 * size
             known = list(found)
             while len(rest):
-                head = known.pop(0) if known else rest[0]
+                head = known.pop(0) if known else int(rest[0])
                 spent += len(rest)
                 near = ratios(names[rest], np.full(len(rest), names[head], dtype=object)) >= threshold
                 if head == rest[0]:
-                    found.append(int(head))
-                    near[0] = True
+                    found.append(head)
                 rest = rest[~near]
-        yield pd.DataFrame({"pos": at[found], "walked": start})
+        yield pd.DataFrame({"pos": at[found], "name": names[found], "walked": start})
 
     first = open_names.select("pos", "name").orderBy("pos").limit(budget.walked_names).coalesce(1)
-    lead = cut_lineage(first.mapInPandas(walk, "pos long, walked long"))
-    row = lead.agg(F.count(F.lit(1)).alias("n"), F.max("walked").alias("walked")).first()
-    return lead.select("pos"), row["n"], row["walked"]
+    lead = first.mapInPandas(walk, "pos long, name string, walked long").collect()
+    return [(row["pos"], row["name"]) for row in lead], lead[0]["walked"]
+
+
+def _matched(open_names: DataFrame, heads: list[tuple[int, str]], threshold: float) -> DataFrame:
+    """``open_names`` with ``leader_pos``: the first of the leaders that a name is similar to, a whole batch against each."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in open_names.schema) + ", leader_pos long"
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names = batch["name"].to_numpy(dtype=object)
+            found = np.full(len(names), -1, dtype=np.int64)
+            rest = np.arange(len(names))
+            for i, (_, head) in enumerate(heads):
+                near = ratios(names[rest], np.full(len(rest), head, dtype=object)) >= threshold
+                found[rest[near]] = i
+                rest = rest[~near]
+            places = np.array([pos for pos, _ in heads], dtype=np.int64)
+            yield batch.assign(leader_pos=pd.Series(places[found], index=batch.index, dtype="Int64").mask(found < 0))
+
+    return cut_lineage(open_names.mapInPandas(match, schema))
 
 
 def leader_groups(names: DataFrame, threshold: float, budget: Budget = Budget()) -> DataFrame:
     """Greedy leader grouping of (name, pos): name, pos, leader, leader_pos.
 
-    Each name joins the earliest leader with ratio >= threshold, or becomes one.  A round walks the earliest undecided names
-    and lets all names follow the leaders found.  If those are mostly loners it also settles, by joins, the names that
-    are among the earliest k of all their tokens; k is eight times as large when a round decided less than half of the names, so
-    the number of rounds grows with the logarithm of the table and not with the leaders.  A follower of a joined round
-    whose earlier neighbours were not all known is compared once more, with the leaders before the one it found.
+    Each name joins the earliest leader with ratio >= threshold, or becomes one.  A round walks the earliest undecided names; if
+    the leaders found stand for two names or more each, all names are compared with them.  Otherwise pairs are few,
+    and joins settle the names that are among the earliest k of all their tokens; k is eight times as large when a round decided
+    less than half of the names, so the number of such rounds grows with the logarithm of the table and not with the leaders.
+    A follower of a joined round whose earlier neighbours were not all known is compared once more, with the
+    leaders before the one it found.
     """
-    todo = cut_lineage(with_prefix(first_by_pos(names.select("name", "pos"), ["name"]), threshold))
-    leaders: list[DataFrame] = []
-    found: list[DataFrame] = []
-
-    def follow(open_names: DataFrame, lead: DataFrame, led: DataFrame, sure: bool) -> DataFrame:
-        """Note leaders and their followers, the earliest leader each; the names that are left."""
-        best = cut_lineage(led.groupBy(F.col("v").alias("pos")).agg(F.min("u").alias("leader_pos")).withColumn("sure", F.lit(sure)))
-        leaders.append(lead)
-        found.append(best)
-        return cut_lineage(_except(_except(open_names, "pos", lead), "pos", best))
-
-    def led_by(open_names: DataFrame, lead: DataFrame) -> DataFrame:
-        heads = open_names.join(lead, "pos", "left_semi").withColumn("held", F.col("prefix"))
-        return _similar(_except(open_names, "pos", lead), heads, threshold)
-
-    open_names, left, least = todo, todo.count(), budget.per_token
+    todo = cut_lineage(first_by_pos(names.select("name", "pos"), ["name"]))
+    open_names, left, least, keyed = todo, todo.count(), budget.per_token, False
+    every, checked = todo, True  # names with their tokens, from the first joined round on; whether all are sure
+    done: list[DataFrame] = []  # pos, leader_pos, sure
     while left:
         before = left
-        lead, made, walked = _walked(open_names, threshold, budget)
-        if made == left:
-            leaders.append(lead)
-            break
-        # All names up to the end of the walk are settled, so no earlier leader is unknown.
-        open_names = follow(open_names, lead, led_by(open_names, lead), True)
-        if 2 * made > walked and not open_names.isEmpty():
+        heads, walked = _walked(open_names, threshold, budget)
+        if 2 * len(heads) <= walked:
+            # All names up to the end of the walk are settled, so no earlier leader is unknown.
+            judged = _matched(open_names, heads, threshold)
+            done.append(judged.filter("leader_pos is not null").select("pos", "leader_pos", F.lit(True).alias("sure")))
+            open_names = judged.filter("leader_pos is null").drop("leader_pos")
+        else:
+            if not keyed:
+                every = open_names = cut_lineage(with_prefix(open_names, threshold))
+                keyed = True
             edges, partly, k = _first_edges(open_names, threshold, budget, least)
             followers, pending = _settled(edges, partly)
             lead = _except(_except(open_names.select("pos"), "pos", partly), "pos", followers)
             if pending is not None:
                 lead = _except(lead, "pos", pending.select(F.col("v").alias("pos")))
             lead = cut_lineage(lead)
-            led = edges.join(dealt(lead.select(F.col("pos").alias("u"))), "u") if partly is None else led_by(open_names, lead)
-            open_names = follow(open_names, lead, led, partly is None)
+            if partly is None:
+                led = edges.join(dealt(lead.select(F.col("pos").alias("u"))), "u")
+            else:
+                own = open_names.join(lead, "pos", "left_semi").withColumn("held", F.col("prefix"))
+                led = _similar(_except(open_names, "pos", lead), own, threshold)
+            best = led.groupBy(F.col("v").alias("pos")).agg(F.min("u").alias("leader_pos")).withColumn("sure", F.lit(partly is None))
+            decided = cut_lineage(best.unionByName(lead.select("pos", F.col("pos").alias("leader_pos"), F.lit(True).alias("sure"))))
+            done.append(decided)
+            if partly is None:
+                break
+            checked = False
+            open_names = cut_lineage(_except(open_names, "pos", decided))
             least = max(k, least)
         left = open_names.count()
         if 2 * left > before:
             least *= 8
-    if not found:  # no name follows another
+    if not done:
         return todo.select("name", "pos", F.col("name").alias("leader"), F.col("pos").alias("leader_pos"))
-    heads = reduce(DataFrame.unionByName, leaders)
-    return _named(todo, heads, _with_earlier_leaders(todo, heads, reduce(DataFrame.unionByName, found), threshold))
+    decided = reduce(DataFrame.unionByName, done)
+    return _named(todo, decided if checked else _with_earlier_leaders(every, decided, threshold))
 
 
-def _with_earlier_leaders(todo: DataFrame, leaders: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(pos, leader_pos) of followers, those that are not sure compared with the leaders before the one they found."""
-    unsure = found.filter(~F.col("sure")).select("pos", F.col("leader_pos").alias("best"))
-    if unsure.isEmpty():
-        return found.select("pos", "leader_pos")
-    tokens = unsure.join(todo, "pos").select("pos", "best", "name", "prefix", F.explode("prefix").alias("token"))
-    heads = todo.join(leaders, "pos", "left_semi").select(
+def _with_earlier_leaders(every: DataFrame, decided: DataFrame, threshold: float) -> DataFrame:
+    """(pos, leader_pos), the followers that are not sure compared with the leaders before the one they found."""
+    unsure = decided.filter(~F.col("sure")).select("pos", F.col("leader_pos").alias("best"))
+    tokens = every.join(unsure, "pos").select("pos", "best", "name", "prefix", F.explode("prefix").alias("token"))
+    leaders = decided.filter("pos = leader_pos").select("pos")
+    heads = every.join(leaders, "pos", "left_semi").select(
         F.col("pos").alias("u"), F.col("name").alias("other"), F.col("prefix").alias("shown"), F.explode("prefix").alias("token"))
     near = tokens.join(heads, "token").filter(F.col("u") < F.col("best")).filter(_near("shown", threshold)).select("u", "pos", "name", "other")
     better = near.filter(similarity("name", "other") >= threshold).groupBy("pos").agg(F.min("u").alias("earlier"))
-    return found.join(better, "pos", "left").select("pos", F.coalesce("earlier", "leader_pos").alias("leader_pos"))
+    return decided.join(better, "pos", "left").select("pos", F.coalesce("earlier", "leader_pos").alias("leader_pos"))
 
 
-def _named(todo: DataFrame, leaders: DataFrame, follows: DataFrame) -> DataFrame:
-    every = leaders.select("pos", F.col("pos").alias("leader_pos")).unionByName(follows)
-    heads = todo.join(leaders, "pos", "left_semi").select(F.col("pos").alias("leader_pos"), F.col("name").alias("leader"))
-    return cut_lineage(todo.select("name", "pos").join(every, "pos").join(dealt(heads), "leader_pos").select(
+def _named(todo: DataFrame, decided: DataFrame) -> DataFrame:
+    heads = decided.filter("pos = leader_pos").select("leader_pos").join(
+        todo.select(F.col("pos").alias("leader_pos"), F.col("name").alias("leader")), "leader_pos")
+    return cut_lineage(todo.select("name", "pos").join(decided.select("pos", "leader_pos"), "pos").join(dealt(heads), "leader_pos").select(
         "name", "pos", "leader", "leader_pos"))
 
 
