@@ -75,6 +75,11 @@ def typed_entries(m: Column) -> Column:
         e["key"].alias("key"), e["value"].alias("value"), e["t"].alias("t"), class_of_type(e["t"]).alias("found")))
 
 
+def _typed_once(m: Column, use) -> Column:
+    """``use`` of the typed entries of an item that stands inside an expression; they are made once, however often it names them."""
+    return F.get(F.transform(F.array(typed_entries(m)), use), F.lit(0))
+
+
 def _error(field: Column, text: Column | str) -> Column:
     text = F.lit(text) if isinstance(text, str) else text
     return F.struct(field.cast("string").alias("field"), text.cast("string").alias("error"))
@@ -92,23 +97,27 @@ def _list_literal(values: list[str]) -> Column:
     return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
 
 
-def table_errors(m: Column, kind: str) -> Column:
-    """Unknown keys, nulls, wrong types, wrong list items, unlisted asset types, missing required keys."""
+def table_errors(m: Column, kind: str, entries: Column | None = None) -> Column:
+    """Unknown keys, nulls, wrong types, wrong list items, unlisted asset types, missing required keys.
+
+    ``entries`` are the item's typed entries where they have been made already.  The table is one lookup from field to its
+    classes, each between bars.
+    """
     table = TABLES[kind]
-    classes = _map_literal({f: "|".join(_CLASS[p] for p in spec.rstrip("*").split("|")) for f, spec in table.items()})
+    classes = _map_literal({f: "|" + "|".join(_CLASS[p] for p in spec.rstrip("*").split("|")) + "|" for f, spec in table.items()})
     texts = [f for f, spec in table.items() if spec == "texts"]
     required = [f for f, spec in table.items() if spec.endswith("*")]
 
     def judge(e: Column) -> Column:
         wanted, found = e["wanted"], e["found"]
-        bad_items = F.array_contains(_list_literal(texts), e["key"]) & ~e["t"].isin("ARRAY<STRING>", "ARRAY<VOID>") if texts else F.lit(False)
+        bad_items = (found == "list") & ~e["t"].isin("ARRAY<STRING>", "ARRAY<VOID>") & F.array_contains(_list_literal(texts), e["key"]) if texts else F.lit(False)
         unlisted = (e["key"] == "AssetType") & ~F.coalesce(
             F.try_variant_get(e["value"], "$", "string").isin(ASSET_TYPES), F.lit(False))
         return _error(e["key"], F.when(wanted.isNull(), "unknown field").when(found == "null", "null value not allowed")
-                      .when(~F.array_contains(F.split(wanted, r"\|"), found), F.concat(F.lit("must be "), wanted))
+                      .when(~F.contains(wanted, F.concat(F.lit("|"), found, F.lit("|"))), F.concat(F.lit("must be "), F.btrim(wanted, F.lit("|"))))
                       .when(bad_items, "list items must be text").when(unlisted, "unallowed value"))
 
-    wanting = F.transform(typed_entries(m), lambda e: F.struct(
+    wanting = F.transform(typed_entries(m) if entries is None else entries, lambda e: F.struct(
         e["key"].alias("key"), e["value"].alias("value"), e["t"].alias("t"), e["found"].alias("found"),
         F.try_element_at(classes, e["key"]).alias("wanted")))
     judged = F.filter(F.transform(wanting, judge), lambda x: x["error"].isNotNull())
@@ -129,20 +138,20 @@ def nested_maps(m: Column, key: str) -> Column:
     return F.filter(_dicts_of(F.try_element_at(m, F.lit(key))), lambda x: x.isNotNull())
 
 
-def _nested_errors(m: Column, keys: list[str], check) -> Column:
+def _nested_errors(entries: Column, keys: list[str], check) -> Column:
     """``check`` applied to every dict under any of the keys, fields prefixed by their key."""
-    held = F.filter(F.map_entries(m), lambda e: F.array_contains(_list_literal(keys), e["key"]))
+    held = F.filter(entries, lambda e: F.array_contains(_list_literal(keys), e["key"]) & e["found"].isin("list", "dict"))
     return F.flatten(F.transform(held, lambda e: F.transform(
         F.flatten(F.transform(F.filter(_dicts_of(e["value"]), lambda d: d.isNotNull()), check)),
         lambda x: _error(F.concat(e["key"], F.lit("."), x["field"]), x["error"]))))
 
 
-def _nested_table_errors(m: Column, kind: str) -> Column:
+def _nested_table_errors(entries: Column, kind: str) -> Column:
     out = []
     for table in ("rule", "ticketing", "messaging"):
         keys = [f for f, spec in TABLES[kind].items() if spec.rstrip("s") == table]
         if keys:
-            out.append(_nested_errors(m, keys, _table_check(table)))
+            out.append(_nested_errors(entries, keys, _table_check(table)))
     return F.concat(*out) if out else no_errors()
 
 
@@ -150,16 +159,16 @@ def _table_check(kind: str):
     return lambda d: table_errors(d, kind)
 
 
-def _own_list_errors(m: Column) -> Column:
-    listed = F.filter(typed_entries(m), lambda e: F.array_contains(_list_literal(LIST_FIELDS), e["key"])
-                      & e["found"].isin("string", "null"))
+def _own_list_errors(entries: Column) -> Column:
+    listed = F.filter(entries, lambda e: e["found"].isin("string", "null") & F.array_contains(_list_literal(LIST_FIELDS), e["key"]))
     return F.transform(listed, lambda e: _error(e["key"], F.when(e["found"] == "string", "must be a list, not text")
                                                 .otherwise("is null, must be a list or left out")))
 
 
-def list_field_errors(m: Column) -> Column:
+def list_field_errors(m: Column, entries: Column | None = None) -> Column:
     """Fields that must be lists but hold a text or null, also inside the item's rules."""
-    return F.concat(_own_list_errors(m), _nested_errors(m, RULE_KEYS, _own_list_errors))
+    both = lambda e: F.concat(_own_list_errors(e), _nested_errors(e, RULE_KEYS, lambda d: _own_list_errors(typed_entries(d))))
+    return _typed_once(m, both) if entries is None else both(entries)
 
 
 def _given(m: Column, key: str) -> Column:
@@ -187,27 +196,28 @@ def owner_errors(m: Column) -> Column:
         F.array(_error(F.lit("Responsable"), "one of Responsable, Responsible is required")))
 
 
-def item_errors(m: Column | str, kind: str) -> Column:
-    """``struct<stage,errors>`` of an item; the first failing stage hides the later ones."""
-    m = col(m)
+def validate(items: DataFrame, kind: str, raw: str = "raw") -> DataFrame:
+    """Adds ``stage`` (``valid`` or where it failed), ``errors`` and ``valid`` to rows with a JSON text column.
+
+    Entries are typed once, as a column that all stages read; a stage is tried only where the ones before found nothing.
+    """
+    m, entries = F.col("_m"), F.col("_e")
+    rows = items.withColumn("_m", item_map(raw)).withColumn("_e", typed_entries(m))
     stages: list[tuple[str, Column]] = []
     if kind != "application":
-        stages.append(("list_fields", list_field_errors(m)))
-    stages.append(("schema", F.concat(table_errors(m, kind), _nested_table_errors(m, kind))))
+        stages.append(("list_fields", list_field_errors(m, entries)))
+    stages.append(("schema", F.concat(table_errors(m, kind, entries), _nested_table_errors(entries, kind))))
     if kind in ("component", "service"):
         stages.append(("structure", repository_structure_errors(m)))
     if kind == "environment":
         stages.append(("owner", owner_errors(m)))
-    tried = F.filter(F.array(*[F.struct(F.lit(name).alias("stage"), errors.alias("errors")) for name, errors in stages]),
-                     lambda s: F.size(s["errors"]) > 0)
-    return F.coalesce(F.get(tried, F.lit(0)), F.struct(F.lit("valid").alias("stage"), no_errors().alias("errors")))
-
-
-def validate(items: DataFrame, kind: str, raw: str = "raw") -> DataFrame:
-    """Adds ``stage`` (``valid`` or where it failed), ``errors`` and ``valid`` to rows with a JSON text column."""
-    parsed = items.withColumn("_m", item_map(raw)).withColumn("_r", item_errors("_m", kind))
-    return (parsed.withColumn("stage", F.col("_r.stage")).withColumn("errors", F.col("_r.errors"))
-            .withColumn("valid", F.col("_r.stage") == "valid").drop("_m", "_r"))
+    rows = rows.withColumn("_r", F.struct(F.lit("valid").alias("stage"), no_errors().alias("errors")))
+    for name, errors in stages:
+        tried = rows.withColumn("_f", F.when(F.col("_r.stage") == "valid", errors).otherwise(no_errors()))
+        failed = F.struct(F.lit(name).alias("stage"), F.col("_f").alias("errors"))
+        rows = tried.withColumn("_r", F.when(F.size("_f") > 0, failed).otherwise(F.col("_r")))
+    return (rows.withColumn("stage", F.col("_r.stage")).withColumn("errors", F.col("_r.errors"))
+            .withColumn("valid", F.col("_r.stage") == "valid").drop("_m", "_e", "_f", "_r"))
 
 
 def error_rows(validated: DataFrame, *keys: str) -> DataFrame:
@@ -254,8 +264,7 @@ def load_rules(m: Column | str, keys: list[str] = RULE_KEYS) -> Column:
     found = F.concat(*[nested_maps(m, key) for key in keys])
     # A rule's keys beyond AccountId/ProviderAccountId are its own table; nulls fail the table, so a rule is empty
     # only without keys.
-    good = F.filter(found, lambda d: (F.size(list_field_errors(d)) == 0) & (F.size(table_errors(d, "rule")) == 0)
-                    & (F.size(d) > 0))
+    good = F.filter(found, lambda d: (F.size(d) > 0) & _typed_once(d, lambda e: (F.size(list_field_errors(d, e)) == 0) & (F.size(table_errors(d, "rule", e)) == 0)))
     return F.transform(good, typed_rule)
 
 
