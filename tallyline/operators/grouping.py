@@ -15,6 +15,7 @@ from ..functions.naming import GROUP_SEPARATOR, application_name, component_name
 from ..functions.network import network24
 from ..functions.tags import has_tag, tag_value
 from ..functions.text import blank_to_null
+from ..session import cut_lineage
 from .clustering import leader_groups
 from .common import top_per_group
 
@@ -59,9 +60,11 @@ def with_tag_group(assets: DataFrame, primary: str, secondary: str | None = None
 def group_by_tags(assets: DataFrame, primary: str, secondary: str | None = None) -> DataFrame:
     """One row per tag group; metadata of a group come from its last asset."""
     tagged = with_tag_group(assets, primary, secondary).filter(F.col("tag_group").isNotNull())
-    return tagged.groupBy(F.col("tag_group").alias("group_key")).agg(
-        F.count(F.lit(1)).alias("asset_count"),
-        F.max_by(F.struct("primary_value", "secondary_value", asset_type().alias("asset_type")), "pos").alias("m")
+    # Raw rows are only counted, by everything that is reported; the winning values are picked among those few rows.
+    counted = tagged.groupBy(F.col("tag_group").alias("group_key"), "primary_value", "secondary_value", asset_type().alias("asset_type")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"))
+    return counted.groupBy("group_key").agg(
+        F.sum("n").alias("asset_count"), F.max_by(F.struct("primary_value", "secondary_value", "asset_type"), "last").alias("m")
     ).select("group_key", "asset_count", F.lit("tag").alias("method"), F.lit(primary).alias("primary_tag"),
              "m.primary_value", F.lit(secondary).cast("string").alias("secondary_tag"), "m.secondary_value", "m.asset_type")
 
@@ -136,9 +139,9 @@ def repository_key() -> Column:
 
 def software_by_repository(assets: DataFrame) -> DataFrame:
     """Repository groups; an asset without repository forms its own by name.  Type of the first asset."""
-    return assets.groupBy(repository_key().alias("group_key")).agg(
-        F.count(F.lit(1)).alias("asset_count"),
-        F.min_by(F.coalesce("type", F.lit("REPOSITORY")), "pos").alias("asset_type"))
+    counted = assets.groupBy(repository_key().alias("group_key"), F.coalesce("type", F.lit("REPOSITORY")).alias("asset_type")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    return counted.groupBy("group_key").agg(F.sum("n").alias("asset_count"), F.min_by("asset_type", "first").alias("asset_type"))
 
 
 def cloud_key(include_region: bool = True) -> Column:
@@ -150,10 +153,11 @@ def cloud_key(include_region: bool = True) -> Column:
 
 def cloud_by_account(assets: DataFrame, include_region: bool = True) -> DataFrame:
     """Provider-account(-region) groups; account and region of the first asset."""
-    first = F.struct(F.coalesce("cloudProvider", F.lit("UNKNOWN")).alias("cloud_provider"),
-                     F.coalesce("account", F.lit("no-account")).alias("account"), "region")
-    return assets.groupBy(cloud_key(include_region).alias("group_key")).agg(
-        F.count(F.lit(1)).alias("asset_count"), F.min_by(first, "pos").alias("m")).select("group_key", "asset_count", "m.*")
+    counted = assets.groupBy(cloud_key(include_region).alias("group_key"), F.coalesce("cloudProvider", F.lit("UNKNOWN")).alias("cloud_provider"),
+                             F.coalesce("account", F.lit("no-account")).alias("account"), "region").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    return counted.groupBy("group_key").agg(F.sum("n").alias("asset_count"), F.min_by(
+        F.struct("cloud_provider", "account", "region"), "first").alias("m")).select("group_key", "asset_count", "m.*")
 
 
 def assign(assets: DataFrame, options: GroupingOptions) -> DataFrame:
@@ -193,13 +197,13 @@ def assign(assets: DataFrame, options: GroupingOptions) -> DataFrame:
 
 def name_decided(assigned: DataFrame, options: GroupingOptions) -> DataFrame:
     """Groups by name similarity among assigned assets, in the shape ``all_groups`` uses."""
-    hosts = assigned.filter(F.col("method") == "hostname")
-    images = assigned.filter(F.col("method") == "image_name")
+    named = cut_lineage(assigned.filter(F.col("method").isin("hostname", "image_name")).select(
+        "pos", "type", "method", F.when(F.col("method") == "hostname", host_name()).otherwise(image_name()).alias("decided_by")))
     parts = []
-    for rows, name, threshold, prefix, width in (
-            (hosts, host_name(), options.host_threshold, "INFRA-", 30),
-            (images, image_name(), options.container_threshold, "CONTAINER-", 40)):
-        members, groups = similar_name_groups(rows, name, threshold, prefix, width, options.min_assets)
+    for method, threshold, prefix, width in (("hostname", options.host_threshold, "INFRA-", 30),
+                                             ("image_name", options.container_threshold, "CONTAINER-", 40)):
+        rows = named.filter(F.col("method") == method)
+        members, groups = similar_name_groups(rows, F.col("decided_by"), threshold, prefix, width, options.min_assets)
         first = members.groupBy("leader_pos").agg(F.min("pos").alias("first_pos"),
                                                   F.min_by(asset_type(), "pos").alias("first_type"))
         parts.append(groups.join(first, "leader_pos").select(
@@ -209,46 +213,59 @@ def name_decided(assigned: DataFrame, options: GroupingOptions) -> DataFrame:
         parts[1].withColumn("method", F.lit("image_name")).withColumn("step", F.lit(0)))
 
 
-def _keyed_instances(assigned: DataFrame) -> DataFrame:
-    by_key = assigned.filter(F.col("group_key").isNotNull())
-    last = F.struct("primary_value", "secondary_value")
-    instances = by_key.groupBy("group_key", "method", "phase", "step",
-                               F.when(F.col("phase") == 1, asset_type()).alias("fallback_type")).agg(
-        F.count(F.lit(1)).alias("asset_count"), F.min("pos").alias("first_pos"),
-        F.min_by(asset_type(), "pos").alias("first_type"),
-        F.max_by(F.when(F.col("phase") == 0, last), "pos").alias("m"),
-        F.min_by(F.struct("network", F.coalesce("account", F.lit("no-account")).alias("account")), "pos").alias("f"))
+def counted_assets(assigned: DataFrame) -> DataFrame:
+    """Assets counted by group and by everything that a group reports of its first or last asset: asset_count, first_pos, last_pos.
+
+    The one pass over the assets.  It aggregates numbers only, so raw rows are neither sorted nor carried; network and account
+    count only where they make the group, and the rows that are left are few.
+    """
+    kind = asset_type()
+    return cut_lineage(assigned.groupBy(
+        "group_key", "method", "phase", "step", kind.alias("type"), "primary_value", "secondary_value",
+        F.when(F.col("method") == "cidr", F.col("network")).alias("cidr"),
+        F.when(F.col("method") == "cloud_provider", F.coalesce("account", F.lit("no-account"))).alias("account")).agg(
+        F.count(F.lit(1)).alias("asset_count"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")))
+
+
+def _keyed_instances(counted: DataFrame) -> DataFrame:
+    instances = counted.filter(F.col("group_key").isNotNull()).groupBy(
+        "group_key", "method", "phase", "step", F.when(F.col("phase") == 1, F.col("type")).alias("fallback_type")).agg(
+        F.sum("asset_count").alias("asset_count"), F.min_by(F.struct("type", "cidr", "account"), "first_pos").alias("f"),
+        F.max_by(F.when(F.col("phase") == 0, F.struct("primary_value", "secondary_value")), "last_pos").alias("m"), F.min("first_pos").alias("first_pos"))
     return instances.select(
-        "group_key", "method", "phase", "step", "fallback_type", "asset_count", "first_pos", "first_type",
-        "m.primary_value", "m.secondary_value", F.col("f.network").alias("cidr"),
-        F.when(F.col("method") == "cloud_provider", F.col("f.account")).alias("account"),
+        "group_key", "method", "phase", "step", "fallback_type", "asset_count", "first_pos", F.col("f.type").alias("first_type"),
+        "m.primary_value", "m.secondary_value", "f.cidr", "f.account",
         F.lit(None).cast("bigint").alias("leader_pos"), F.lit(None).cast("string").alias("name_pattern"),
         F.lit(None).cast("array<string>").alias("sample_names"))
 
 
+def fallback_starts(counted: DataFrame) -> DataFrame:
+    """Position of the first untagged asset of each type."""
+    return counted.filter("phase = 1").groupBy(F.col("type").alias("fallback_type")).agg(F.min("first_pos").alias("type_pos"))
+
+
 def keyed_groups(assets: DataFrame, options: GroupingOptions) -> DataFrame:
-    """Groups of every path but name similarity: one shuffle of partial aggregates, nothing runs early."""
-    assigned = assign(assets, options)
-    return keep_later(_keyed_instances(assigned), assigned)
+    """Groups of every path but name similarity, from one counted pass over the assets."""
+    counted = counted_assets(assign(assets, options))
+    return keep_later(_keyed_instances(counted), fallback_starts(counted))
 
 
 def all_groups(assets: DataFrame, options: GroupingOptions) -> DataFrame:
     """One row per group over all paths.  Of groups with one key the later made replaces the earlier:
     fallbacks replace tag groups, and among fallbacks the type that appeared later wins."""
     assigned = assign(assets, options)
+    counted = counted_assets(assigned)
     named = name_decided(assigned, options)
-    instances = _keyed_instances(assigned).unionByName(named.select(
+    instances = _keyed_instances(counted).unionByName(named.select(
         "group_key", "method", F.lit(1).alias("phase"), "step", F.col("first_type").alias("fallback_type"),
         "asset_count", "first_pos", "first_type", "leader_pos", "name_pattern", "sample_names"),
         allowMissingColumns=True)
-    return keep_later(instances, assigned)
+    return keep_later(instances, fallback_starts(counted))
 
 
-def keep_later(instances: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Override union of group maps (one winner per key)."""
-    started = (assigned.filter("phase = 1").groupBy(asset_type().alias("fallback_type"))
-               .agg(F.min("pos").alias("type_pos")))
-    ordered = instances.join(started, "fallback_type", "left")
+def keep_later(instances: DataFrame, starts: DataFrame) -> DataFrame:
+    """Override union of group maps (one winner per key); ``starts`` gives the fallback types their order (fallback_type, type_pos)."""
+    ordered = instances.join(starts, "fallback_type", "left")
     rank = F.struct("phase", F.coalesce("type_pos", F.lit(-1)).alias("t"), "step",
                     F.coalesce("leader_pos", F.lit(-1)).alias("l"))
     rest = [c for c in instances.columns if c != "group_key"]

@@ -28,8 +28,10 @@ def tag_rows(assets: DataFrame) -> DataFrame:
 
 
 def _value_counts(assets: DataFrame) -> DataFrame:
+    # Position and place inside the asset as one number, so that raw rows are hashed and not sorted.
+    seen = F.col("pos").cast("decimal(20,0)") * F.lit(2**31) + F.col("idx")
     return tag_rows(assets).groupBy("key", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("opens").alias("opened"), F.min(F.struct("pos", "idx")).alias("first_seen"))
+        F.count(F.lit(1)).alias("n"), F.count_if("opens").alias("opened"), F.min(seen.cast("decimal(38,0)")).alias("first_seen"))
 
 
 def tag_profile(assets: DataFrame) -> DataFrame:

@@ -257,7 +257,8 @@ def _(v):
         F.count(F.lit(1)).alias("asset_count")).select("group_key", "asset_count", F.lit("repository").alias("method"), F.lit(1).alias("phase"),
                                                        F.lit(0).alias("step"), blank[0], F.lit("BUILD").alias("fallback_type"))
     assigned = v.part.select(F.col("p_partkey").alias("pos"), F.lit("BUILD").alias("type"), F.lit(1).alias("phase"))
-    return grouping.keep_later(tagged.unionByName(rest), assigned).select("group_key", "method", "asset_count")
+    starts = assigned.groupBy(F.col("type").alias("fallback_type")).agg(F.min("pos").alias("type_pos"))
+    return grouping.keep_later(tagged.unionByName(rest), starts).select("group_key", "method", "asset_count")
 
 
 @query("similar_asset_names", """
