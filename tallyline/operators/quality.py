@@ -6,11 +6,12 @@ null and a text in place of a list stay apart.  Checks add error arrays and drop
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import col
 from ..schemas import RULE
+from ..session import cut_lineage
+from .common import dealt
 
 # Asset types a declaration may name.
 ASSET_TYPES = ["REPOSITORY", "SOURCE_CODE", "BUILD", "WEBSITE_API", "CONTAINER", "INFRA", "CLOUD", "WEB", "FOSS", "SAST"]
@@ -324,55 +325,46 @@ def _truthy(m: Column, key: str) -> Column:
 
 # --- repeated keys in raw text -------------------------------------------------------------------
 
-REPEATED = T.ArrayType(T.StructType([
-    T.StructField("line", T.LongType()), T.StructField("first_line", T.LongType()),
-    T.StructField("key", T.StringType()), T.StructField("indent", T.LongType())]))
+# What ``strip`` of a text takes away, ASCII and Unicode white space.
+_BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def repeats_in(text: str) -> list[dict]:
-    """Repeated keys of one text.
+def _line_parts(line: Column) -> Column:
+    """indent, item (whether the line opens a list item) and key of one line; null for comments, blank lines and lines without key."""
+    def parts(body: Column) -> Column:
+        item = F.startswith(body, F.lit("- "))
+        key = F.substring_index(body, ":", 1)
+        named = (key != "") & (F.length(key) < F.length(body)) & ~F.startswith(body, F.lit("#"))
+        return F.when(item | named, F.struct((F.length(line) - F.length(body)).cast("long").alias("indent"), item.alias("item"),
+                                             F.rtrim(key, F.lit(_BLANK)).alias("key")))
 
-    Two keys clash when they have the same indent and the same nearest open list item of
-    smaller indent.  Keys on the item line itself, comments and blank lines do not count.
-    """
-    open_items: list[tuple[int, int]] = []   # (indent, line), indents growing
-    first_at: dict[tuple[int, int, str], int] = {}
-    found = []
-    for number, line in enumerate(text.split("\n"), start=1):
-        body = line.lstrip()
-        if body == "" or body[0] == "#":
-            continue
-        indent = len(line) - len(body)
-        if body.startswith("- "):
-            while open_items and open_items[-1][0] >= indent:
-                open_items.pop()
-            open_items.append((indent, number))
-            continue
-        key, colon, _ = body.partition(":")
-        if not colon or key == "":
-            continue
-        parent = next((at for depth, at in reversed(open_items) if depth < indent), 0)
-        place = (indent, parent, key.strip())
-        if place in first_at:
-            found.append({"line": number, "first_line": first_at[place], "key": place[2], "indent": indent})
-        else:
-            first_at[place] = number
-    return found
-
-
-@F.pandas_udf(REPEATED)
-def _repeats(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: repeats_in(t) if t is not None else [])
+    return F.get(F.transform(F.array(F.ltrim(line, F.lit(_BLANK))), parts), F.lit(0))
 
 
 def repeated_keys(texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line, first_line, key, indent) for every repeat of a key in raw configuration text.
 
-    The scope of a line depends on all lines before it, so a document is read in one pass
-    by a small Arrow function; documents spread over tasks like any rows.
+    Two keys clash when they have the same indent and the same nearest open list item of smaller indent.  Keys on the item
+    line itself, comments and blank lines do not count.  The nearest open item of a key is the last item line before it
+    that is indented less: an item that closes it would itself be nearer.  So lines become rows, an item stands once
+    for every indent of its text that lies deeper, and one running value per (text, indent) gives all parents; a long text is rows to
+    sort, not one task's loop.
     """
-    hits = texts.filter(F.contains(text, F.lit(":"))).select(F.col(doc), F.explode(_repeats(F.col(text))).alias("r"))
-    return hits.select(doc, "r.*")
+    # The text leaves before its lines become rows, so that no row carries it.
+    split = texts.filter(F.contains(text, F.lit(":"))).select(F.col(doc), F.xxhash64(text).alias("_text"), F.split(F.col(text), "\n").alias("_lines"))
+    lines = split.select(doc, "_text", F.posexplode("_lines").alias("_at", "_line")).filter(F.contains("_line", F.lit(":")) | F.contains("_line", F.lit("- ")))
+    # Texts are read once; keys, items and levels come from the stored lines.
+    rows = cut_lineage(lines.select(doc, "_text", (F.col("_at") + 1).cast("long").alias("line"), _line_parts(F.col("_line")).alias("l")).select(
+        doc, "_text", "line", "l.*").filter("item is not null"))
+    keys = rows.filter("not item").select(doc, "_text", "indent", "line", "key", F.lit(None).cast("long").alias("item"))
+    levels = keys.select(doc, "_text", F.col("indent").alias("_deep")).distinct()
+    items = rows.filter("item").select(doc, "_text", F.col("indent").alias("_own"), "line")
+    opened = items.join(dealt(levels), [doc, "_text"]).filter("_deep > _own").select(
+        doc, "_text", F.col("_deep").alias("indent"), "line", F.lit(None).cast("string").alias("key"), F.col("line").alias("item"))
+    before = Window.partitionBy(doc, "_text", "indent").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keys.unionByName(opened).withColumn("_parent", F.last("item", ignorenulls=True).over(before)).filter(F.col("key").isNotNull())
+    same = Window.partitionBy(doc, "_text", "indent", "_parent", "key")
+    return placed.withColumn("first_line", F.min("line").over(same)).filter("line > first_line").select(doc, "line", "first_line", "key", "indent")
 
 
 def repeat_advice(key: str = "key", indent: str = "indent") -> Column:

@@ -221,3 +221,31 @@ def test_no_nested_loop_joins(spark, name):
     from workload.registry import queries
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def repeats_plainly(text):
+    """Line by line with a stack of open items."""
+    items, seen, found = [], {}, []
+    for number, line in enumerate(text.split("\n"), 1):
+        body = line.lstrip()
+        indent = len(line) - len(body)
+        if body.startswith("- "):
+            items = [x for x in items if x[0] < indent] + [(indent, number)]
+        elif body and body[0] != "#" and ":" in body[1:] and body[0] != ":":
+            key = body.split(":")[0].strip()
+            place = (indent, max((n for depth, n in items if depth < indent), default=0), key)
+            if place in seen:
+                found.append((number, seen[place], key, indent))
+            seen.setdefault(place, number)
+    return found
+
+
+def test_repeated_keys_equal_a_walk_over_the_lines(spark):
+    import random
+    rnd = random.Random(6)
+    kinds = ["- a: x", "- b", "key: 1", "key : 2", "other:", "# c: d", ":x", "\ttab: 1", "no colon", "", "  k: v", "-x: 1", " key: 3"]
+    texts = ["\n".join(" " * rnd.choice([0, 2, 2, 4, 6]) + rnd.choice(kinds) for _ in range(rnd.randint(0, 25))) for _ in range(300)]
+    texts += [texts[0], "", "a: 1\na: 2", "k: v\n" * 3000]
+    df = spark.createDataFrame([(i % 290, t) for i, t in enumerate(texts)] + [(1, None)], "doc_id long, text string")
+    got = quality.repeated_keys(df).select("doc_id", "line", "first_line", "key", "indent").collect()
+    assert sorted(tuple(r) for r in got) == sorted((i % 290, *x) for i, t in enumerate(texts) for x in repeats_plainly(t))
