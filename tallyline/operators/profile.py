@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scales import percent
 from ..functions.text import strip
+from ..session import cut_lineage
 from .common import top_per_group
 
 # Bookkeeping keys that never become grouping tags by frequency.
@@ -19,19 +20,28 @@ def tag_rows(assets: DataFrame) -> DataFrame:
 
     ``opens`` marks the first tag of its key inside the asset.
     """
+    return _spread_tags(assets).filter("key is not null").select("pos", "idx", "key", "value", "opens")
+
+
+def _spread_tags(assets: DataFrame) -> DataFrame:
+    """``tag_rows`` and, with a null key, tags with an empty side and one row per asset without tags."""
     # The plain array is spread and the tests follow, so the array is not rewritten before it is spread.
     keys = F.transform("tags", lambda t: F.when(strip(t["value"]) != "", strip(t["key"])))
-    spread = assets.select("pos", keys.alias("_keys"), F.posexplode("tags").alias("idx", "_t"))
+    spread = assets.select("pos", keys.alias("_keys"), F.posexplode_outer("tags").alias("idx", "_t"))
     named = spread.select("pos", "idx", "_keys", strip(F.col("_t.key")).alias("key"), strip(F.col("_t.value")).alias("value"))
-    return named.filter((F.col("key") != "") & (F.col("value") != "")).select(
-        "pos", "idx", "key", "value", (F.array_position("_keys", F.col("key")) == F.col("idx") + 1).alias("opens"))
+    full = (F.col("key") != "") & (F.col("value") != "")
+    return named.select("pos", "idx", F.when(full, F.col("key")).alias("key"), F.when(full, F.col("value")).alias("value"),
+                        (full & (F.array_position("_keys", F.col("key")) == F.col("idx") + 1)).alias("opens"))
 
 
 def _value_counts(assets: DataFrame) -> DataFrame:
+    """Counts per (key, value); the first row of each asset counts it in ``assets`` and, if it is a tag, in ``tagged``, so that
+    the totals come from the same pass."""
     # Position and place inside the asset as one number, so that raw rows are hashed and not sorted.
     seen = F.col("pos").cast("decimal(20,0)") * F.lit(2**31) + F.col("idx")
-    return tag_rows(assets).groupBy("key", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("opens").alias("opened"), F.min(seen.cast("decimal(38,0)")).alias("first_seen"))
+    return _spread_tags(assets).groupBy("key", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("opens").alias("opened"), F.min(seen.cast("decimal(38,0)")).alias("first_seen"),
+        F.count_if(F.coalesce("idx", F.lit(0)) == 0).alias("assets"), F.count_if(F.col("idx") == 0).alias("tagged"))
 
 
 def tag_profile(assets: DataFrame) -> DataFrame:
@@ -41,11 +51,11 @@ def tag_profile(assets: DataFrame) -> DataFrame:
     ``distinct_coverage_percent`` counts each asset once.  One pass over the tags, counted in
     two levels, (key, value) then key, so one frequent key is spread over its values.
     """
-    total = assets.agg(F.count(F.lit(1))).scalar()
-    by_key = _value_counts(assets).groupBy("key").agg(
+    by_key = cut_lineage(_value_counts(assets).groupBy("key").agg(
         F.sum("n").alias("asset_count"), F.sum("opened").alias("distinct_assets"),
-        F.count(F.lit(1)).alias("unique_values"), F.min("first_seen").alias("first_seen"))
-    return by_key.select(
+        F.count(F.lit(1)).alias("unique_values"), F.min("first_seen").alias("first_seen"), F.sum("assets").alias("assets")))
+    total = by_key.agg(F.sum("assets")).scalar()
+    return by_key.filter("key is not null").select(
         "key", "asset_count", percent(F.col("asset_count"), total).alias("coverage_percent"),
         percent(F.col("distinct_assets"), total).alias("distinct_coverage_percent"), "unique_values", "first_seen")
 
@@ -63,18 +73,17 @@ def top_keys(profile: DataFrame, k: int = 20) -> DataFrame:
 
 def top_values(assets: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most frequent values of each key, ties by first appearance."""
-    return top_per_group(_value_counts(assets), ["key"], [F.desc("n"), F.asc("first_seen")], k)
+    return top_per_group(_value_counts(assets).filter("key is not null").drop("assets", "tagged"), ["key"], [F.desc("n"), F.asc("first_seen")], k)
 
 
 def asset_totals(assets: DataFrame) -> DataFrame:
     """Assets with and without tags, the percentage, and the number of distinct keys."""
-    keys = tag_rows(assets).select("key").distinct().agg(F.count(F.lit(1))).scalar()
-    return (assets.agg(F.count(F.lit(1)).alias("total_assets"),
-                       F.count_if(F.coalesce(F.size("tags") > 0, F.lit(False))).alias("assets_with_tags"))
+    by_key = _value_counts(assets).groupBy("key").agg(F.sum("assets").alias("assets"), F.sum("tagged").alias("tagged"))
+    return (by_key.agg(F.coalesce(F.sum("assets"), F.lit(0)).alias("total_assets"), F.coalesce(F.sum("tagged"), F.lit(0)).alias("assets_with_tags"),
+                       F.count("key").alias("total_unique_tag_keys"))
             .select("total_assets", "assets_with_tags",
                     (F.col("total_assets") - F.col("assets_with_tags")).alias("assets_without_tags"),
-                    percent(F.col("assets_with_tags"), F.col("total_assets")).alias("tag_coverage_percent"),
-                    F.coalesce(keys, F.lit(0)).alias("total_unique_tag_keys")))
+                    percent(F.col("assets_with_tags"), F.col("total_assets")).alias("tag_coverage_percent"), "total_unique_tag_keys"))
 
 
 def recommend_tags(profile: DataFrame, primary: Sequence[str] = (), secondary: Sequence[str] = (),
