@@ -148,11 +148,12 @@ def verify_names(expected: DataFrame, keys: list[str], actual: DataFrame) -> Dat
         "status", F.when(F.col("_seen"), "present").otherwise("absent")).drop("_seen")
 
 
-def third_party_missing(scopes: DataFrame, actual: DataFrame, services: list[str] = ("Salesforce",),
+def third_party_missing(scopes: DataFrame, actual: DataFrame, services: DataFrame | list[str] = ("Salesforce",),
                         environment: str = "Thirdparty") -> DataFrame:
-    """Fixed services missing from the third-party environment; nothing when it does not exist."""
-    spark = scopes.sparkSession
-    wanted = spark.createDataFrame([(s, environment, 5) for s in services], "name string, env_name string, tier int")
+    """Fixed services (a list, or a table with ``name``) missing from the third-party environment; nothing when it does not exist."""
+    if not isinstance(services, DataFrame):
+        services = scopes.sparkSession.createDataFrame([(s,) for s in services], "name string")
+    wanted = services.select("name", F.lit(environment).alias("env_name"), F.lit(5).alias("tier"))
     scoped = find_scope(wanted, "env_name", scopes).filter(F.col("scope_id").isNotNull()).withColumnRenamed("scope_id", "target")
     return absent(scoped, actual, ignore_case=True)
 

@@ -170,3 +170,11 @@ def test_similar_suggestions_stay_inside_their_scope(spark):
     df = spark.createDataFrame(data, "applicationId string, type string, name string, pos bigint")
     got = {(r["applicationId"], r["type"], r["name"], r["asset_count"]) for r in name_group_sizes(df, 0.8).collect()}
     assert got == {("e1", "CLOUD", "server-one", 2), ("e2", "CLOUD", "server-onb", 1), ("e1", "CONTAINER", "server-onc", 1)}
+
+
+def test_similar_pairs_of_a_hot_scope_are_split_and_whole(spark):
+    names = families(11, 80)
+    sides = [("hot" if i % 3 else f"s{i % 7}", n) for i, n in enumerate(names) if n]
+    df = spark.createDataFrame(sides, "scope string, name string")
+    got = {(r["scope"], r["name"], r["other"]) for r in similar_pairs(df, df, 0.8, scope="scope", budget=SMALL).collect()}
+    assert got == {(s, a, b) for s, a in sides for t, b in sides if s == t and ratio_of(a, b) >= 0.8}

@@ -179,8 +179,9 @@ def _(v):
 select x.name, 'Thirdparty' as env_name, 5 as tier, 'env-t' as target from (select 'Salesforce' as name union all select min(s_name) from @supplier where s_suppkey % 3 <> 0) x
 where not exists (select 1 from @actual_component a where a.applicationId = 'env-t' and lower(a.name) = lower(x.name))""")
 def _(v):
-    known = v.supplier.filter("s_suppkey % 3 <> 0").agg(F.min("s_name").alias("n")).first()["n"]
-    return placement.third_party_missing(v.actual_scope, v.actual_component, ["Salesforce", known])
+    known = v.supplier.filter("s_suppkey % 3 <> 0").agg(F.min("s_name").alias("name"))
+    wanted = known.unionByName(known.select(F.lit("Salesforce").alias("name")))
+    return placement.third_party_missing(v.actual_scope, v.actual_component, wanted)
 
 
 @query("filter_audit", """
