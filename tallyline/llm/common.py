@@ -16,6 +16,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, for helper columns that stand beside a caller's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def new_folder(spark: SparkSession) -> str:
     """A fresh place below the shared checkpoint folder that the cluster names."""
     ensure_checkpoint_dir(spark)

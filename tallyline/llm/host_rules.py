@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import spread, stored, without
+from .common import free_names, spread, stored, without
 
 SPACES = r"[ \t-\r]+"  # U+0020 and U+0009 to U+000D
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -105,10 +105,11 @@ def judge_counted(counted: DataFrame, most_rate: float = 0.5, host_col: str = "s
     any_rule = base_rules()
     for rule in other_rules():
         any_rule = any_rule | rule
-    judged = stored(counted.withColumns({"base_failed": base_rules(), "_failed": any_rule}))
-    rates = host_rates(judged.select(F.col(host_col).alias("_host"), F.col("_failed").alias("failed")), "_host")
-    back = judged.join(spread(rates.select("_host", F.col("rate").alias("host_rate"))), F.col(host_col).eqNullSafe(F.col("_host")))
-    return back.drop("_host", "_failed").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most_rate))
+    host, failed = free_names(counted, "_host", "_failed")
+    judged = stored(counted.withColumns({"base_failed": base_rules(), failed: any_rule}))
+    rates = host_rates(judged.select(F.col(host_col).alias(host), F.col(failed).alias("failed")), host)
+    back = judged.join(spread(rates.select(host, F.col("rate").alias("host_rate"))), F.col(host_col).eqNullSafe(F.col(host)))
+    return back.drop(host, failed).withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most_rate))
 
 
 def judge(docs: DataFrame, most_rate: float = 0.5, host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -118,8 +119,9 @@ def judge(docs: DataFrame, most_rate: float = 0.5, host_col: str = "source", tex
     is at most ``most_rate``.  Null texts count as empty and so fail; documents without host form one
     host; repeated rows count each.  Input columns of those names are replaced.
     """
-    clean = without(docs, *COUNTS, "base_failed", "host_rate", "kept", "_c", "_host", "_failed")
-    counted = clean.withColumn("_c", text_counts(F.col(text_col))).select(*clean.columns, "_c.*")
+    clean = without(docs, *COUNTS, "base_failed", "host_rate", "kept")
+    [counts] = free_names(clean, "_c")
+    counted = clean.withColumn(counts, text_counts(F.col(text_col))).select(*clean.columns, f"{counts}.*")
     return judge_counted(counted, most_rate, host_col)
 
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LAST, small_batches, spread, stored, text_keys, without
+from .common import LAST, free_names, small_batches, spread, stored, text_keys, without
 
 
 def full_lines(text: str) -> list[tuple[int, str]]:
@@ -175,9 +175,10 @@ def remove_lines(docs: DataFrame, least_chars: int = 30, id_col: str = "doc_id",
     one, two = text_keys(text)
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     found = repeated_lines(docs.select(order.alias("ord"), one.alias("k1"), two.alias("k2"), text.alias("text")))
-    found = found.select(F.col("ord").alias("_o"), F.col("k1").alias("_1"), F.col("k2").alias("_2"), "blocks")
-    joined = clean.withColumns({"_ord": order, "_k1": one, "_k2": two}).join(
-        found, (F.col("_ord") == F.col("_o")) & (F.col("_k1") == F.col("_1")) & (F.col("_k2") == F.col("_2")), "left")
+    # Helper columns take names that the caller's columns leave free.
+    at, first, second, places, result = free_names(clean, "_ord", "_k1", "_k2", "blocks", "_cut")
+    found = found.select(F.col("ord").alias(at), F.col("k1").alias(first), F.col("k2").alias(second), F.col("blocks").alias(places))
+    joined = clean.withColumns({at: order, first: one, second: two}).join(found, [at, first, second], "left")
 
     @F.pandas_udf("n_lines long, n_deleted long, kept_text string")
     def cut(texts, blocks):
@@ -195,8 +196,8 @@ def remove_lines(docs: DataFrame, least_chars: int = 30, id_col: str = "doc_id",
             rows.append((len(full), len(deleted), "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone) if gone else t))
         return pd.DataFrame(rows, columns=["n_lines", "n_deleted", "kept_text"])
 
-    done = joined.withColumn("_cut", cut(text, F.col("blocks")))
-    return done.select(*[F.col(c) for c in clean.columns], "_cut.*")
+    done = joined.withColumn(result, cut(text, F.col(places)))
+    return done.select(*clean.columns, f"{result}.*")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

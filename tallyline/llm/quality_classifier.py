@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import small_batches, without
+from .common import free_names, small_batches, without
 
 FEATURES = ["log_words", "word_chars", "distinct_words", "top_word", "upper_share", "symbol_share", "digit_share", "stop_share",
             "bar_share", "repeated_lines", "repeated_triples", "line_words", "shouts", "not_ascii"]
@@ -168,7 +168,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_c
 
     known = (labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
              .agg(F.round(F.avg(label_col)).alias("_y")).filter(~held_out("_id")))
-    marked = clean.withColumn("_x", features(F.col(text_col)))
+    [numbers] = free_names(clean, "_x")
+    marked = clean.withColumn(numbers, features(F.col(text_col)))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     learnt = clean.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     # Of documents with one id one is learnt, so at most ``sample_rows`` rows are collected.
@@ -181,7 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_c
         import pandas as pd
         return pd.Series(model.scores(np.stack(rows.tolist())) if len(rows) else [], dtype="float64")
 
-    scored = marked.withColumn("score", score("_x")).drop("_x")
+    scored = marked.withColumn("score", score(numbers)).drop(numbers)
     return scored.select("*", held_out(id_col).alias("held_out"), F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

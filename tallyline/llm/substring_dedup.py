@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shuffle_partitions, small_batches, spread, stored, text_keys, without
+from .common import free_names, shuffle_partitions, small_batches, spread, stored, text_keys, without
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 UNBASE = np.uint64(pow(int(BASE), -1, 2**64))
@@ -265,9 +265,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", **
     clean = without(docs, "n_words", "n_removed", "removed_spans", "kept_text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     one, two = text_keys(text)
-    keyed = clean.withColumns({"_k1": one, "_k2": two})
+    # Helper columns take names that the caller's columns leave free.
+    first, second, found, result = free_names(clean, "_k1", "_k2", "spans", "_cut")
+    keyed = clean.withColumns({first: one, second: two})
     spans = repeated_windows(docs.select(one.alias("k1"), two.alias("k2"), text.alias("text")), window, **options)
-    joined = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+    joined = keyed.join(spans.select(F.col("k1").alias(first), F.col("k2").alias(second), F.col("spans").alias(found)), [first, second], "left")
     schema = "n_words long, n_removed long, removed_spans array<array<int>>, kept_text string"
 
     @F.pandas_udf(schema)
@@ -288,8 +290,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", **
             rows.append((len(words), int(lost.sum()), edges.tolist(), kept))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "removed_spans", "kept_text"])
 
-    done = joined.withColumn("_cut", cut(text, F.col("spans")))
-    return done.select(*[F.col(c) for c in clean.columns], "_cut.*")
+    done = joined.withColumn(result, cut(text, F.col(found)))
+    return done.select(*clean.columns, f"{result}.*")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

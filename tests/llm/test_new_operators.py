@@ -276,3 +276,32 @@ def test_gray_walk_counts_every_subset():
     states = fa.gray_walk(cells)
     for subset in range(32):
         assert (states[..., subset] == cells[..., [m for m in range(32) if not m & subset]].sum(axis=-1)).all()
+
+
+# ---- columns named like helpers
+
+CLASHES = ["blocks", "_o", "_1", "_2", "k1", "k2", "spans", "_k1", "_k2", "_ord", "_cut", "_x", "_c", "_host", "_failed", "others", "_new", "score"]
+
+
+def test_columns_named_like_helpers_keep_their_values(spark):
+    import corpus_pipeline
+    from tallyline.llm.host_rules import judge
+    from tallyline.llm.line_dedup import remove_lines
+    from tallyline.llm.quality_classifier import classify
+    from tallyline.llm.substring_dedup import remove_repeats
+    passage = " ".join(f"word{i}" for i in range(60))
+    texts = ["a line of more than thirty characters\n" + passage, "a line of more than thirty characters\nother " + passage, None, "short"]
+    rows = [(i, t, "h", 1, *[f"{c}-{i}" for c in CLASHES]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    labels = spark.createDataFrame([(0, 1), (1, 1), (3, 0)], "doc_id long, quality int")
+    for name, done in (("lines", remove_lines(df)), ("repeats", remove_repeats(df)), ("classify", classify(df, labels)), ("judge", judge(df))):
+        found = done.collect()
+        assert len(found) == len(rows)
+        for r in found:
+            assert all(r[c] == f"{c}-{r['doc_id']}" for c in CLASHES if not (name == "classify" and c == "score")), name
+    assert {r["doc_id"]: r["n_deleted"] for r in remove_lines(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(df).collect()} == {0: 60, 1: 60, 2: 0, 3: 0}
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup):
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in out.collect() for c in CLASHES)
