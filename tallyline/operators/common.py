@@ -38,12 +38,13 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
 def paired(df: DataFrame, other: DataFrame, parts: int = 32) -> DataFrame:
     """Every row of ``df`` with every row of ``other``, where a product has been asked for row by row.
 
-    An equi join on a part number: rows of ``other`` are dealt over the parts, rows of ``df`` go to each of them, so neither
-    side is copied whole and the work spreads.  Operators whose result is a product keep it as two tables instead.
+    An equi join on a part number: rows of ``df``, the longer side, are dealt over the parts, rows of ``other`` go to each of them.
+    Both sides are shuffled and merged: sizes of derived tables are guessed far too low or high, and a side sent whole to the
+    driver and the executors could be the long one.  Operators whose result is a product keep it as two tables instead.
     """
-    dealt_out = other.withColumn("_part", F.pmod(F.xxhash64(*other.columns), F.lit(parts)).cast("int"))
-    everywhere = df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return everywhere.join(dealt_out, "_part").drop("_part")
+    dealt_out = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int"))
+    everywhere = other.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt_out.join(everywhere.hint("merge"), "_part").drop("_part")
 
 
 def missing_from(wanted: DataFrame, present: DataFrame, on: list[tuple[Column, Column]]) -> DataFrame:

@@ -215,6 +215,16 @@ def test_products_are_joined_by_parts(spark):
     assert paired(left, right.limit(0)).count() == 0
 
 
+def test_no_side_of_a_product_passes_the_driver_or_is_repeated_by_mistake(spark):
+    from tallyline.operators.common import paired
+    left, right = spark.range(5000).withColumnRenamed("id", "a"), spark.range(3).withColumnRenamed("id", "b")
+    plan = paired(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    # Only the short side is repeated for the parts.
+    repeated = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(repeated) == 1 and "[b#" in repeated[0]
+
+
 @pytest.mark.parametrize("name", ["team_membership_changes", "team_access_gaps", "missing_cloud_services", "cloud_service_gaps", "pipeline_rules",
                                   "deployment_links", "deployment_link_sets", "component_deployments", "stale_tags"])
 def test_no_nested_loop_joins(spark, name):
