@@ -1,8 +1,8 @@
 """Exact greedy name grouping (leader and complete-link) at scale.
 
-Greedy grouping is defined by input order.  Both kinds are evaluated on the graph of
-similar names, by rounds of joins in which every name decides as soon as nothing
-earlier can change its choice; no pass is made per leader or per group.
+Greedy grouping is defined by input order.  Leader grouping is evaluated on the graph of similar names,
+by rounds of joins in which every name decides as soon as nothing earlier can change its choice; complete link
+goes through the names chunk by chunk.  No pass is made per leader or per group.
 
 * Candidates come from an equi join on rare bigrams.  If ratio(a, b) >= t, the names
   share at least (1.5t-1)(la+lb)-1 adjacent pairs of characters, so sorting each
@@ -42,7 +42,8 @@ class Budget:
     candidate_rows: int = 4_000_000  # meetings that a round may have in any case
     rows_per_token: int = 32  # and as many for each token of a name
     key_pairs: int = 4_000_000  # meetings at one key, beyond which it is split
-    part_edges: int = 300_000  # similar pairs of a connected part that one task may walk
+    part_edges: int = 1 << 27  # pairs of names among those that one task walks for complete link
+    group_buckets: int = 64  # tasks that hold the groups of a scope so far
 
 
 def _bigram_floor(threshold: float) -> int:
@@ -335,109 +336,166 @@ def _named(todo: DataFrame, decided: DataFrame) -> DataFrame:
 
 # ---- complete-link grouping
 
+NARROW = 64  # names of at most so many characters are compared bit by bit, many at once
+
+
+class _Names:
+    """Names that one task compares with each other: which of many have a ratio of at least ``threshold`` with one."""
+
+    def __init__(self, names: np.ndarray, threshold: float):
+        self.names, self.threshold = names, threshold
+        self.lengths = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+        narrow = np.flatnonzero(self.lengths <= NARROW)
+        flat = np.frombuffer("".join(names[narrow]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letters, flat = np.unique(flat, return_inverse=True)
+        self.blank = len(letters)
+        # One row for each place in the names, so that a step reads neighbours.
+        self.codes = np.full((NARROW, len(names)), self.blank, dtype=np.int32)
+        lengths = self.lengths[narrow]
+        self.codes[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(narrow, lengths)] = flat
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Truth values for the names at the places ``others``."""
+        out = np.zeros(len(others), dtype=bool)
+        total = self.lengths[others] + self.lengths[one]
+        least = np.minimum(self.lengths[others], self.lengths[one])
+        fits = 2.0 * least >= self.threshold * total - EPS
+        fast = fits & (self.lengths[others] <= NARROW) & (self.lengths[one] <= NARROW)
+        rest = np.flatnonzero(fits & ~fast)
+        if len(rest):
+            out[rest] = ratios(self.names[others[rest]], np.full(len(rest), self.names[one], dtype=object)) >= self.threshold
+        rest = np.flatnonzero(fast)
+        if len(rest):
+            common = self._common(one, others[rest])
+            out[rest] = np.where(total[rest] == 0, 1.0, 2.0 * common / np.maximum(total[rest], 1)) >= self.threshold
+        return out
+
+    def _common(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences, one bit for each character of ``one``."""
+        place = np.zeros(self.blank + 1, dtype=np.uint64)
+        length = int(self.lengths[one])
+        for bit, code in enumerate(self.codes[:length, one].tolist()):
+            place[code] |= np.uint64(1 << bit)
+        row = np.full(len(others), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for step in range(int(self.lengths[others].max())):
+            hit = row & place[self.codes[step, others]]
+            row = (row + hit) | (row - hit)
+        return np.bitwise_count(~row & np.uint64((1 << length) - 1)).astype(np.int64)
+
+    def near_all(self, one: int, groups: list[list[int]]) -> np.ndarray:
+        """For each of the ``groups`` of places, none empty, whether all its names are near."""
+        starts = np.cumsum([0, *map(len, groups[:-1])])
+        return np.logical_and.reduceat(self.near(one, np.concatenate(groups).astype(np.int64)), starts)
+
+
+def _walk_names(names: np.ndarray, at: np.ndarray, open_to: dict[int, list[int]], threshold: float) -> np.ndarray:
+    """Group numbers of ``names`` in order; ``open_to`` lists of a name (by place) the earlier groups all of whose members it is near to."""
+    known = _Names(names, threshold)
+    group = np.zeros(len(names), dtype=np.int64)
+    joined: dict[int, list[int]] = {}  # names that have joined an earlier group here
+    founded: list[list[int]] = []  # groups founded here, by order
+    founders = np.zeros(len(names), dtype=np.int64)
+    for one in range(len(names)):
+        earlier = sorted(open_to.get(one, ()))
+        grown = [g for g in earlier if g in joined]
+        closed = set()
+        if grown:
+            whole = known.near_all(one, [joined[g] for g in grown])
+            closed = {g for g, ok in zip(grown, whole) if not ok}
+        first = next((g for g in earlier if g not in closed), None)
+        if first is not None:
+            group[one] = first
+            joined.setdefault(first, []).append(one)
+            continue
+        heads = founders[:len(founded)]
+        maybe = np.flatnonzero(known.near(one, heads)) if len(heads) else heads
+        whole = maybe[known.near_all(one, [founded[i] for i in maybe])] if len(maybe) else maybe
+        if len(whole):
+            founded[whole[0]].append(one)
+            group[one] = group[founders[whole[0]]]
+        else:
+            founders[len(founded)] = one
+            founded.append([one])
+            group[one] = at[one]
+    return group
+
+
+def _open_groups(members: pd.DataFrame, chunk: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(row, open) for the names of ``chunk`` and the groups of ``members`` (name, pos, group_no) they are near to as a whole.
+
+    Each member is compared with the names that all before it are near to; most groups end with their first."""
+    rows = members.sort_values(["group_no", "pos"])
+    numbers, starts = np.unique(rows["group_no"].to_numpy(), return_index=True)
+    known = _Names(np.concatenate([rows["name"].to_numpy(dtype=object), chunk["name"].to_numpy(dtype=object)]), threshold)
+    every, row = np.arange(len(rows), len(rows) + len(chunk)), chunk["row"].to_numpy()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for number, start, stop in zip(numbers, starts, [*starts[1:], len(rows)]):
+        maybe = every
+        for member in range(start, stop):
+            maybe = maybe[known.near(member, maybe)]
+            if not len(maybe):
+                break
+        found.append((row[maybe - len(rows)], np.full(len(maybe), number)))
+    rows, numbers = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return pd.DataFrame({"row": rows, "open": numbers})
+
+
 def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str | None = None,
                          budget: Budget = Budget()) -> DataFrame:
     """Greedy complete-link grouping of (name, pos): name, pos, group_no (the position of its first name).
 
     A name joins the first group all of whose members reach the threshold; with ``scope``
     only groups of its own scope.  At the default threshold only equal names do, which is a
-    plain aggregate.  Below it the similar pairs fall into connected parts, which do not see each other: a part is walked
-    in order by the task that holds it, and one with too many pairs for a task is grouped by joins
-    (``_joined_groups``).  ``pos`` must differ between the names of all scopes.
+    plain aggregate.  Below it similar pairs are never listed, as a family of alike names has the square of its
+    size: the names of a scope go chunk after chunk.  Tasks that hold some groups each tell which of them a name of the
+    chunk is near to as a whole, most by their first name alone; then one task for each scope walks the chunk in order.
+    ``pos`` must differ between the names of a scope.
     """
     keys = [scope, "name"] if scope else ["name"]
     todo = first_by_pos(names.select(*keys, "pos"), keys)
     if threshold >= 1.0:
         return todo.select(*keys, "pos", F.col("pos").alias("group_no"))
-    todo = cut_lineage(todo)
-    pairs = similar_pairs(todo, todo, threshold, scope=scope, half=True, budget=budget)
-    at = lambda column, pos: todo.select(*keys[:-1], F.col("name").alias(column), F.col("pos").alias(pos))
-    pairs = pairs.join(at("name", "p"), keys).join(at("other", "q"), [*keys[:-1], "other"])
-    edges = cut_lineage(pairs.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")))
-    labelled = cut_lineage(edges.join(_parts(edges).withColumnRenamed("pos", "u"), "u"))
-    sizes = labelled.groupBy("part").agg((F.count(F.lit(1)) > budget.part_edges).alias("big"))
-    sized = cut_lineage(labelled.join(dealt(sizes), "part"))
-    placed = sized.filter("not big").groupBy("part").applyInPandas(_walk_part, "pos long, group_no long")
-    placed = cut_lineage(placed.unionByName(_joined_groups(sized.filter("big").select("u", "v"))))
-    alone = _except(todo, "pos", placed).select(*keys, "pos", F.col("pos").alias("group_no"))
-    return alone.unionByName(todo.join(placed, "pos").select(*keys, "pos", "group_no"))
-
-
-def _parts(edges: DataFrame) -> DataFrame:
-    """Connected parts of ``edges`` (u, v): pos, part.  In each round every part merges into its least neighbour, and the edges
-    between the merged parts are what is left."""
-    ends = edges.select(F.col("u").alias("pos")).unionByName(edges.select(F.col("v").alias("pos"))).distinct()
-    labels = cut_lineage(ends.withColumn("part", F.col("pos")))
-    left = edges.select("u", "v")
-    while not left.isEmpty():
-        links = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        into = cut_lineage(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("into")))
-        after = lambda df, column: df.join(dealt(into.withColumnRenamed("u", column)), column).drop(column).withColumnRenamed("into", column)
-        moved = labels.join(dealt(into.withColumnRenamed("u", "part")), "part", "left")
-        labels = cut_lineage(moved.select("pos", F.coalesce("into", "part").alias("part")))
-        left = cut_lineage(after(after(left, "u"), "v").filter("u <> v").distinct())
-    return labels
-
-
-def _walk_part(edges: pd.DataFrame) -> pd.DataFrame:
-    """Groups of one connected part, name after name in order."""
-    earlier: dict[int, list[int]] = {}
-    for u, v in zip(edges["u"].tolist(), edges["v"].tolist()):
-        earlier.setdefault(v, []).append(u)
-        earlier.setdefault(u, [])
-    group: dict[int, int] = {}
-    members: dict[int, int] = {}
-    for name in sorted(earlier):
-        known: dict[int, int] = {}
-        for other in earlier[name]:
-            known[group[other]] = known.get(group[other], 0) + 1
-        own = min((g for g, n in known.items() if n == members[g]), default=name)
-        group[name] = own
-        members[own] = members.get(own, 0) + 1
-    return pd.DataFrame({"pos": list(group), "group_no": list(group.values())})
-
-
-def _joined_groups(edges: DataFrame) -> DataFrame:
-    """pos, group_no of the names of ``edges`` (u before v), by rounds of joins.
-
-    Names and groups meet in a table of open groups (group, name): a name stays there while it is similar to every member.
-    In each round
-
-    * a name without open group and without undecided earlier neighbour founds a group, open to its later neighbours;
-    * a name joins its first open group if no undecided earlier neighbour could found an earlier one, and if
-      every undecided earlier name that the group is open to is its neighbour, so that none can close it.
-
-    The number of rounds is the longest chain of such waits.
-    """
-    ends = edges.select(F.col("u").alias("pos")).unionByName(edges.select(F.col("v").alias("pos"))).distinct()
-    open_to = edges.limit(0).select(F.col("u").alias("group_no"), F.col("v").alias("pos"))
-    placed = open_to
-    while not (edges.isEmpty() and open_to.isEmpty()):
-        waiting = edges.select(F.col("v").alias("pos")).distinct()
-        founders = _except(_except(edges.select(F.col("u").alias("pos")).distinct(), "pos", waiting), "pos", open_to)
-        decided = cut_lineage(founders.select("pos", F.col("pos").alias("group_no")).unionByName(_joining(edges, open_to)))
-        placed = placed.unionByName(decided)
-        # Neighbours of new members; a name stays open to a group only if it knows all of them.
-        links = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hits = cut_lineage(links.join(dealt(decided.withColumnRenamed("pos", "u")), "u")
-                           .groupBy("group_no", F.col("v").alias("pos")).agg(F.count(F.lit(1)).alias("hits")))
-        members = decided.groupBy("group_no").agg(F.count(F.lit(1)).alias("members"))
-        kept = (open_to.join(dealt(members), "group_no", "left").join(hits, ["group_no", "pos"], "left")
-                .filter(F.col("members").isNull() | (F.col("members") == F.col("hits"))).select("group_no", "pos"))
-        opened = hits.join(dealt(decided.filter("pos = group_no").select("group_no")), "group_no", "left_semi").select("group_no", "pos")
-        open_to = cut_lineage(_except(kept.unionByName(opened), "pos", decided))
-        edges = cut_lineage(_except(_except(edges, "u", decided), "v", decided))
-    # A name whose neighbours are all placed elsewhere founds its own group.
-    return ends.join(placed, "pos", "left").select("pos", F.coalesce("group_no", "pos").alias("group_no"))
-
-
-def _joining(edges: DataFrame, open_to: DataFrame) -> DataFrame:
-    """(pos, group_no) of names that join their first open group, whatever the other undecided names do."""
-    first = open_to.groupBy("pos").agg(F.min("group_no").alias("group_no"))
-    founder = edges.groupBy(F.col("v").alias("pos")).agg(F.min("u").alias("next"))
-    ready = first.join(founder, "pos", "left").filter(F.col("next").isNull() | (F.col("next") > F.col("group_no"))).select("pos", "group_no")
-    ranked = number_in_groups(open_to, "group_no", "pos", "rank").join(ready, ["group_no", "pos"])
-    known = (edges.join(open_to.withColumnRenamed("pos", "u"), "u").select(F.col("v").alias("pos"), "group_no")
-             .groupBy("group_no", "pos").agg(F.count(F.lit(1)).alias("known")))
-    settled = ranked.join(known, ["group_no", "pos"], "left").filter(F.col("rank") - 1 == F.coalesce("known", F.lit(0)))
-    return settled.select("pos", "group_no")
+    todo = cut_lineage(todo.withColumn("part", F.col(scope) if scope else F.lit(0)))
+    grouped = F.col("part").isNotNull() & F.col("name").isNotNull() & F.col("pos").isNotNull()
+    rows = todo.filter(grouped).select("part", "name", F.col("pos").cast("long").alias("pos"))
+    per_round = math.isqrt(2 * budget.part_edges) + 1
+    rows = cut_lineage(number_in_groups(rows, "part", "pos", "row"))
+    last = rows.agg(F.max("row")).first()[0] or 0
+    placed = [_placed_chunk(rows.filter(F.col("row").between(start + 1, start + per_round)), [], threshold, budget) for start in (0,) if last]
+    for start in range(per_round, last, per_round):
+        placed.append(_placed_chunk(rows.filter(F.col("row").between(start + 1, start + per_round)), placed, threshold, budget))
+    alone = todo.filter(~grouped).select(*keys, "pos", F.col("pos").cast("long").alias("group_no"))
+    if not placed:
+        return alone
+    done = reduce(DataFrame.unionByName, placed)
+    own = F.col("part").alias(scope) if scope else None
+    return alone.unionByName(done.select(*([own] if scope else []), "name", F.col("pos").cast(todo.schema["pos"].dataType).alias("pos"), "group_no"))
+
+
+def _placed_chunk(chunk: DataFrame, placed: list[DataFrame], threshold: float, budget: Budget) -> DataFrame:
+    """part, name, pos, group_no of the next names (part, name, pos, row) of each part; ``placed`` are those of earlier chunks."""
+    part = chunk.schema["part"].dataType.simpleString()
+    spread = int(chunk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    waiting = chunk.withColumn("open", F.lit(None).cast("array<long>"))
+    if placed:
+        # Each group lies in one bucket with all its members; the names of the chunk go to every bucket of their part.
+        members = reduce(DataFrame.unionByName, placed).select(
+            "part", F.pmod(F.xxhash64("group_no"), F.lit(budget.group_buckets)).cast("int").alias("bucket"), "name", "pos", "group_no")
+        asked = chunk.select("part", "name", "row", F.explode(F.sequence(F.lit(0), F.lit(budget.group_buckets - 1))).alias("bucket"))
+
+        def ask(key: tuple, held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+            found = _open_groups(held, asking, threshold) if len(held) and len(asking) else pd.DataFrame({"row": [], "open": []}, dtype="int64")
+            return found.assign(part=pd.Series(np.full(len(found), key[0], dtype=object), dtype=object))[["part", "row", "open"]]
+
+        by = lambda df: df.repartition(spread, "part", "bucket").groupBy("part", "bucket")
+        found = by(members).cogroup(by(asked)).applyInPandas(ask, f"part {part}, row long, open long")
+        waiting = chunk.join(found.groupBy("part", "row").agg(F.collect_list("open").alias("open")), ["part", "row"], "left")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row", ignore_index=True)
+        open_to = {i: list(o) for i, o in enumerate(rows["open"]) if o is not None}
+        numbers = _walk_names(rows["name"].to_numpy(dtype=object), rows["pos"].to_numpy(), open_to, threshold)
+        return rows[["part", "name", "pos"]].assign(group_no=numbers)
+
+    walked = waiting.select("part", "name", "pos", "row", "open").repartition(spread, "part").groupBy("part")
+    return cut_lineage(walked.applyInPandas(walk, f"part {part}, name string, pos long, group_no long"))

@@ -74,6 +74,23 @@ def test_complete_link_equals_sequential(spark, threshold, budget):
         assert got == complete(names, threshold)
 
 
+def test_complete_link_lists_no_pairs_of_a_family(spark, monkeypatch):
+    from tallyline.operators import clustering
+    monkeypatch.setattr(clustering, "similar_pairs", lambda *a, **k: pytest.fail("pairs are listed"))
+    names = [f"server-of-the-{s}-{i * 7 % 1000:03d}" for i in range(100) for s in ("north", "south")] + ["x" * 70, "x" * 69 + "y", ""]
+    for budget in (Budget(part_edges=5000), Budget()):
+        got = {r["name"]: names[r["group_no"]] for r in complete_link_groups(listed(spark, names), 0.85, budget=budget).collect()}
+        assert got == complete(names, 0.85)
+
+
+def test_complete_link_of_scopes_and_absent_values(spark):
+    rows = [("a", "server-one", 0), ("b", "server-ona", 1), ("a", "server-ona", 2), (None, "server-one", 3), ("a", None, 4), ("a", "server-onx", 5)]
+    df = spark.createDataFrame(rows, "scope string, name string, pos int")
+    got = complete_link_groups(df, 0.8, scope="scope", budget=Budget(part_edges=1))
+    assert got.columns == ["scope", "name", "pos", "group_no"]
+    assert {r["pos"]: r["group_no"] for r in got.collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 0}
+
+
 def test_rounds_do_not_grow_with_leaders(spark, monkeypatch):
     from tallyline.operators import clustering
     rounds = []
