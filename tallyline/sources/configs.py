@@ -13,7 +13,7 @@ from ..functions.people import name_to_address
 from ..functions.repositories import last_two_parts
 from ..functions.scales import criticality
 from ..functions.text import blank_to_null, first_present
-from ..operators.common import first_by_pos
+from ..operators.common import dealt, first_by_pos
 from ..operators.quality import _texts, item_map, load_rules, text_of, variant_class
 from ..schemas import INTEGRATION
 
@@ -40,7 +40,8 @@ def union_sources(primary: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def roots(files: DataFrame, raw: str = "raw") -> DataFrame:
-    return files.withColumn("m", item_map(raw))
+    """Files with their top-level maps.  Parsing and what follows cost far more than reading, so files are dealt out over tasks."""
+    return dealt(files).withColumn("m", item_map(raw))
 
 
 def section(*names: str) -> Column:

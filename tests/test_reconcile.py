@@ -215,6 +215,15 @@ def test_products_are_joined_by_parts(spark):
     assert paired(left, right.limit(0)).count() == 0
 
 
+def test_files_of_one_partition_are_checked_by_many_tasks(spark):
+    from tallyline.plans.check import declared_items
+    from tallyline.sources import configs
+    raw = '{"DeploymentGroups":[{"AppName":"a","Components":[{"ComponentName":"c"}]}]}'
+    files = spark.createDataFrame([(f"f{i}", raw) for i in range(64)], "file string, raw string").coalesce(1)
+    for rows in (configs.declared_applications(configs.roots(files)), declared_items(files).filter("kind = 'component'")):
+        assert rows.count() == 64 and rows.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_no_side_of_a_product_passes_the_driver_or_is_repeated_by_mistake(spark):
     from tallyline.operators.common import paired
     left, right = spark.range(5000).withColumnRenamed("id", "a"), spark.range(3).withColumnRenamed("id", "b")
