@@ -140,6 +140,46 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict
     return scored.filter(hit)
 
 
+def _steps(threshold: float) -> Column:
+    """Inserted and deleted characters that ``name`` and ``other`` may differ in."""
+    return F.floor((F.length("name") + F.length("other")) * (1.0 - threshold) + F.lit(EPS))
+
+
+def one_step_pairs(left: DataFrame, right: DataFrame, threshold: float, scope: str) -> DataFrame:
+    """Pairs (scope, name, other, ratio) of different names with ratio > threshold that are so short that one step is all they may differ in.
+
+    Then one name is the other without one character, and the shorter one's first or second half stands at the same
+    end of the longer one: an equi join on halves, which keep far fewer names together than bigrams do.
+    """
+    def halves(shorter: bool, side: str) -> list[Column]:
+        n = F.length("name") if shorter else F.length("name") - 1
+        h = F.floor(n / 2).cast("int")
+        return [F.struct(F.lit(side).alias("side"), n.alias("n"), F.lit(end).alias("end"), text.alias("half")) for end, text in (
+            ("first", F.left("name", h)), ("second", F.right("name", n - h)))]
+
+    keyed = lambda df, own, other: df.select(scope, "name").distinct().select(
+        scope, "name", F.explode(F.array(*halves(True, own), *halves(False, other))).alias("k"))
+    met = keyed(left, "left", "right").join(keyed(right, "right", "left").withColumnRenamed("name", "other"), [scope, "k"])
+    half = F.floor(F.col("k.n") / 2).cast("int")
+    once = (F.col("k.end") == "first") | (F.left("name", half) != F.left("other", half))
+    near = met.filter(once & (_steps(threshold) == 1) & (F.levenshtein("name", "other", 1) == 1))
+    total = F.length("name") + F.length("other")
+    return near.select(scope, "name", "other", (F.lit(2.0) * F.least(F.length("name"), F.length("other")) / total).alias("ratio")).filter(
+        F.col("ratio") > threshold)
+
+
+def may_differ_more(name: Column | str, threshold: float) -> Column:
+    """Whether a name and a partner of the greatest allowed length may differ in more than one step."""
+    return F.length(name) * (2.0 * (1.0 - threshold) / threshold) >= 2.0 - 1e-6
+
+
+def more_step_pairs(left: DataFrame, right: DataFrame, threshold: float, scope: str) -> DataFrame:
+    """The pairs that ``one_step_pairs`` leaves out."""
+    long = lambda df: df.filter(may_differ_more("name", threshold))
+    return similar_pairs(long(left), long(right), threshold, strict=True, scope=scope).filter(_steps(threshold) > 1).select(
+        scope, "name", "other", "ratio")
+
+
 def long_enough(name: Column | str, threshold: float) -> Column:
     """Whether a name can have a ratio above the threshold with any *different* name.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scales import location_class, percent
-from .clustering import long_enough, similar_pairs
+from .clustering import long_enough, more_step_pairs, one_step_pairs
 from .common import missing_from
 
 
@@ -84,6 +84,12 @@ def absent(declared: DataFrame, actual: DataFrame, ignore_case: bool = True) ->
                                            (F.col("target"), F.col("applicationId"))])
 
 
+def near_names(left: DataFrame, right: DataFrame, threshold: float, scope: str) -> DataFrame:
+    """Pairs (scope, name, other, ratio) of different names of one scope with a ratio above the threshold."""
+    more = more_step_pairs(left, right, threshold, scope).filter(F.col("name") != F.col("other"))
+    return one_step_pairs(left, right, threshold, scope).unionByName(more)
+
+
 def find_service(declared: DataFrame, actual: DataFrame, threshold: float = 0.99) -> DataFrame:
     """Cascade lookup of (name, target, env_name): equal ignoring case, then the closest name with a
     ratio above the threshold, then ``name-environment``.  Adds ``entity_id``, ``found_by``, ``ratio``."""
@@ -95,9 +101,9 @@ def find_service(declared: DataFrame, actual: DataFrame, threshold: float = 0.99
     rows = rows.join(exact, ["_dn", "target"], "left")
     # Equal names are settled above, so only names long enough for a near miss are compared.
     open_rows = rows.filter(F.col("_exact").isNull() & long_enough("_dn", threshold)).select("_dn", "target").distinct()
-    near = similar_pairs(open_rows.select(F.col("_dn").alias("name"), F.col("target").alias("scope")),
-                         by_name.filter(long_enough("_name", threshold)).select(F.col("_name").alias("name"), F.col("_scope").alias("scope")),
-                         threshold, strict=True, scope="scope")
+    near = near_names(open_rows.select(F.col("_dn").alias("name"), F.col("target").alias("scope")),
+                      by_name.filter(long_enough("_name", threshold)).select(F.col("_name").alias("name"), F.col("_scope").alias("scope")),
+                      threshold, "scope")
     best = (near.join(by_name, (near["other"] == by_name["_name"]) & (near["scope"] == by_name["_scope"]))
             .groupBy(F.col("name").alias("_dn"), F.col("scope").alias("target"))
             .agg(F.max_by(F.struct(F.col("_id").alias("id"), "ratio"), F.struct("ratio", -F.col("_pos"))).alias("_best")))
