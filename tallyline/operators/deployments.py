@@ -50,9 +50,17 @@ def link_groups(applications: DataFrame, services: DataFrame) -> tuple[DataFrame
     return groups.withColumn("links", F.col("members") * F.col("selectors")), members, selectors
 
 
-def links_of(members: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Links of the given members, one row each."""
-    return members.join(selectors, "set_key").drop("set_key")
+def links_of(members: DataFrame, selectors: DataFrame, parts: int = 32) -> DataFrame:
+    """Links of the given members, one row each.
+
+    A set has members times selectors, so few short rows can have very many links: the members of a set are dealt
+    over parts, its selectors go to each, and both sides keep that many tasks whatever they measure in bytes.
+    """
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["set_key", "_part"]
+    asked = members.withColumn("_part", F.pmod(F.xxhash64(*members.columns), F.lit(parts)).cast("int"))
+    offered = selectors.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return asked.repartition(tasks, *keys).join(offered.repartition(tasks, *keys).hint("merge"), keys).drop(*keys)
 
 
 def deployment_links(applications: DataFrame, services: DataFrame) -> DataFrame:

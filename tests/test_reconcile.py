@@ -224,6 +224,34 @@ def test_files_of_one_partition_are_checked_by_many_tasks(spark):
         assert rows.count() == 64 and rows.select(F.spark_partition_id()).distinct().count() > 4
 
 
+def test_links_of_one_set_are_made_by_many_tasks(spark):
+    from tallyline.operators.deployments import links_of
+    members = spark.createDataFrame([(i, "s") for i in range(200)], "app_no long, set_key string").coalesce(1)
+    selectors = spark.createDataFrame([("s", str(i)) for i in range(5)], "set_key string, service string").coalesce(1)
+    got = links_of(members, selectors)
+    assert got.columns == ["app_no", "service"]
+    assert got.distinct().count() == got.count() == 1000
+    assert got.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_names_one_step_apart_meet_at_an_equal_half(spark):
+    import random
+    from tallyline.functions.similarity import ratio_of
+    from tallyline.operators import clustering, placement
+    rnd = random.Random(4)
+    stems = ["".join(rnd.choice("abc") for _ in range(n)) for n in (52, 53, 60, 98, 99, 100, 101, 130)]
+    names = list(dict.fromkeys([*stems, *(t[:i] + c + t[i:] for t in stems for i in (0, 9, 26, 30, len(t)) for c in ("a", "z")),
+                                *(t[:-1] for t in stems), *(t[:5] + "zz" + t[5:] for t in stems), "", "z"]))
+    table = spark.createDataFrame([("s" if i % 5 else "t", n) for i, n in enumerate(names)], "scope string, name string")
+    want = {(a, b) for i, a in enumerate(names) for j, b in enumerate(names)
+            if a != b and (i % 5 > 0) == (j % 5 > 0) and ratio_of(a, b) > 0.99}
+    got = placement.near_names(table, table, 0.99, "scope").collect()
+    assert len(got) == len(want) and {(r["name"], r["other"]) for r in got} == want
+    assert all(r["ratio"] == ratio_of(r["name"], r["other"]) for r in got)
+    one = clustering.one_step_pairs(table, table, 0.99, "scope").collect()
+    assert one and {(r["name"], r["other"]) for r in one} <= want
+
+
 def test_no_side_of_a_product_passes_the_driver_or_is_repeated_by_mistake(spark):
     from tallyline.operators.common import paired
     left, right = spark.range(5000).withColumnRenamed("id", "a"), spark.range(3).withColumnRenamed("id", "b")
