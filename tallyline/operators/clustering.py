@@ -44,6 +44,8 @@ class Budget:
     key_pairs: int = 4_000_000  # meetings at one key, beyond which it is split
     part_edges: int = 1 << 27  # pairs of names among those that one task walks for complete link
     group_buckets: int = 64  # tasks that hold the groups of a scope so far
+    bucket_names: int = 256  # names of a scope for each of them
+    alone_names: int = 1024  # names of a scope that one task compares and walks
 
 
 def _bigram_floor(threshold: float) -> int:
@@ -377,107 +379,169 @@ def _named(todo: DataFrame, decided: DataFrame) -> DataFrame:
 # ---- complete-link grouping
 
 NARROW = 64  # names of at most so many characters are compared bit by bit, many at once
+PAIRS = 8192  # pairs of names whose rows stay in a processor's cache
+TOKENS = 128  # columns of the bound that spares most pairs the comparison
 
 
 class _Names:
-    """Names that one task compares with each other: which of many have a ratio of at least ``threshold`` with one."""
+    """Names that one task compares with those at the places ``others``: which pairs have a ratio of at least ``threshold``."""
 
-    def __init__(self, names: np.ndarray, threshold: float):
-        self.names, self.threshold = names, threshold
+    def __init__(self, names: np.ndarray, threshold: float, others: np.ndarray):
+        self.names, self.threshold, self.others = names, threshold, others
         self.lengths = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+        flat = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        seen = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
+        seen[flat] = True
+        self.blank = int(seen.sum())
+        self.flat = (np.cumsum(seen) - 1)[flat]
+        self.starts = np.cumsum(self.lengths) - self.lengths
         narrow = np.flatnonzero(self.lengths <= NARROW)
-        flat = np.frombuffer("".join(names[narrow]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letters, flat = np.unique(flat, return_inverse=True)
-        self.blank = len(letters)
-        # One row for each place in the names, so that a step reads neighbours.
-        self.codes = np.full((NARROW, len(names)), self.blank, dtype=np.int32)
         lengths = self.lengths[narrow]
-        self.codes[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(narrow, lengths)] = flat
-
-    def near(self, one: int, others: np.ndarray) -> np.ndarray:
-        """Truth values for the names at the places ``others``."""
-        out = np.zeros(len(others), dtype=bool)
-        total = self.lengths[others] + self.lengths[one]
-        least = np.minimum(self.lengths[others], self.lengths[one])
-        fits = 2.0 * least >= self.threshold * total - EPS
-        fast = fits & (self.lengths[others] <= NARROW) & (self.lengths[one] <= NARROW)
-        rest = np.flatnonzero(fits & ~fast)
+        # One row for each place in the names, so that a step reads neighbours.
+        self.codes = np.full((int(lengths.max(initial=0)), len(names)), self.blank, dtype=np.int64)
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.codes[place, np.repeat(narrow, lengths)] = self.flat[np.repeat(self.starts[narrow], lengths) + place]
+        self.word = np.uint32 if len(self.codes) <= 32 else np.uint64
+        bags, half, self.rest = self._bags(others, choose=True)
+        self.right = np.concatenate([bags, -np.ones_like(half), -half], axis=1).T.copy()
+
+    def near(self, ones: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Truth values for the pairs of names at the places ``ones`` and ``others``."""
+        out = np.zeros(len(ones), dtype=bool)
+        step = max(1, min(PAIRS, (1 << 21) // (self.blank + 1)))
+        for at in range(0, len(ones), step):
+            out[at:at + step] = self._near(ones[at:at + step], others[at:at + step])
+        return out
+
+    def _near(self, ones: np.ndarray, others: np.ndarray) -> np.ndarray:
+        total = self.lengths[ones] + self.lengths[others]
+        longest = np.maximum(self.lengths[ones], self.lengths[others])
+        fits = 2.0 * (total - longest) >= self.threshold * total - EPS
+        out = np.zeros(len(ones), dtype=bool)
+        rest = np.flatnonzero(fits & (longest > NARROW))
         if len(rest):
-            out[rest] = ratios(self.names[others[rest]], np.full(len(rest), self.names[one], dtype=object)) >= self.threshold
-        rest = np.flatnonzero(fast)
+            out[rest] = ratios(self.names[ones[rest]], self.names[others[rest]]) >= self.threshold
+        rest = np.flatnonzero(fits & (longest <= NARROW))
         if len(rest):
-            common = self._common(one, others[rest])
+            common = self._common(ones[rest], others[rest])
             out[rest] = np.where(total[rest] == 0, 1.0, 2.0 * common / np.maximum(total[rest], 1)) >= self.threshold
         return out
 
-    def _common(self, one: int, others: np.ndarray) -> np.ndarray:
-        """Lengths of the longest common subsequences, one bit for each character of ``one``."""
-        place = np.zeros(self.blank + 1, dtype=np.uint64)
-        length = int(self.lengths[one])
-        for bit, code in enumerate(self.codes[:length, one].tolist()):
-            place[code] |= np.uint64(1 << bit)
-        row = np.full(len(others), np.uint64(0xFFFFFFFFFFFFFFFF))
+    def _common(self, ones: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences, one bit for each character of ``ones``."""
+        own, at = np.unique(ones, return_inverse=True)
+        bits = np.zeros((len(own), self.blank + 1), dtype=self.word)
+        each = np.arange(len(own))
+        for bit in range(int(self.lengths[own].max())):
+            bits[each, self.codes[bit, own]] |= self.word(1 << bit)
+        bits[:, self.blank] = 0
+        bits, at = bits.ravel(), at * (self.blank + 1)
+        row = np.full(len(ones), np.iinfo(self.word).max, dtype=self.word)
         for step in range(int(self.lengths[others].max())):
-            hit = row & place[self.codes[step, others]]
+            hit = row & bits.take(at + self.codes[step].take(others))
             row = (row + hit) | (row - hit)
-        return np.bitwise_count(~row & np.uint64((1 << length) - 1)).astype(np.int64)
-
-    def near_all(self, one: int, groups: list[list[int]]) -> np.ndarray:
-        """For each of the ``groups`` of places, none empty, whether all its names are near."""
-        starts = np.cumsum([0, *map(len, groups[:-1])])
-        return np.logical_and.reduceat(self.near(one, np.concatenate(groups).astype(np.int64)), starts)
-
-
-def _walk_names(names: np.ndarray, at: np.ndarray, open_to: dict[int, list[int]], threshold: float) -> np.ndarray:
-    """Group numbers of ``names`` in order; ``open_to`` lists of a name (by place) the earlier groups all of whose members it is near to."""
-    known = _Names(names, threshold)
-    group = np.zeros(len(names), dtype=np.int64)
-    joined: dict[int, list[int]] = {}  # names that have joined an earlier group here
-    founded: list[list[int]] = []  # groups founded here, by order
-    founders = np.zeros(len(names), dtype=np.int64)
-    for one in range(len(names)):
-        earlier = sorted(open_to.get(one, ()))
-        grown = [g for g in earlier if g in joined]
-        closed = set()
-        if grown:
-            whole = known.near_all(one, [joined[g] for g in grown])
-            closed = {g for g, ok in zip(grown, whole) if not ok}
-        first = next((g for g in earlier if g not in closed), None)
-        if first is not None:
-            group[one] = first
-            joined.setdefault(first, []).append(one)
-            continue
-        heads = founders[:len(founded)]
-        maybe = np.flatnonzero(known.near(one, heads)) if len(heads) else heads
-        whole = maybe[known.near_all(one, [founded[i] for i in maybe])] if len(maybe) else maybe
-        if len(whole):
-            founded[whole[0]].append(one)
-            group[one] = group[founders[whole[0]]]
+        # Bits beyond the end of a name are never cleared.
+        return np.bitwise_count(~row).astype(np.int64)
+
+    def _bags(self, places: np.ndarray, choose: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which tokens (a character for the k-th time) the names at ``places`` have, half of the common ones a pair needs
+        for their lengths, and how many tokens of theirs have no column; ``choose`` picks the commonest as columns."""
+        lengths = self.lengths[places]
+        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        codes = self.flat[np.repeat(self.starts[places], lengths) + inside]
+        if choose:
+            often = np.bincount(codes, minlength=self.blank + 1)
+            letters = np.argsort(-often)[:min(TOKENS, np.count_nonzero(often))]
+            self.column, self.width = np.full(self.blank + 1, len(letters)), len(letters) + 1
+            self.column[letters] = np.arange(len(letters))
+        counts = np.bincount(np.repeat(np.arange(len(places)), lengths) * self.width + self.column[codes], minlength=len(places) * self.width)
+        counts = counts.reshape(len(places), self.width)
+        if choose:
+            have = [(n, c, level) for level in range(1, min(int(counts.max(initial=0)), 16) + 1)
+                    for c, n in enumerate((counts[:, :-1] >= level).sum(axis=0).tolist()) if n]
+            self.tokens = np.array(sorted(have, reverse=True)[:TOKENS], dtype=np.int64).reshape(-1, 3)
+        bags = (counts[:, self.tokens[:, 1]] >= self.tokens[:, 2]).astype(np.float32)
+        return bags, (self.threshold / 2 * lengths).astype(np.float32)[:, None], (lengths - bags.sum(axis=1)).astype(np.float32)
+
+    def blocks(self, ones: np.ndarray, later: bool = False, size: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, truth values) of blocks of the places ``ones``, one row each, against the others; ``later`` asks for greater places only.
+
+        Names have no longer common subsequence than they have common tokens, which one product of matrices counts for a block.
+        """
+        bags, half, rest = self._bags(ones)
+        left = np.concatenate([bags, half, np.ones_like(half)], axis=1)
+        for start in range(0, len(ones), size):
+            own = slice(start, min(start + size, len(ones)))
+            most = left[own] @ self.right
+            if rest[own].any() and self.rest.any():
+                most += np.minimum(rest[own, None], self.rest)
+            fits = most >= np.float32(-1e-3)
+            if later:
+                fits &= self.others > ones[own, None]
+            row, column = np.nonzero(fits)
+            fits[row, column] = self.near(ones[own][row], self.others[column])
+            yield start, fits
+
+
+def _packed(truth: np.ndarray) -> np.ndarray:
+    return np.packbits(truth, axis=1, bitorder="little")
+
+
+def _near_later(known: _Names, ones: np.ndarray) -> np.ndarray:
+    """Bits of the later names that each of ``ones``, some of them, is near to."""
+    return np.concatenate([_packed(truth) for _, truth in known.blocks(ones, later=True)])
+
+
+def _walk(near: np.ndarray, at: np.ndarray, numbers: list[int], opened: np.ndarray) -> np.ndarray:
+    """Group numbers of names in order, by positions ``at``; ``near`` has a row of bits for each, the later names it is near to.
+
+    ``numbers`` are earlier groups in order, ``opened`` a row of bits for each: the names that are near to all its members.
+    """
+    count, group = len(numbers), np.zeros(len(at), dtype=np.int64)
+    numbers = list(numbers)
+    # A column for each group, so that a name finds its first open one among neighbours.
+    opens = np.zeros((near.shape[1], count + 64), dtype=np.uint8)
+    opens[:, :count] = opened.T
+    for one in range(len(at)):
+        byte = one >> 3
+        hits = opens[byte, :count] & np.uint8(1 << (one & 7))
+        first = int(hits.argmax()) if count else 0
+        if count and hits[first]:
+            opens[byte:, first] &= near[one, byte:]
         else:
-            founders[len(founded)] = one
-            founded.append([one])
-            group[one] = at[one]
+            if count == opens.shape[1]:
+                opens = np.concatenate([opens, np.zeros_like(opens)], axis=1)
+            first, count = count, count + 1
+            opens[byte:, first] = near[one, byte:]
+            numbers.append(int(at[one]))
+        group[one] = numbers[first]
     return group
 
 
-def _open_groups(members: pd.DataFrame, chunk: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(row, open) for the names of ``chunk`` and the groups of ``members`` (name, pos, group_no) they are near to as a whole.
-
-    Each member is compared with the names that all before it are near to; most groups end with their first."""
-    rows = members.sort_values(["group_no", "pos"])
-    numbers, starts = np.unique(rows["group_no"].to_numpy(), return_index=True)
-    known = _Names(np.concatenate([rows["name"].to_numpy(dtype=object), chunk["name"].to_numpy(dtype=object)]), threshold)
-    every, row = np.arange(len(rows), len(rows) + len(chunk)), chunk["row"].to_numpy()
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for number, start, stop in zip(numbers, starts, [*starts[1:], len(rows)]):
-        maybe = every
-        for member in range(start, stop):
-            maybe = maybe[known.near(member, maybe)]
-            if not len(maybe):
-                break
-        found.append((row[maybe - len(rows)], np.full(len(maybe), number)))
-    rows, numbers = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    return pd.DataFrame({"row": rows, "open": numbers})
+def _open_groups(known: _Names, numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, bits) of the groups that some names are near to as a whole; members stand group after group, before those names.
+
+    All names are compared with the first member of each group, and those near to all members so far with the next ones."""
+    every = known.others
+    sizes = np.diff(np.append(starts, every[0]))
+    for block, near in known.blocks(starts):
+        own, name = np.nonzero(near)
+        done, width = 1, 1
+        while len(own):
+            own, name = (x[sizes[block + own] > done] for x in (own, name))
+            lost = np.zeros(len(own), dtype=bool)
+            for part in range(0, len(own), 4096):
+                few = own[part:part + 4096]
+                times = np.minimum(width, sizes[block + few] - done)
+                ends = np.cumsum(times)
+                pair = np.repeat(np.arange(len(few)), times)
+                member = starts[block + few][pair] + done + np.arange(len(pair)) - (ends - times)[pair]
+                lost[part + pair[~known.near(member, every[name[part:part + 4096]][pair])]] = True
+            near[own[lost], name[lost]] = False
+            own, name = own[~lost], name[~lost]
+            done, width = done + width, min(2 * width, 64)
+        some = np.flatnonzero(near.any(axis=1))
+        yield from zip(numbers[block + some].tolist(), _packed(near[some]))
 
 
 def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str | None = None,
@@ -487,8 +551,9 @@ def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str |
     A name joins the first group all of whose members reach the threshold; with ``scope``
     only groups of its own scope.  At the default threshold only equal names do, which is a
     plain aggregate.  Below it similar pairs are never listed, as a family of alike names has the square of its
-    size: the names of a scope go chunk after chunk.  Tasks that hold some groups each tell which of them a name of the
-    chunk is near to as a whole, most by their first name alone; then one task for each scope walks the chunk in order.
+    size: the names of a scope go chunk after chunk.  Tasks that hold some groups and some names of the chunk each tell in bits which
+    names of the chunk are near to them (to groups: as a whole, most fail at the first name); then one task for each scope walks the
+    chunk in order over these bits and compares no names.
     ``pos`` must differ between the names of a scope.
     """
     keys = [scope, "name"] if scope else ["name"]
@@ -499,43 +564,79 @@ def complete_link_groups(names: DataFrame, threshold: float = 1.0, scope: str |
     grouped = F.col("part").isNotNull() & F.col("name").isNotNull() & F.col("pos").isNotNull()
     rows = todo.filter(grouped).select("part", "name", F.col("pos").cast("long").alias("pos"))
     per_round = math.isqrt(2 * budget.part_edges) + 1
-    rows = cut_lineage(number_in_groups(rows, "part", "pos", "row"))
+    rows = number_in_groups(rows, "part", "pos", "row")
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    rows = cut_lineage(rows.join(dealt(sizes), "part"))
     last = rows.agg(F.max("row")).first()[0] or 0
-    placed = [_placed_chunk(rows.filter(F.col("row").between(start + 1, start + per_round)), [], threshold, budget) for start in (0,) if last]
-    for start in range(per_round, last, per_round):
-        placed.append(_placed_chunk(rows.filter(F.col("row").between(start + 1, start + per_round)), placed, threshold, budget))
-    alone = todo.filter(~grouped).select(*keys, "pos", F.col("pos").cast("long").alias("group_no"))
-    if not placed:
-        return alone
-    done = reduce(DataFrame.unionByName, placed)
-    own = F.col("part").alias(scope) if scope else None
-    return alone.unionByName(done.select(*([own] if scope else []), "name", F.col("pos").cast(todo.schema["pos"].dataType).alias("pos"), "group_no"))
-
-
-def _placed_chunk(chunk: DataFrame, placed: list[DataFrame], threshold: float, budget: Budget) -> DataFrame:
-    """part, name, pos, group_no of the next names (part, name, pos, row) of each part; ``placed`` are those of earlier chunks."""
-    part = chunk.schema["part"].dataType.simpleString()
-    spread = int(chunk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    waiting = chunk.withColumn("open", F.lit(None).cast("array<long>"))
-    if placed:
-        # Each group lies in one bucket with all its members; the names of the chunk go to every bucket of their part.
-        members = reduce(DataFrame.unionByName, placed).select(
-            "part", F.pmod(F.xxhash64("group_no"), F.lit(budget.group_buckets)).cast("int").alias("bucket"), "name", "pos", "group_no")
-        asked = chunk.select("part", "name", "row", F.explode(F.sequence(F.lit(0), F.lit(budget.group_buckets - 1))).alias("bucket"))
-
-        def ask(key: tuple, held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-            found = _open_groups(held, asking, threshold) if len(held) and len(asking) else pd.DataFrame({"row": [], "open": []}, dtype="int64")
-            return found.assign(part=pd.Series(np.full(len(found), key[0], dtype=object), dtype=object))[["part", "row", "open"]]
-
-        by = lambda df: df.repartition(spread, "part", "bucket").groupBy("part", "bucket")
-        found = by(members).cogroup(by(asked)).applyInPandas(ask, f"part {part}, row long, open long")
-        waiting = chunk.join(found.groupBy("part", "row").agg(F.collect_list("open").alias("open")), ["part", "row"], "left")
+    alone = F.col("size") <= min(budget.alone_names, per_round)
+    small = _placed_alone(rows.filter(alone), threshold)
+    rows, spread = rows.filter(~alone), rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    placed: list[tuple[int, DataFrame]] = []  # rounds and their names
+    for start in range(0, last if last > min(budget.alone_names, per_round) else 0, per_round):
+        chunk = rows.filter(F.col("row").between(start + 1, start + per_round))
+        # Parts that end before this chunk have nothing to ask.
+        earlier = [df.filter(F.col("size") > start) for _, df in placed]
+        placed.append((1, _placed_chunk(chunk, earlier, threshold, budget)))
+        while len(placed) > 1 and placed[-1][0] == placed[-2][0]:
+            # Few tables hold many rounds, each written once for every doubling.
+            (n, one), (_, two) = placed.pop(), placed.pop()
+            placed.append((2 * n, cut_lineage(two.unionByName(one).coalesce(int(spread)))))
+    done = reduce(DataFrame.unionByName, [small, *(df.drop("size") for _, df in placed)])
+    own = [F.col("part").alias(scope)] if scope else []
+    done = done.select(*own, "name", F.col("pos").cast(todo.schema["pos"].dataType).alias("pos"), "group_no")
+    return todo.filter(~grouped).select(*keys, "pos", F.col("pos").cast("long").alias("group_no")).unionByName(done)
+
+
+def _placed_alone(rows: DataFrame, threshold: float) -> DataFrame:
+    """part, name, pos, group_no of parts with few names, each walked by the task that compares its names."""
+    part = rows.schema["part"].dataType.simpleString()
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row", ignore_index=True)
-        open_to = {i: list(o) for i, o in enumerate(rows["open"]) if o is not None}
-        numbers = _walk_names(rows["name"].to_numpy(dtype=object), rows["pos"].to_numpy(), open_to, threshold)
-        return rows[["part", "name", "pos"]].assign(group_no=numbers)
+        every = np.arange(len(rows))
+        near = _near_later(_Names(rows["name"].to_numpy(dtype=object), threshold, every), every)
+        return rows[["part", "name", "pos"]].assign(group_no=_walk(near, rows["pos"].to_numpy(), [], np.zeros((0, near.shape[1]), dtype=np.uint8)))
 
-    walked = waiting.select("part", "name", "pos", "row", "open").repartition(spread, "part").groupBy("part")
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walked = rows.select("part", "name", "pos", "row").repartition(spread, "part").groupBy("part")
     return cut_lineage(walked.applyInPandas(walk, f"part {part}, name string, pos long, group_no long"))
+
+
+def _placed_chunk(chunk: DataFrame, placed: list[DataFrame], threshold: float, budget: Budget) -> DataFrame:
+    """part, name, pos, size, group_no of the next names (part, name, pos, row, size) of each part; ``placed`` are those of earlier chunks."""
+    part = chunk.schema["part"].dataType.simpleString()
+    spread = int(chunk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = F.least(F.ceil(F.col("size") / budget.bucket_names), F.lit(budget.group_buckets)).cast("int")
+    # The names of the chunk go to every bucket of their part; each bucket answers for a share of them and of the groups.
+    asked = chunk.select("part", "name", "row", F.explode(F.sequence(F.lit(0), buckets - 1)).alias("bucket"), buckets.alias("buckets"))
+    none = chunk.select("part", "name", "pos", F.col("pos").alias("group_no"), "size").filter(F.lit(False))
+    # Each group lies in one bucket with all its members.
+    members = reduce(DataFrame.unionByName, placed or [none]).select(
+        "part", F.pmod(F.xxhash64("group_no"), buckets).cast("int").alias("bucket"), "name", "pos", "group_no")
+
+    def ask(key: tuple, held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(asking):
+            held, asking = held.sort_values(["group_no", "pos"]), asking.sort_values("row")
+            every, row = np.arange(len(held), len(held) + len(asking)), asking["row"].to_numpy()
+            known = _Names(np.concatenate([held["name"].to_numpy(dtype=object), asking["name"].to_numpy(dtype=object)]), threshold, every)
+            if len(held):
+                numbers, starts = np.unique(held["group_no"].to_numpy(), return_index=True)
+                found += [(number, False, bits.tobytes()) for number, bits in _open_groups(known, numbers, starts)]
+            own = np.flatnonzero(row % asking["buckets"].iloc[0] == key[1])
+            if len(own):
+                found += [(number, True, bits.tobytes()) for number, bits in zip(row[own].tolist(), _near_later(known, every[own]))]
+        out = pd.DataFrame(found, columns=["number", "own", "bits"])
+        return out.assign(part=pd.Series(np.full(len(out), key[0], dtype=object), dtype=object))[["part", "number", "own", "bits"]]
+
+    def walk(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows, found = rows.sort_values("row", ignore_index=True), found.sort_values("number")
+        own = found["own"].to_numpy(dtype=bool)
+        bits = lambda some: np.frombuffer(b"".join(found["bits"][some]), dtype=np.uint8).reshape(int(some.sum()), -(-len(rows) // 8))
+        numbers = _walk(bits(own), rows["pos"].to_numpy(), found["number"][~own].tolist(), bits(~own))
+        return rows[["part", "name", "pos", "size"]].assign(group_no=numbers)
+
+    by = lambda df, *keys: df.repartition(spread, *keys).groupBy(*keys)
+    found = by(members, "part", "bucket").cogroup(by(asked, "part", "bucket")).applyInPandas(ask, f"part {part}, number long, own boolean, bits binary")
+    walked = by(chunk, "part").cogroup(by(found, "part"))
+    return cut_lineage(walked.applyInPandas(walk, f"part {part}, name string, pos long, size long, group_no long"))

@@ -83,6 +83,30 @@ def test_complete_link_lists_no_pairs_of_a_family(spark, monkeypatch):
         assert got == complete(names, 0.85)
 
 
+@pytest.mark.parametrize("budget", [Budget(part_edges=800, bucket_names=8, alone_names=0), Budget(part_edges=800, bucket_names=1000, alone_names=0)], ids=["buckets", "one"])
+def test_complete_link_of_chunks_and_buckets(spark, budget):
+    rnd = random.Random(12)
+    names = [*families(5, 120), "", "x" * 70, "x" * 69 + "y", "é" * 20, "é" * 19 + "ü", *("".join(chr(0x4E00 + rnd.randrange(300)) for _ in range(6)) + "-host" for _ in range(20))]
+    got = {r["name"]: names[r["group_no"]] for r in complete_link_groups(listed(spark, names), 0.7, budget=budget).collect()}
+    assert got == complete(names, 0.7)
+
+
+def test_the_walk_of_a_chunk_compares_no_names():
+    import numpy as np
+    from tallyline.operators import clustering
+    names = np.array([f"server-{s}-{i * 7 % 1000:03d}" for i in range(50) for s in ("north", "south")], dtype=object)
+    at = np.arange(len(names))
+    near = clustering._near_later(clustering._Names(names, 0.85, at), at)
+    whole = clustering._walk(near, at, [], np.zeros((0, near.shape[1]), dtype=np.uint8))
+    assert [names[g] for g in whole] == list(complete(names.tolist(), 0.85).values())
+    # The second half alone, with the groups of the first half told in bits.
+    later = clustering._Names(np.concatenate([names[:50][np.argsort(whole[:50], kind="stable")], names[50:]]), 0.85, at[50:])
+    numbers, starts = np.unique(np.sort(whole[:50]), return_index=True)
+    found = list(clustering._open_groups(later, numbers, starts))
+    second = clustering._walk(clustering._near_later(later, at[50:]), at[50:], [n for n, _ in found], np.array([b for _, b in found]))
+    assert second.tolist() == whole[50:].tolist()
+
+
 def test_complete_link_of_scopes_and_absent_values(spark):
     rows = [("a", "server-one", 0), ("b", "server-ona", 1), ("a", "server-ona", 2), (None, "server-one", 3), ("a", None, 4), ("a", "server-onx", 5)]
     df = spark.createDataFrame(rows, "scope string, name string, pos int")
